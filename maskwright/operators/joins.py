@@ -20,12 +20,9 @@ def join_hot_keys(facts: DataFrame, dim: DataFrame, on: list[str]) -> DataFrame:
     ``HOT_SHARE``) are broadcast, everything else is joined by shuffle.
     """
     counts = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
+    total = facts.agg(F.count(F.lit(1))).scalar()
     hot_keys = (
-        counts.join(F.broadcast(total))
-        .where(F.col("_n") * HOT_SHARE > F.col("_total"))
-        .where(F.col("_n") > CHUNK)
-        .select(*on)
+        counts.where(F.col("_n") > CHUNK).where(F.col("_n") * HOT_SHARE > total).select(*on)
     )
     fields = [c for c in dim.columns if c not in on]
     hot = dim.join(F.broadcast(hot_keys), on, "left_semi").select(
