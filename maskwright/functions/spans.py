@@ -5,9 +5,8 @@ Everything here is row-local, so a scan of any size needs no shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..rules.model import SpanRule
 from .text import let, newline_count
 
 # The struct starts with its position, so natural order is reading order.
@@ -21,90 +20,123 @@ MATCH = "struct<start:int,end:int,line:int,value:string>"
 # Arrays grow in blocks of this size, so that a text with very many matches
 # costs time in proportion to their number.
 BLOCK = 256
-NEAR = 256
+MARK = "\x01"
+STRINGS = "array<string>"
+NEAR = 96
 
 
 def empty(kind: str) -> Column:
     return F.array().cast(kind)
 
 
-def guard(text: Column, needs: tuple[str, ...], pattern: str) -> Column:
-    """True when the pattern can match: literal test first, then the pattern."""
-    hit = text.rlike(pattern)
-    if not needs:
-        return hit
-    some = F.contains(text, F.lit(needs[0]))
-    for literal in needs[1:]:
+def might_match(text: Column, needs: tuple[str, ...]) -> Column:
+    """Cheap test: one of the literals that every match contains is there."""
+    some = F.lit(not needs)
+    for literal in needs:
         some = some | F.contains(text, F.lit(literal))
-    return some & hit
+    return some
 
 
-def find_spans(text: Column, pattern: str, needs: tuple[str, ...] = ()) -> Column:
-    """All non-overlapping matches of a pattern with code-point offsets and line.
+def folded(text: Column) -> Column:
+    """The text without case, in the sense of patterns that ignore case."""
+    return F.lower(F.upper(text))
+
+
+def cut(text: Column, pattern: str, group: int = 0) -> Column:
+    """The text cut at its matches: gap, match, group, gap, match, group, ... gap.
 
-    The text is cut at the matches; the running length of gaps and matches gives
-    the offsets.  Texts without a match stop at the guard.
+    NULL when nothing matches.  One pass of the pattern puts a control character
+    around each match, which shows in the size of the text, and the text is split
+    there.  The text must not hold that character itself.
     """
-    parts = F.arrays_zip(
-        F.split(text, pattern, -1).alias("gap"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"),
-    )
+    wanted = f"${group}" if group else ""
+    marked = F.regexp_replace(text, pattern, f"{MARK}$0{MARK}{wanted}{MARK}")
+    return let(marked, lambda m: F.when(
+        F.octet_length(m) != F.octet_length(text), F.split(m, MARK, -1)
+    ))
+
+
+def cut_marked(text: Column, pattern: str, group: int = 0) -> Column:
+    """``cut`` for any text, at the price of three passes."""
+    groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else empty(STRINGS)
+    rows = F.arrays_zip(
+        F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), groups
+    ).cast("array<struct<gap:string,hit:string,value:string>>")
+    return F.when(text.rlike(pattern), F.flatten(F.transform(rows, lambda r: F.array(
+        r["gap"], F.coalesce(r["hit"], F.lit("")), F.coalesce(r["value"], F.lit(""))
+    ))))
+
+
+def by_marks(text: Column, build) -> Column:
+    """``build(cut)``, or ``build(cut_marked)`` for the rare text that holds the mark."""
+    return F.when(F.contains(text, F.lit(MARK)), build(cut_marked)).otherwise(build(cut))
+
 
-    def step(acc, part):
-        start = acc["pos"] + F.length(part["gap"])
-        line = acc["line"] + newline_count(part["gap"])
-        end = start + F.length(part["hit"])
+def find_spans(text: Column, pattern: str, needs: tuple[str, ...] = ()) -> Column:
+    """All non-overlapping matches of a pattern with code-point offsets and line."""
+    pieces = by_marks(text, lambda cut_at: F.when(might_match(text, needs), cut_at(text, pattern)))
+    return let(pieces, lambda p: F.when(p.isNull(), empty(f"array<{MATCH}>")).otherwise(
+        locate(p, F.lit(0))
+    ))
+
+
+def locate(pieces: Column, tail: Column) -> Column:
+    """Offsets and lines of the matches of a text that ``cut`` has taken apart.
+
+    The running length of gaps and matches gives the offsets.  A group, where there
+    is one, ends ``tail`` characters before its match.
+    """
+    def step(acc, i):
+        hit = F.get(pieces, i * 3 + 1)
+        gap = F.get(pieces, i * 3)
+        group = F.get(pieces, i * 3 + 2)
+        value = F.when(group == "", hit).otherwise(group)
+        stop = acc["pos"] + F.length(gap) + F.length(hit)
+        line = acc["line"] + newline_count(gap)
+        end = stop - tail
+        lead = F.length(hit) - tail - F.length(value)
         match = F.struct(
-            start.alias("start"), end.alias("end"), line.alias("line"), part["hit"].alias("value")
+            (end - F.length(value)).alias("start"), end.alias("end"),
+            (line + newline_count(F.substring(hit, F.lit(1), lead))).alias("line"),
+            value.alias("value"),
         )
-        return F.when(part["hit"].isNull(), acc).otherwise(
-            F.struct(
-                end.alias("pos"),
-                (line + newline_count(part["hit"])).alias("line"),
-                F.concat(acc["out"], F.array(match)).alias("out"),
-            )
+        return F.struct(
+            stop.alias("pos"), (line + newline_count(hit)).alias("line"),
+            F.concat(acc["out"], F.array(match)).alias("out"),
         )
 
-    def block_step(acc, block):
+    def block_step(acc, b):
         inner = F.aggregate(
-            block,
+            F.sequence(b * BLOCK, F.least((b + 1) * BLOCK, matches) - 1),
             F.struct(acc["pos"].alias("pos"), acc["line"].alias("line"),
                      empty(f"array<{MATCH}>").alias("out")),
             step,
         )
-        return let(inner, lambda b: F.struct(
-            b["pos"].alias("pos"), b["line"].alias("line"),
-            F.concat(acc["out"], F.array(b["out"])).alias("out"),
+        return let(inner, lambda x: F.struct(
+            x["pos"].alias("pos"), x["line"].alias("line"),
+            F.concat(acc["out"], F.array(x["out"])).alias("out"),
         ))
 
-    def in_blocks(zipped):
-        blocks = F.transform(
-            F.sequence(F.lit(0), F.floor((F.size(zipped) - 1) / F.lit(BLOCK)).cast("int")),
-            lambda b: F.slice(zipped, b * BLOCK + 1, F.lit(BLOCK)),
-        )
-        init = F.struct(F.lit(0).alias("pos"), F.lit(1).alias("line"),
-                        empty(f"array<array<{MATCH}>>").alias("out"))
-        return F.aggregate(blocks, init, block_step, lambda acc: F.flatten(acc["out"]))
-
-    return F.when(guard(text, needs, pattern), let(parts, in_blocks)).otherwise(
-        empty(f"array<{MATCH}>")
-    )
+    matches = F.floor((F.size(pieces) - 1) / F.lit(3)).cast("int")
+    init = F.struct(F.lit(0).alias("pos"), F.lit(1).alias("line"),
+                    empty(f"array<array<{MATCH}>>").alias("out"))
+    blocks = F.sequence(F.lit(0), F.floor((matches - 1) / F.lit(BLOCK)).cast("int"))
+    return F.aggregate(blocks, init, block_step, lambda acc: F.flatten(acc["out"]))
 
 
-def near_words(text: Column, start: Column, words: tuple[str, ...], window: int) -> Column:
+def near_words(text: Column, start: Column, words: Column, window: int) -> Column:
     """True when one of ``words`` is among the last ``window`` word tokens before a span.
 
     Looks at a short stretch first and at the whole prefix only when that
     stretch is too short to hold the window.
     """
     token = r"(?U)\w+"
-    wanted = F.array(*[F.lit(w) for w in words])
 
     def tokens(of):
         return F.regexp_extract_all(F.lower(of), F.lit(token), F.lit(0))
 
     def hit(found):
-        return F.arrays_overlap(F.slice(F.reverse(found), 1, window), wanted)
+        return F.arrays_overlap(F.slice(F.reverse(found), 1, window), words)
 
     stretch = F.substring(text, F.greatest(start - NEAR + 1, F.lit(1)), F.least(start, F.lit(NEAR)))
     return F.exists(
@@ -115,44 +147,86 @@ def near_words(text: Column, start: Column, words: tuple[str, ...], window: int)
     )
 
 
-def rule_findings(
-    text: Column, rule: SpanRule, boost: int = 35, window: int = 5
-) -> Column:
-    """Findings of one rule, with group offsets and the context boost applied."""
-    matches = find_spans(text, rule.pattern, rule.needs)
-    if rule.group:
-        matches = F.transform(matches, lambda m: _group_span(m, rule))
-
-    def finding(m):
-        pct = F.lit(rule.pct)
-        if rule.context and boost and rule.pct < 100:
-            pct = F.when(
-                near_words(text, m["start"], rule.context, window),
-                F.lit(min(100, rule.pct + boost)),
-            ).otherwise(pct)
-        return F.struct(
-            m["start"].alias("start"), m["end"].alias("end"), pct.alias("pct"),
-            F.lit(rule.entity).alias("entity"), F.lit(rule.label).alias("label"),
-            F.lit(rule.rule).alias("rule"), m["line"].alias("line"), m["value"].alias("value"),
-        )
+def longest_number(text: Column) -> Column:
+    """Length of the longest run of digits, 0 when there are no two in a row."""
+    runs = F.regexp_extract_all(text, F.lit(r"(?U)\d{2,}"), F.lit(0))
+    return F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0))
 
-    return F.transform(matches, finding).cast(FINDINGS)
 
+def matched_rules(text: Column, rules) -> Column:
+    """Per rule that matches: its number and the text cut at its matches.
 
-def _group_span(match: Column, rule: SpanRule) -> Column:
-    """Narrow a match to its group, which sits ``tail`` characters before the end."""
-    value = F.regexp_extract(match["value"], rule.pattern, rule.group)
-    end = match["end"] - rule.tail
-    start = end - F.length(value)
-    before = F.substring(match["value"], F.lit(1), start - match["start"])
-    return F.struct(
-        start.alias("start"), end.alias("end"),
-        (match["line"] + newline_count(before)).alias("line"), value.alias("value"),
-    )
+    Patterns are literals, so each is compiled once per task; only one cut text per
+    matching rule is held at a time next to the text itself.  Rules that need a run
+    of digits are settled by one look at the longest run.
+    """
+    def all_rules(facts):
+        def pieces(cut_at, number, rule):
+            test = might_match(text, rule.needs)
+            if rule.needs_folded:
+                test = test & might_match(facts["folded"], rule.needs_folded)
+            if getattr(rule, "digits", 0):
+                test = (facts["longest"] >= rule.digits) & test
+            found = F.when(test, cut_at(text, rule.pattern, getattr(rule, "group", 0)))
+            return let(found, lambda p: F.when(p.isNotNull(), F.struct(
+                F.lit(number).alias("no"), p.alias("pieces")
+            )))
+
+        return by_marks(text, lambda cut_at: F.array_compact(
+            F.array(*[pieces(cut_at, no, r) for no, r in enumerate(rules)])
+        ))
+
+    by_digits = any(getattr(r, "digits", 0) for r in rules)
+    by_folded = any(r.needs_folded for r in rules)
+    return let(F.struct(
+        (longest_number(text) if by_digits else F.lit(0)).alias("longest"),
+        (folded(text) if by_folded else F.lit("")).alias("folded"),
+    ), all_rules)
+
+
+def with_once(df: DataFrame, into: str, value: Column) -> DataFrame:
+    """Add a costly column so that it is computed once per row.
+
+    The optimizer copies the expression of a plain column into every filter on it;
+    it does not look through a generator.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(into))
+
+
+def rule_findings(text: Column, rules, boost: int = 35, window: int = 5) -> Column:
+    """Findings of all rules in rule order, with the context boost applied."""
+    if not rules:
+        return empty(FINDINGS)
+    table = F.array(*[
+        F.struct(
+            F.lit(r.pct).alias("pct"), F.lit(r.entity).alias("entity"), F.lit(r.label).alias("label"),
+            F.lit(r.rule).alias("rule"), F.lit(r.tail).alias("tail"),
+            F.array(*[F.lit(w) for w in r.context]).cast("array<string>").alias("context"),
+        )
+        for r in rules
+    ])
+    boosted = boost and any(r.context and r.pct < 100 for r in rules)
 
+    def of_rule(hit):
+        def findings(rule):
+            def finding(m):
+                pct = rule["pct"]
+                if boosted:
+                    pct = F.when(
+                        (pct < 100) & near_words(text, m["start"], rule["context"], window),
+                        F.least(pct + boost, F.lit(100)),
+                    ).otherwise(pct)
+                return F.struct(
+                    m["start"].alias("start"), m["end"].alias("end"), pct.alias("pct"),
+                    rule["entity"].alias("entity"), rule["label"].alias("label"),
+                    rule["rule"].alias("rule"), m["line"].alias("line"), m["value"].alias("value"),
+                )
 
-def concat_findings(parts: list[Column]) -> Column:
-    return F.concat(*parts) if parts else empty(FINDINGS)
+            return F.transform(locate(hit["pieces"], rule["tail"]), finding)
+
+        return let(F.get(table, hit["no"]), findings)
+
+    return F.flatten(F.transform(matched_rules(text, rules), of_rule)).cast(FINDINGS)
 
 
 def resolve_overlaps(findings: Column) -> Column:
@@ -163,6 +237,10 @@ def resolve_overlaps(findings: Column) -> Column:
     are first cut into runs that share no character, so the pairwise test only
     happens within a run.
     """
+    return let(findings, _resolve)
+
+
+def _resolve(findings: Column) -> Column:
     ranked = F.array_sort(F.transform(findings, lambda f: F.struct(
         f["start"].alias("start"), f["end"].alias("end"),
         F.struct(
@@ -226,4 +304,4 @@ def splice(text: Column, findings: Column, marks: Column) -> Column:
         last = F.element_at(spans, -1)["end"]
         return F.concat(body, F.substring(text, last + 1, F.length(text)))
 
-    return F.when(F.size(findings) == 0, text).otherwise(let(findings, pieces))
+    return F.when(F.size(findings) == 0, text).otherwise(pieces(findings))

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.spans import FINDINGS, resolve_overlaps
-from ..functions.text import strip
+from ..functions.text import let, strip
 from ..rules import LOCATION_DENYLIST, NAME_DENYLIST, SEPARATORS, STRUCTURAL_IDS
-from ..rules.model import FLAGS
 
 SEPARATOR_CLASS = f"[{SEPARATORS}]"
 
@@ -39,7 +38,10 @@ def clip_at_pipe(findings: Column) -> Column:
 
 def is_false_positive(entity: Column, value: Column, names, locations) -> Column:
     """FLT-4 to FLT-9 for one span."""
-    bare = strip(value)
+    return let(strip(value), lambda bare: _is_noise(entity, bare, names, locations))
+
+
+def _is_noise(entity: Column, bare: Column, names, locations) -> Column:
     person = entity == "PERSON"
     separator = bare.rlike(SEPARATOR_CLASS)  # covers spans made of separators only
     all_caps = (

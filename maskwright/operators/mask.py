@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.spans import resolve_overlaps, splice
+from ..functions.spans import resolve_overlaps, splice, with_once
 from ..functions.text import is_blank, let, placeholder
 from .filters import settle
 from .scan import pii_column, secret_column
@@ -69,7 +69,7 @@ def mask_findings(
     ordered = registration(F.col(findings), order)
     body = splice(F.col(text), F.col(findings), marks(F.col(findings), F.col("_values")))
     return (
-        df.withColumn("_values", label_values(ordered))
+        with_once(df, "_values", label_values(ordered))
         .withColumn(vault, vault_entries(ordered, F.col("_values")))
         .withColumn(masked, F.when(is_blank(F.col(text)), F.lit("")).otherwise(body))
         .drop("_values")
@@ -79,13 +79,13 @@ def mask_findings(
 def mask_documents(df: DataFrame, text: str = "text", allowed=(), **options) -> DataFrame:
     """Document mode: adds ``findings``, ``vault`` and ``masked``."""
     found = settle(pii_column(F.col(text), **options), allowed=allowed)
-    return mask_findings(df.withColumn("findings", found), text, "findings", BACKWARD)
+    return mask_findings(with_once(df, "findings", found), text, "findings", BACKWARD)
 
 
 def mask_code(df: DataFrame, text: str = "text", **options) -> DataFrame:
     """Code mode: adds ``findings``, ``vault`` and ``masked``."""
     found = resolve_overlaps(secret_column(F.col(text), **options))
-    return mask_findings(df.withColumn("findings", found), text, "findings", FORWARD)
+    return mask_findings(with_once(df, "findings", found), text, "findings", FORWARD)
 
 
 def explode_vault(df: DataFrame, session: str, vault: str = "vault") -> DataFrame:

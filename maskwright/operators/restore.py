@@ -39,8 +39,7 @@ def as_entries(vault: Column) -> Column:
 
 def _text_tokens(texts: DataFrame, key: str, session: str, text: str) -> DataFrame:
     return (
-        texts.where(F.contains(text, F.lit("{{")))
-        .select(
+        texts.select(
             F.col(key).alias("_key"), F.col(session).alias("session_id"),
             F.explode_outer(tokens_in(F.col(text))).alias("placeholder"),
         )
@@ -106,8 +105,11 @@ def restore(
     its session, so a session may have any size.  ``depth`` is how far placeholders
     inside restored values are followed; a text that needs more fails the query
     (use ``restore_nested``), it is never left half done.
+
+    The texts are read twice, once for their tokens and once to be rewritten; the
+    joins in between work on the checkpointed tokens alone.
     """
-    tokens = _text_tokens(texts, key, session, text)
+    tokens = checkpointed(_text_tokens(texts, key, session, text))
     level = tokens
     for _ in range(depth):
         level = _nested(level, vault)
@@ -123,7 +125,7 @@ def restore_nested(
     texts: DataFrame, vault: DataFrame, key: str, session: str, text: str = "text",
 ) -> DataFrame:
     """``restore`` for any nesting: repeats until no text shows a new placeholder."""
-    tokens = _text_tokens(texts, key, session, text).distinct()
+    tokens = checkpointed(_text_tokens(texts, key, session, text))
     while True:
         done = checkpointed(_apply(texts, tokens, vault, key, text))
         new = done.where(F.size("_unseen") > 0).select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.spans import FINDINGS, concat_findings, empty, find_spans, rule_findings
+from ..functions.spans import FINDINGS, empty, locate, matched_rules, rule_findings, with_once
 from ..functions.text import is_blank, let, line_text, split_lines
 from ..rules import PII_RULES, SECRET_RULES, SEVERITY_RANK, VULNERABILITY_RULES, select_rules
 
@@ -27,7 +27,7 @@ def pii_column(
     least = hundredths(threshold)
     # A rule that cannot reach the threshold even when boosted need not run.
     chosen = [r for r in chosen if r.pct + (boost if r.context else 0) >= least]
-    found = concat_findings([rule_findings(text, r, boost, context_window) for r in chosen])
+    found = rule_findings(text, chosen, boost, context_window)
     if any(r.pct < least for r in chosen):
         found = F.filter(found, lambda f: f["pct"] >= least)
     return F.when(is_blank(text), empty(FINDINGS)).otherwise(found)
@@ -35,44 +35,42 @@ def pii_column(
 
 def secret_column(text: Column, rules=SECRET_RULES) -> Column:
     """SCAN-SEC: credential findings; spans cover the masked part only."""
-    return concat_findings([rule_findings(text, r, boost=0) for r in rules])
+    return rule_findings(text, rules, boost=0)
 
 
-VULNERABILITY = "struct<rule_no:int,rule_id:string,line:int,start:int>"
+VULNERABILITY = "struct<rule_no:int,line:int,start:int>"
 
 
 def vulnerability_column(text: Column, rules=VULNERABILITY_RULES) -> Column:
     """SCAN-VULN: first match per (rule, line) over the whole text."""
-    return F.concat(*[_first_per_line(text, no, r) for no, r in enumerate(rules)])
+    def of_rule(hit):
+        def first_per_line(matches):
+            first = F.filter(matches, lambda m, i: (i == 0) | (
+                F.get(matches, i - 1)["line"] != m["line"]
+            ))
+            return F.transform(first, lambda m: F.struct(
+                hit["no"].alias("rule_no"), m["line"].alias("line"), m["start"].alias("start")
+            ))
 
+        return let(locate(hit["pieces"], F.lit(0)), first_per_line)
 
-def _first_per_line(text: Column, number: int, rule) -> Column:
-    def dedup(matches):
-        first = F.filter(matches, lambda m, i: (i == 0) | (
-            F.get(matches, i - 1)["line"] != m["line"]
-        ))
-        return F.transform(first, lambda m: F.struct(
-            F.lit(number).alias("rule_no"), F.lit(rule.rule_id).alias("rule_id"),
-            m["line"].alias("line"), m["start"].alias("start"),
-        ))
-
-    return let(find_spans(text, rule.pattern, rule.needs), dedup)
+    return F.flatten(F.transform(matched_rules(text, rules), of_rule)).cast(f"array<{VULNERABILITY}>")
 
 
 def scan(df: DataFrame, text: str = "text", into: str = "findings", **options) -> DataFrame:
     """Add the array of raw PII findings to each document."""
-    return df.withColumn(into, pii_column(F.col(text), **options))
+    return with_once(df, into, pii_column(F.col(text), **options))
 
 
 def scan_secrets(df: DataFrame, text: str = "text", into: str = "findings", rules=SECRET_RULES) -> DataFrame:
-    return df.withColumn(into, secret_column(F.col(text), rules))
+    return with_once(df, into, secret_column(F.col(text), rules))
 
 
 def explode_findings(df: DataFrame, keys: list[str], findings: str = "findings") -> DataFrame:
     """One row per finding.
 
     ``explode_outer`` plus a filter on its output: a plain ``explode`` makes the
-    optimizer test the size of the array below the scan, which runs it twice.
+    optimizer test the size of the array below, at the price of computing it twice.
     """
     f = F.col("_f")
     return (
@@ -139,7 +137,7 @@ def scan_vulnerabilities(
     finding is still in its row.
     """
     keep = [key] + ([ext] if ext else [])
-    scanned = df.select(*keep, text, vulnerability_column(F.col(text), rules).alias("_v"))
+    scanned = with_once(df.select(*keep, text), "_v", vulnerability_column(F.col(text), rules))
 
     def with_line(lines):
         return F.transform(F.col("_v"), lambda v: F.struct(

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.spans import splice
+from ..functions.spans import splice, with_once
 from ..functions.text import is_blank, placeholder
 from .joins import checkpointed, join_hot_keys, number_rows
 from .mask import BACKWARD
@@ -118,8 +118,8 @@ def mask_sessions(
     checkpointed since both the vault and the mask read it.
     """
     hits = checkpointed(
-        docs.select(key, session, sequence, F.explode_outer(F.array(F.struct(found.alias("f")))).alias("_r"))
-        .select(key, session, sequence, F.col("_r")["f"].alias("findings"))
+        with_once(docs, "findings", found)
+        .select(key, session, sequence, "findings")
         .where(F.size("findings") > 0)
     )
     values = session_values(hits, session, sequence, order=order)

@@ -10,7 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal out the rows of a plain file scan that has fewer tasks than there are cores.
+
+    Scanning texts is bound by the CPU, and one small file is one task.  A scan with
+    enough tasks, as any large table has, stays as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(4 * cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def literal(text: str) -> str:

@@ -66,6 +66,12 @@ def masked_code(spark, sf):
     return mask.mask_code(corpora.code(spark, sf))
 
 
+def written(done: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Masked texts and vault as tables of their own, as a later restore finds them."""
+    kept = joins.checkpointed(done.select("doc_id", "masked", "vault"))
+    return kept.select("doc_id", "masked"), mask.explode_vault(kept, "doc_id")
+
+
 PEOPLE_SETTLED = o.with_settled(corpora.PEOPLE_SQL, ENABLED)
 DOCUMENTS_SETTLED = o.with_settled(o.DOCUMENTS_SQL, ENABLED)
 CODE_SETTLED = o.with_settled(corpora.CODE_SQL, SECRET_RULES, clean=False, boost=0)
@@ -308,10 +314,8 @@ def vault_totals(spark, sf):
     SELECT doc_id, CASE WHEN regexp_matches(text, '\\S') THEN text ELSE '' END AS restored FROM documents""")
 def restore_docs(spark, sf):
     """Mask, then restore against the vault table: the text comes back."""
-    done = masked_documents(spark, sf).select("doc_id", "masked", "vault")
-    vault = mask.explode_vault(done, "doc_id")
-    back = restore.restore(done.select("doc_id", "masked"), vault, "doc_id", "doc_id", "masked")
-    return back.select("doc_id", "restored")
+    done, vault = written(masked_documents(spark, sf))
+    return restore.restore(done, vault, "doc_id", "doc_id", "masked").select("doc_id", "restored")
 
 
 @query("restore_in_row", f"""
@@ -329,20 +333,17 @@ def restore_in_row(spark, sf):
     SELECT c.doc_id, count(n.placeholder)::INTEGER AS restored_count
     FROM corpus c LEFT JOIN named n ON n.doc_id = c.doc_id GROUP BY c.doc_id""")
 def restore_count(spark, sf):
-    done = masked_people(spark, sf)
-    back = restore.restore(
-        done.select("doc_id", "masked"), mask.explode_vault(done, "doc_id"), "doc_id", "doc_id", "masked"
-    )
-    return back.select("doc_id", "restored_count")
+    done, vault = written(masked_people(spark, sf))
+    return restore.restore(done, vault, "doc_id", "doc_id", "masked").select("doc_id", "restored_count")
 
 
 @query("unresolved", f"""{PEOPLE_SETTLED}{o.numbered()}
     SELECT doc_id, doc_id AS session_id, placeholder FROM named WHERE label = 'EMAIL'""")
 def unresolved(spark, sf):
     """Placeholders left over when the vault has lost its mail addresses."""
-    done = masked_people(spark, sf)
-    vault = mask.explode_vault(done, "doc_id").where(F.col("label") != "EMAIL")
-    return restore.unresolved(done.select("doc_id", "masked"), vault, "doc_id", "doc_id", "masked")
+    done, vault = written(masked_people(spark, sf))
+    vault = vault.where(F.col("label") != "EMAIL")
+    return restore.unresolved(done, vault, "doc_id", "doc_id", "masked")
 
 
 # ---------------------------------------------------------------- session vaults
@@ -354,11 +355,11 @@ def session_entries(session: str, sequence: str, rows: str = "kept k JOIN corpus
     """CTE snamed: vault of sessions; documents in sequence, spans from the end."""
     return f""",
     occ AS (SELECT {session} AS session_id, label, value, {sequence} AS sequence, -start AS pos FROM {rows}),
-    sfirst AS (SELECT session_id, label, value, min((sequence, pos)) AS at FROM occ GROUP BY ALL),
+    sfirst AS (SELECT session_id, label, value, min((sequence, pos)) AS first_at FROM occ GROUP BY ALL),
     sentries AS (
       SELECT session_id, label, value,
-             row_number() OVER (PARTITION BY session_id, label ORDER BY at)::INTEGER AS n,
-             row_number() OVER (PARTITION BY session_id ORDER BY at)::INTEGER AS seq
+             row_number() OVER (PARTITION BY session_id, label ORDER BY first_at)::INTEGER AS n,
+             row_number() OVER (PARTITION BY session_id ORDER BY first_at)::INTEGER AS seq
       FROM sfirst),
     snamed AS (SELECT *, '{{{{' || label || '_' || n || '}}}}' AS placeholder FROM sentries)"""
 
@@ -397,6 +398,7 @@ def mask_sessions(spark, sf):
 @query("restore_sessions", f"SELECT doc_id, text AS restored FROM ({corpora.CHAT_SQL})")
 def restore_sessions(spark, sf):
     done, vault = chat_sessions(spark, sf)
+    done = joins.checkpointed(done)
     back = restore.restore(done.select("doc_id", "conv_id", "masked"), vault, "doc_id", "conv_id", "masked")
     return back.select("doc_id", "restored")
 
@@ -505,9 +507,6 @@ def entity_selection(spark, sf):
     return mask.mask_documents(people, entities=["EMAIL_ADDRESS", "VEHICLE"]).select("doc_id", "masked")
 
 
-ALLOWED_SQL = "SELECT DISTINCT value FROM clean WHERE entity = 'IP_ADDRESS'"
-
-
 @query("allowlist", f"""
     {o.with_settled(corpora.PEOPLE_SQL, ENABLED, where=" WHERE value NOT IN (SELECT 'www.site' || c_custkey || '.com/p' FROM customer)")}
     SELECT {o.FINDING_SELECT} FROM kept""")

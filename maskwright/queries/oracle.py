@@ -141,7 +141,7 @@ def with_settled(corpus_sql: str, rules, clean: bool = True, extra: str | None =
     if extra:
         raw = f"{raw} UNION ALL {extra}"
     steps = (
-        f"clipped AS ({clipped_rows('raw')}), clean AS ({clean_rows('clipped')}{where})"
+        f"clipped AS ({clipped_rows('raw')}), clean AS (SELECT * FROM ({clean_rows('clipped')}){where})"
         if clean else f"clean AS (SELECT * FROM raw{where})"
     )
     return f"""
@@ -166,13 +166,13 @@ def with_settled(corpus_sql: str, rules, clean: bool = True, extra: str | None =
 
 def numbered(order: str = "backward") -> str:
     """CTE entries: the vault of each document."""
-    way = "max(start) AS at" if order == "backward" else "-min(start) AS at"
+    way = "max(start) AS first_at" if order == "backward" else "-min(start) AS first_at"
     return f""",
     firsts AS (SELECT doc_id, label, value, {way} FROM kept GROUP BY doc_id, label, value),
     entries AS (
       SELECT doc_id, label, value,
-             row_number() OVER (PARTITION BY doc_id, label ORDER BY at DESC)::INTEGER AS n,
-             row_number() OVER (PARTITION BY doc_id ORDER BY at DESC)::INTEGER AS seq
+             row_number() OVER (PARTITION BY doc_id, label ORDER BY first_at DESC)::INTEGER AS n,
+             row_number() OVER (PARTITION BY doc_id ORDER BY first_at DESC)::INTEGER AS seq
       FROM firsts),
     named AS (SELECT *, '{{{{' || label || '_' || n || '}}}}' AS placeholder FROM entries)"""
 

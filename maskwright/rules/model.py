@@ -19,7 +19,8 @@ class SpanRule:
     """One pattern that yields spans.
 
     ``pct`` is the score in hundredths.  ``needs`` are literals of which at
-    least one is part of every match: a cheap test before the pattern runs.
+    least one is part of every match, ``digits`` is the shortest run of digits in
+    any match: cheap tests before the pattern runs.
     ``group`` is the masked capture group and ``tail`` the number of characters
     of the match after that group.
     """
@@ -31,6 +32,8 @@ class SpanRule:
     label: str = ""
     context: tuple[str, ...] = ()
     needs: tuple[str, ...] = ()
+    needs_folded: tuple[str, ...] = ()
+    digits: int = 0
     group: int = 0
     tail: int = 0
     description: str = ""
@@ -48,7 +51,7 @@ class SpanRule:
         return FLAGS + self.regex
 
     def ignoring_case(self) -> "SpanRule":
-        return replace(self, regex="(?i)" + self.regex, needs=())
+        return replace(self, regex="(?i)" + self.regex, needs=(), needs_folded=tuple(n.lower() for n in self.needs) or self.needs_folded)
 
 
 @dataclass(frozen=True)
@@ -64,6 +67,7 @@ class CodeRule:
     advice: str = ""
     languages: tuple[str, ...] = ("python", "js", "ts", "any")
     needs: tuple[str, ...] = ()
+    needs_folded: tuple[str, ...] = ()
 
     def __post_init__(self):
         check_pattern(self.regex)

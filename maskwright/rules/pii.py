@@ -118,6 +118,12 @@ _NEEDS = {
     "DATE_ISO": ("-",),
     "DATE_DMY": ("/", "-"),
 }
+# Shortest run of digits that every match of a rule contains.
+_DIGITS = {
+    "IBAN": 2, "PHONE_LOCAL": 3, "CREDIT_CARD_EXTENDED": 4, "PASSPORT_US": 8, "PASSPORT_UK": 9,
+    "PASSPORT_INTL": 7, "SSN": 4, "UAE_ID": 7, "NATIONAL_ID": 6, "DATE_DMY": 2, "DATE_LONG": 4,
+    "DATE_ISO": 4, "PLATE_UK": 2, "MEDICAL_LICENSE": 7, "US_BANK_NUMBER": 8, "US_DRIVER_LICENSE": 6,
+}
 
 
 def _build() -> tuple[SpanRule, ...]:
@@ -127,6 +133,7 @@ def _build() -> tuple[SpanRule, ...]:
             label=ENTITY_LABELS[entity],
             context=CONTEXT.get(entity, ()),
             needs=_NEEDS.get(rule, ()),
+            digits=_DIGITS.get(rule, 0),
             enabled=entity not in OFF_BY_DEFAULT,
         )
         for entity, rule, pct, regex in _PATTERNS

@@ -59,13 +59,23 @@ _PATTERNS = (
      r"https://hooks\.slack\.com/services/[\w/]+", "Slack webhook URL"),
     ("WEBHOOK_URL", "WEBHOOK_DISCORD", 97, ("/api/webhooks/",), 0, 0,
      r"https://discord(?:app)?\.com/api/webhooks/\d+/[\w-]+", "Discord webhook URL"),
-    ("IP_ADDRESS", "IP_IN_CODE", 75, (), 1, 1,
+    ("IP_ADDRESS", "IP_IN_CODE", 75, (".",), 1, 1,
      rf"(?i)\b\w*(?:host|server|binding|addr|ip)\w*\s*[=:]\s*{_Q}({IPV4}){_Q}", "IP address in code"),
 )
 # --- end of fixed values
 
+# Literals, case aside, of which every match contains one.
+_NEEDS_FOLDED = {
+    "AZURE_SECRET": ("azure",),
+    "TOKEN_BEARER": ("bearer",),
+    "TOKEN_ASSIGNED": ("token",),
+    "PASSWORD": ("password", "passwd", "pwd"),
+    "SECRET": ("secret",),
+    "IP_IN_CODE": ("host", "server", "binding", "addr", "ip"),
+}
+
 SECRET_RULES = tuple(
     SpanRule(label, rule, regex, pct, label=label, needs=needs, group=group, tail=tail,
-             description=description)
+             needs_folded=_NEEDS_FOLDED.get(rule, ()), description=description)
     for label, rule, pct, needs, group, tail, regex, description in _PATTERNS
 )

@@ -14,6 +14,7 @@ VULNERABILITY_RULES = (
         r"(?i)(execute|cursor\.execute|query|raw)\s*\(\s*['\"].*?['\"].*?%|f['\"].*?SELECT|f['\"].*?INSERT|f['\"].*?UPDATE|f['\"].*?DELETE",
         "CWE-89: SQL Injection",
         "Use parameterized queries or an ORM instead of string formatting.",
+        needs_folded=("execute", "query", "raw", "select", "insert", "update", "delete"),
     ),
     CodeRule(
         "SEC-RULE-002", "Command Injection Risk",
@@ -31,6 +32,7 @@ VULNERABILITY_RULES = (
         r"(?i)ldap.*search.*filter.*[\+%]|ldap.*filter.*format",
         "CWE-90: LDAP Injection",
         "Use an LDAP library that supports parameterized filters and escape all user input.",
+        needs_folded=("ldap",),
     ),
     CodeRule(
         "SEC-RULE-004", "XPath Injection Risk",
@@ -39,6 +41,7 @@ VULNERABILITY_RULES = (
         r"(?i)xpath.*[\+%].*input|find\(.*f['\"]",
         "CWE-643: XPath Injection",
         "Sanitize all user input before including in XPath expressions.",
+        needs_folded=("xpath", "find("),
     ),
     CodeRule(
         "SEC-RULE-005", "Weak Hashing Algorithm",
@@ -47,6 +50,7 @@ VULNERABILITY_RULES = (
         r"(?i)hashlib\.(md5|sha1)\s*\(|(?:md5|sha1)\s*\(",
         "CWE-327: Use of Broken Cryptographic Algorithm",
         "Use SHA-256 or stronger. For passwords, use bcrypt, scrypt, or argon2.",
+        needs_folded=("md5", "sha1"),
     ),
     CodeRule(
         "SEC-RULE-006", "Hardcoded Salt or IV",
@@ -55,6 +59,7 @@ VULNERABILITY_RULES = (
         r"(?i)(?:salt|iv|nonce)\s*=\s*['\"][^'\"]{4,}['\"]",
         "CWE-760: Predictable Salt",
         "Generate cryptographic salt/IV randomly using os.urandom() or secrets module.",
+        needs_folded=("salt", "iv", "nonce"),
     ),
     CodeRule(
         "SEC-RULE-007", "Insecure Random Number Generator",
@@ -63,6 +68,7 @@ VULNERABILITY_RULES = (
         r"(?i)import random|random\.(?:random|randint|choice|seed)\s*\(",
         "CWE-338: Use of Cryptographically Weak PRNG",
         "Use the secrets module for security-sensitive random values.",
+        needs_folded=("random",),
     ),
     CodeRule(
         "SEC-RULE-008", "Unsafe Deserialization (pickle)",
@@ -98,6 +104,7 @@ VULNERABILITY_RULES = (
         r"(?i)verify\s*=\s*False|ssl_verify\s*=\s*False|check_hostname\s*=\s*False",
         "CWE-295: Improper Certificate Validation",
         "Never disable certificate verification in production. Fix the certificate instead.",
+        needs_folded=("verify", "check_hostname"),
     ),
     CodeRule(
         "SEC-RULE-012", "Hardcoded HTTP (Non-HTTPS) URL",
@@ -124,6 +131,7 @@ VULNERABILITY_RULES = (
         r"(?i)(?:jwt|token).*secret\s*=\s*['\"][^'\"]{4,}['\"]",
         "CWE-321: Use of Hard-coded Cryptographic Key",
         "Load JWT secrets from environment variables or a secrets manager.",
+        needs_folded=("secret",),
     ),
     CodeRule(
         "SEC-RULE-015", "Weak Session Secret",
@@ -132,6 +140,7 @@ VULNERABILITY_RULES = (
         r"(?i)(?:secret[_-]?key|session[_-]?secret)\s*=\s*['\"][^'\"]{4,20}['\"]",
         "CWE-331: Insufficient Entropy",
         "Use a cryptographically random secret of at least 32 bytes via secrets.token_hex(32).",
+        needs_folded=("secret",),
     ),
     CodeRule(
         "SEC-RULE-016", "Path Traversal Risk",
@@ -140,6 +149,7 @@ VULNERABILITY_RULES = (
         r"(?i)open\s*\(\s*(?:request|input|user|param|data)|os\.path\.join\s*\([^)]*(?:request|input|user)",
         "CWE-22: Path Traversal",
         "Validate and sanitize file paths. Use pathlib and ensure the resolved path is within the expected directory.",
+        needs_folded=("open", "os.path.join"),
     ),
     CodeRule(
         "SEC-RULE-017", "Insecure Temporary File",
@@ -157,6 +167,7 @@ VULNERABILITY_RULES = (
         r"(?i)(?:debug\s*=\s*True|app\.run\s*\([^)]*debug\s*=\s*True)",
         "CWE-94: Improper Control of Generation of Code",
         "Disable debug mode in production. Use environment variables to control this.",
+        needs_folded=("debug",),
     ),
     CodeRule(
         "SEC-RULE-019", "Sensitive Data in Log Statement",
@@ -165,6 +176,7 @@ VULNERABILITY_RULES = (
         r"(?i)(?:log|print|logger)\s*.*(?:password|passwd|secret|token|api_key|credential)",
         "CWE-532: Insertion of Sensitive Information into Log File",
         "Never log sensitive values. Mask or omit them from log output.",
+        needs_folded=("password", "passwd", "secret", "token", "api_key", "credential"),
     ),
     CodeRule(
         "SEC-RULE-020", "Unpinned Dependency",
