@@ -5,6 +5,9 @@ Everything here is row-local, so a scan of any size needs no shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .text import let, newline_count
@@ -20,7 +23,7 @@ MATCH = "struct<start:int,end:int,line:int,value:string>"
 # Arrays grow in blocks of this size, so that a text with very many matches
 # costs time in proportion to their number.
 BLOCK = 256
-MARK = "\x01"
+MARK, FENCE = "\x01", "\x02"
 STRINGS = "array<string>"
 NEAR = 96
 
@@ -31,10 +34,7 @@ def empty(kind: str) -> Column:
 
 def might_match(text: Column, needs: tuple[str, ...]) -> Column:
     """Cheap test: one of the literals that every match contains is there."""
-    some = F.lit(not needs)
-    for literal in needs:
-        some = some | F.contains(text, F.lit(literal))
-    return some
+    return reduce(or_, [F.contains(text, F.lit(n)) for n in needs]) if needs else F.lit(True)
 
 
 def folded(text: Column) -> Column:
@@ -42,39 +42,45 @@ def folded(text: Column) -> Column:
     return F.lower(F.upper(text))
 
 
-def cut(text: Column, pattern: str, group: int = 0) -> Column:
-    """The text cut at its matches: gap, match, group, gap, match, group, ... gap.
+def mark_for(text: Column) -> Column:
+    """A string that the text does not hold and cannot form with an inserted copy.
 
-    NULL when nothing matches.  One pass of the pattern puts a control character
-    around each match, which shows in the size of the text, and the text is split
-    there.  The text must not hold that character itself.
+    One control character, unless the text has it: then a run of it longer than any
+    in the text, between two characters of another kind.
     """
-    wanted = f"${group}" if group else ""
-    marked = F.regexp_replace(text, pattern, f"{MARK}$0{MARK}{wanted}{MARK}")
-    return let(marked, lambda m: F.when(
-        F.octet_length(m) != F.octet_length(text), F.split(m, MARK, -1)
-    ))
-
+    runs = F.regexp_extract_all(text, F.lit(MARK + "+"), F.lit(0))
+    longest = F.array_max(F.transform(runs, F.length))
+    fence = F.lit(FENCE)
+    return F.when(
+        F.contains(text, F.lit(MARK)),
+        F.concat(fence, F.repeat(F.lit(MARK), longest + 1), fence),
+    ).otherwise(F.lit(MARK))
+
+
+def replacements(mark: Column) -> tuple[Column, Column]:
+    """What ``cut`` puts in place of a match: without and with its first group."""
+    return (
+        F.concat(mark, F.lit("$0"), mark, mark),
+        F.concat(mark, F.lit("$0"), mark, F.lit("$1"), mark),
+    )
 
-def cut_marked(text: Column, pattern: str, group: int = 0) -> Column:
-    """``cut`` for any text, at the price of three passes."""
-    groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else empty(STRINGS)
-    rows = F.arrays_zip(
-        F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), groups
-    ).cast("array<struct<gap:string,hit:string,value:string>>")
-    return F.when(text.rlike(pattern), F.flatten(F.transform(rows, lambda r: F.array(
-        r["gap"], F.coalesce(r["hit"], F.lit("")), F.coalesce(r["value"], F.lit(""))
-    ))))
 
+def cut(text: Column, pattern: str, mark: Column, replacement: Column) -> Column:
+    """The text cut at its matches: gap, match, group, gap, match, group, ... gap.
 
-def by_marks(text: Column, build) -> Column:
-    """``build(cut)``, or ``build(cut_marked)`` for the rare text that holds the mark."""
-    return F.when(F.contains(text, F.lit(MARK)), build(cut_marked)).otherwise(build(cut))
+    NULL when nothing matches.  One pass of the pattern puts marks around each match,
+    which shows in the size of the text, and the text is split there.
+    """
+    return let(F.regexp_replace(text, F.lit(pattern), replacement), lambda m: F.when(
+        F.octet_length(m) != F.octet_length(text), F.split(m, mark, -1)
+    ))
 
 
 def find_spans(text: Column, pattern: str, needs: tuple[str, ...] = ()) -> Column:
     """All non-overlapping matches of a pattern with code-point offsets and line."""
-    pieces = by_marks(text, lambda cut_at: F.when(might_match(text, needs), cut_at(text, pattern)))
+    pieces = F.when(might_match(text, needs), let(
+        mark_for(text), lambda mark: cut(text, pattern, mark, replacements(mark)[0])
+    ))
     return let(pieces, lambda p: F.when(p.isNull(), empty(f"array<{MATCH}>")).otherwise(
         locate(p, F.lit(0))
     ))
@@ -161,27 +167,37 @@ def matched_rules(text: Column, rules) -> Column:
     of digits are settled by one look at the longest run.
     """
     def all_rules(facts):
-        def pieces(cut_at, number, rule):
-            test = might_match(text, rule.needs)
-            if rule.needs_folded:
-                test = test & might_match(facts["folded"], rule.needs_folded)
+        def pieces(number, rule):
+            group = getattr(rule, "group", 0)
+            found = cut(text, rule.pattern, facts["mark"], facts["with_group" if group else "alone"])
+            tests = [
+                might_match(where, literals)
+                for where, literals in ((text, rule.needs), (facts["folded"], rule.needs_folded))
+                if literals
+            ]
             if getattr(rule, "digits", 0):
-                test = (facts["longest"] >= rule.digits) & test
-            found = F.when(test, cut_at(text, rule.pattern, getattr(rule, "group", 0)))
-            return let(found, lambda p: F.when(p.isNotNull(), F.struct(
-                F.lit(number).alias("no"), p.alias("pieces")
-            )))
-
-        return by_marks(text, lambda cut_at: F.array_compact(
-            F.array(*[pieces(cut_at, no, r) for no, r in enumerate(rules)])
-        ))
+                tests.append(facts["longest"] >= rule.digits)
+            if tests:
+                found = F.when(reduce(and_, tests), found)
+            return F.struct(F.lit(number).alias("no"), found.alias("pieces"))
+
+        return F.filter(
+            F.array(*[pieces(no, r) for no, r in enumerate(rules)]), lambda p: p["pieces"].isNotNull()
+        )
+
+    def facts(mark):
+        alone, with_group = replacements(mark)
+        return F.struct(
+            mark.alias("mark"), alone.alias("alone"), with_group.alias("with_group"),
+            (longest_number(text) if by_digits else F.lit(0)).alias("longest"),
+            (folded(text) if by_folded else F.lit("")).alias("folded"),
+        )
 
+    if any(getattr(r, "group", 0) > 1 for r in rules):
+        raise ValueError("the masked group of a rule must be its first")
     by_digits = any(getattr(r, "digits", 0) for r in rules)
     by_folded = any(r.needs_folded for r in rules)
-    return let(F.struct(
-        (longest_number(text) if by_digits else F.lit(0)).alias("longest"),
-        (folded(text) if by_folded else F.lit("")).alias("folded"),
-    ), all_rules)
+    return let(let(mark_for(text), facts), all_rules)
 
 
 def with_once(df: DataFrame, into: str, value: Column) -> DataFrame:
