@@ -5,19 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.spans import find_spans
-from ..functions.text import strip
+from ..functions.spans import FINDINGS, empty, find_spans, with_once
+from ..functions.text import let, strip
 from ..rules import CodeRule, ENTITY_LABELS, GAZETTEER_PCT, SpanRule
 from ..rules.model import FLAGS
-from .scan import SCORE
+from .scan import SCORE, add_findings
 
 FINDING_ROWS = (
     "entity string, label string, rule string, start int, end int, score decimal(4,2), "
     "line_number int, value string"
 )
 MAX_RULES = 500
+SHORT_LIST = 2000
 
 _WORD = r"\w[\w'’-]*"
 # A capitalised word; the one or two words after it on the same line are caught
@@ -26,8 +27,8 @@ _NAME_START = FLAGS + rf"\b(?=\p{{Lu}})({_WORD})(?=((?:[ \t]+{_WORD}){{0,2}}))"
 _ONE_WORD = FLAGS + rf"\A[ \t]+{_WORD}"
 
 
-def name_candidates(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """1- to 3-word sequences that start with a capital: (key, start, end, line, value, name)."""
+def name_grams(text: Column) -> Column:
+    """1- to 3-word sequences that start with a capital, as one array per text."""
     def grams(hit, follow):
         first = F.regexp_extract(follow, _ONE_WORD, 0)
 
@@ -47,10 +48,14 @@ def name_candidates(df: DataFrame, key: str, text: str = "text") -> DataFrame:
         )
 
     kind = "array<struct<start:int,end:int,line_number:int,value:string>>"
-    follows = F.regexp_extract_all(F.col(text), F.lit(_NAME_START), F.lit(2))
-    found = F.flatten(F.zip_with(find_spans(F.col(text), _NAME_START), follows, grams))
+    follows = F.regexp_extract_all(text, F.lit(_NAME_START), F.lit(2))
+    return F.flatten(F.zip_with(find_spans(text, _NAME_START), follows, grams))
+
+
+def name_candidates(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """The sequences as rows: (key, start, end, line_number, value, name)."""
     return (
-        df.select(key, F.explode_outer(found).alias("_c"))
+        df.select(key, F.explode_outer(name_grams(F.col(text))).alias("_c"))
         .where(F.col("_c").isNotNull())
         .select(key, "_c.*", normal_name(F.col("_c")["value"]).alias("name"))
     )
@@ -77,6 +82,52 @@ def gazetteer_findings(
     )
 
 
+def short_gazetteer(gazetteer: DataFrame) -> dict[str, list[str]] | None:
+    """Names per entity when the table has at most ``SHORT_LIST`` of them, else None."""
+    names = gazetteer.select(normal_name(F.col("name")).alias("name"), "entity").distinct()
+    rows = names.limit(SHORT_LIST + 1).collect()
+    if len(rows) > SHORT_LIST:
+        return None
+    lists: dict[str, list[str]] = {}
+    for row in sorted(rows, key=lambda r: (r["entity"], r["name"])):
+        lists.setdefault(row["entity"], []).append(row["name"])
+    return lists
+
+
+def gazetteer_column(text: Column, names: dict[str, list[str]]) -> Column:
+    """Findings of short name lists within the row: hash look-ups, nothing is joined."""
+    if not names:
+        return empty(FINDINGS)
+
+    def findings(grams):
+        def of_entity(entity, listed):
+            hits = F.filter(grams, lambda g: normal_name(g["value"]).isin(listed))
+            return F.transform(hits, lambda g: F.struct(
+                g["start"].alias("start"), g["end"].alias("end"), F.lit(GAZETTEER_PCT).alias("pct"),
+                F.lit(entity).alias("entity"), F.lit(ENTITY_LABELS.get(entity, entity)).alias("label"),
+                F.lit("GAZETTEER").alias("rule"), g["line_number"].alias("line"), g["value"].alias("value"),
+            )).cast(FINDINGS)
+
+        return F.concat(*[of_entity(entity, listed) for entity, listed in names.items()])
+
+    return let(name_grams(text), findings)
+
+
+def with_gazetteer(
+    df: DataFrame, gazetteer: DataFrame, key: str, text: str = "text", findings: str = "findings",
+) -> DataFrame:
+    """Add gazetteer findings to the findings of each document.
+
+    A short list is looked up in place; a long one is joined, which brings the texts
+    together with the result by document key.
+    """
+    names = short_gazetteer(gazetteer)
+    if names is None:
+        return add_findings(df, gazetteer_findings(df, gazetteer, key, text), key, findings)
+    both = F.concat(F.col("_patterns"), gazetteer_column(F.col(text), names))
+    return with_once(df.withColumnRenamed(findings, "_patterns"), findings, both).drop("_patterns")
+
+
 def user_recognizer(
     df: DataFrame, recognize: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
     key: str, text: str = "text",

@@ -61,7 +61,13 @@ def _apply(texts: DataFrame, tokens: DataFrame, vault: DataFrame, key: str, text
         F.array_sort(F.collect_list(F.struct("seq", "placeholder", "value"))).alias("_entries")
     )
     per_text = looked_up.join(entries, "_key", "left").withColumnRenamed("_key", key)
-    joined = texts.join(per_text, key, "left")
+    # Texts without a placeholder stay where they are; only the others are joined.
+    holds = F.coalesce(F.contains(text, F.lit("{{")), F.lit(False))
+    joined = texts.where(holds).join(per_text, key, "left")
+    untouched = texts.where(~holds).select(
+        "*", F.col(text).alias("restored"), F.lit(0).alias("restored_count"),
+        F.array().cast("array<string>").alias("_unseen"),
+    )
 
     def step(acc, e):
         changed = F.replace(acc["t"], e["placeholder"], e["value"])
@@ -73,7 +79,7 @@ def _apply(texts: DataFrame, tokens: DataFrame, vault: DataFrame, key: str, text
     run = F.when(F.col("_entries").isNull(), start).otherwise(
         F.aggregate("_entries", start, step)
     )
-    return (
+    replaced = (
         joined.withColumn("_run", run)
         .withColumn("restored", F.col("_run")["t"])
         .withColumn("restored_count", F.when(F.col("_entries").isNull(), 0).otherwise(
@@ -84,6 +90,7 @@ def _apply(texts: DataFrame, tokens: DataFrame, vault: DataFrame, key: str, text
         ))
         .drop("_run", "_entries", "_tokens")
     )
+    return replaced.unionByName(untouched)
 
 
 def _nested(tokens: DataFrame, vault: DataFrame) -> DataFrame:

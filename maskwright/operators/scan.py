@@ -104,8 +104,12 @@ def add_findings(df: DataFrame, rows: DataFrame, key: str, findings: str = "find
 
 
 def scan_report(df: DataFrame, key: str, text: str = "text", **options) -> DataFrame:
-    """SORT-2: all raw findings by document and start, with rounded scores."""
-    rows = explode_findings(scan(df.select(key, text), text, **options), [key])
+    """All raw findings with rounded scores; rows of a document come by start (SORT-2).
+
+    The order is that of the sorted array in each row: no sort across documents.
+    """
+    found = scan(df.select(key, text), text, **options)
+    rows = explode_findings(found.withColumn("findings", F.array_sort("findings")), [key])
     return rows.select(
         key, F.col("entity").alias("entity_type"), "value", F.round("score", 2).alias("score"),
         "start", "end",

@@ -78,8 +78,9 @@ def mask_with_vault(
     """MASK-1 over a vault table: ``docs`` plus ``masked``.
 
     ``findings`` is ``(key, session, findings)`` of the documents that have any.
-    Only distinct (document, label, value) rows meet the vault; only the texts of
-    documents with findings are shuffled to their marks.
+    Only distinct (document, label, value) rows meet the vault.  The texts meet their
+    marks by document key: a broadcast when the marks are small, no exchange of texts
+    when the corpus is bucketed by that key, else one shuffle.
     """
     f = F.col("_f")
     wanted = findings.select(

@@ -201,7 +201,7 @@ def test_vault_pieces_keep_the_order(spark, monkeypatch):
     assert sorted(map(tuple, vaults.open_vault(sealed, F.lit("x")).collect())) == sorted(map(tuple, vault.collect()))
 
 
-def test_gazetteer_finds_names_inside_runs(spark, texts):
+def test_gazetteer_finds_names_inside_runs(spark, texts, monkeypatch):
     df = texts("Hi James Robert Miller said Dubai, and dubai. James\nRobert", "Mohammed Al Rashid of Dubai A 12345")
     names = spark.createDataFrame(
         [("james robert miller", "PERSON"), ("Mohammed Al Rashid", "PERSON"), ("DUBAI", "LOCATION"), ("James", "PERSON")],
@@ -212,7 +212,11 @@ def test_gazetteer_finds_names_inside_runs(spark, texts):
         (0, "James Robert Miller", 3), (0, "James", 3), (0, "Dubai", 28), (0, "James", 46),
         (1, "Mohammed Al Rashid", 0), (1, "Dubai", 22),
     }
-    found_ = scan.add_findings(scan.scan(df), recognizers.gazetteer_findings(df, names, "doc_id"), "doc_id")
+    in_row = recognizers.with_gazetteer(scan.scan(df), names, "doc_id")
+    monkeypatch.setattr(recognizers, "SHORT_LIST", 2)
+    found_ = recognizers.with_gazetteer(scan.scan(df), names, "doc_id")
+    sets = [sorted(map(tuple, scan.explode_findings(x, ["doc_id"]).collect())) for x in (in_row, found_)]
+    assert sets[0] == sets[1]
     out = mask.mask_findings(
         found_.withColumn("findings", filters.settle(F.col("findings"))), "text", "findings", mask.BACKWARD
     ).orderBy("doc_id").collect()
