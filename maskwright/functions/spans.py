@@ -10,7 +10,7 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import let, newline_count
+from .text import constant, let, newline_count
 
 # The struct starts with its position, so natural order is reading order.
 FINDING = (
@@ -213,14 +213,11 @@ def rule_findings(text: Column, rules, boost: int = 35, window: int = 5) -> Colu
     """Findings of all rules in rule order, with the context boost applied."""
     if not rules:
         return empty(FINDINGS)
-    table = F.array(*[
-        F.struct(
-            F.lit(r.pct).alias("pct"), F.lit(r.entity).alias("entity"), F.lit(r.label).alias("label"),
-            F.lit(r.rule).alias("rule"), F.lit(r.tail).alias("tail"),
-            F.array(*[F.lit(w) for w in r.context]).cast("array<string>").alias("context"),
-        )
-        for r in rules
-    ])
+    table = constant(
+        [{"pct": r.pct, "entity": r.entity, "label": r.label, "rule": r.rule, "tail": r.tail,
+          "context": r.context} for r in rules],
+        "array<struct<pct:int,entity:string,label:string,rule:string,tail:int,context:array<string>>>",
+    )
     boosted = boost and any(r.context and r.pct < 100 for r in rules)
 
     def of_rule(hit):

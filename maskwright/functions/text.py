@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, functions as F
 
 from ..rules.model import FLAGS
@@ -16,8 +18,13 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def constant(value, kind: str) -> Column:
+    """A nested constant from plain data; folded into one literal when the plan is made."""
+    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), kind)
+
+
 def as_map(values: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    return constant(values, "map<string,string>")
 
 
 def strip(text: Column) -> Column:

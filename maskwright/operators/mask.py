@@ -76,16 +76,24 @@ def mask_findings(
     )
 
 
-def mask_documents(df: DataFrame, text: str = "text", allowed=(), **options) -> DataFrame:
+def find_pii(df: DataFrame, text: str = "text", allowed=(), **options) -> DataFrame:
+    """Adds the ``findings`` of document mode: scanned, cleaned, without overlaps."""
+    return with_once(df, "findings", settle(pii_column(F.col(text), **options), allowed=allowed))
+
+
+def find_secrets(df: DataFrame, text: str = "text", **options) -> DataFrame:
+    """Adds the ``findings`` of code mode: credentials without overlaps."""
+    return with_once(df, "findings", resolve_overlaps(secret_column(F.col(text), **options)))
+
+
+def mask_documents(df: DataFrame, text: str = "text", **options) -> DataFrame:
     """Document mode: adds ``findings``, ``vault`` and ``masked``."""
-    found = settle(pii_column(F.col(text), **options), allowed=allowed)
-    return mask_findings(with_once(df, "findings", found), text, "findings", BACKWARD)
+    return mask_findings(find_pii(df, text, **options), text, "findings", BACKWARD)
 
 
 def mask_code(df: DataFrame, text: str = "text", **options) -> DataFrame:
     """Code mode: adds ``findings``, ``vault`` and ``masked``."""
-    found = resolve_overlaps(secret_column(F.col(text), **options))
-    return mask_findings(with_once(df, "findings", found), text, "findings", FORWARD)
+    return mask_findings(find_secrets(df, text, **options), text, "findings", FORWARD)
 
 
 def explode_vault(df: DataFrame, session: str, vault: str = "vault") -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.spans import FINDINGS, empty, find_spans, with_once
-from ..functions.text import let, strip
+from ..functions.text import as_map, let, strip
 from ..rules import CodeRule, ENTITY_LABELS, GAZETTEER_PCT, SpanRule
 from ..rules.model import FLAGS
 from .scan import SCORE, add_findings
@@ -74,7 +74,7 @@ def gazetteer_findings(
     broadcast by its measured size, a large one shuffled.
     """
     names = gazetteer.select(normal_name(F.col("name")).alias("name"), "entity").distinct()
-    labels = F.create_map(*[F.lit(x) for pair in ENTITY_LABELS.items() for x in pair])
+    labels = as_map(ENTITY_LABELS)
     return name_candidates(df, key, text).join(names, "name").select(
         key, "entity", F.coalesce(F.try_element_at(labels, F.col("entity")), "entity").alias("label"),
         F.lit("GAZETTEER").alias("rule"), "start", "end",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.spans import FINDINGS, empty, locate, matched_rules, rule_findings, with_once
-from ..functions.text import is_blank, let, line_text, split_lines
+from ..functions.text import as_map, constant, is_blank, let, line_text, split_lines
 from ..rules import PII_RULES, SECRET_RULES, SEVERITY_RANK, VULNERABILITY_RULES, select_rules
 
 SCORE = "decimal(4,2)"
@@ -118,7 +118,7 @@ def scan_report(df: DataFrame, key: str, text: str = "text", **options) -> DataF
 
 def secret_report(df: DataFrame, key: str, findings: str = "findings", rules=SECRET_RULES) -> DataFrame:
     """Secret findings with description and whole per cent."""
-    texts = F.create_map(*[F.lit(x) for r in rules for x in (r.rule, r.description)])
+    texts = as_map({r.rule: r.description for r in rules})
     return (
         explode_findings(df, [key], findings)
         .withColumn("description", F.try_element_at(texts, F.col("rule")))
@@ -157,30 +157,26 @@ def scan_vulnerabilities(
     ).where(F.col("_v").isNotNull())
     v = F.col("_v")
 
-    def of_rule(pick):
-        return F.get(F.array(*[F.lit(pick(r)) for r in rules]), v["rule_no"])
-
+    fields = ("rule_id", "title", "description", "severity", "cwe", "advice")
+    table = constant(
+        [{f: getattr(r, f) for f in fields} for r in rules],
+        "array<struct<" + ",".join(f"{f}:string" for f in fields) + ">>",
+    )
+    rule = F.get(table, v["rule_no"])
     out = hits.select(
         *keep,
-        of_rule(lambda r: r.rule_id).alias("rule_id"),
-        of_rule(lambda r: r.title).alias("title"),
-        of_rule(lambda r: r.description).alias("description"),
-        of_rule(lambda r: r.severity).alias("severity"),
+        *[rule[f].alias(f) for f in fields[:4]],
         v["line"].alias("line_number"), v["text"].alias("line_text"),
-        of_rule(lambda r: r.cwe).alias("cwe"),
-        of_rule(lambda r: r.advice).alias("advice"),
+        *[rule[f].alias(f) for f in fields[4:]],
         F.lit("custom").alias("source"),
         v["rule_no"].alias("rule_no"), v["start"].alias("start"),
     )
     if ext and any("any" not in r.languages for r in rules):
-        kinds = F.create_map(*[x for r in rules for x in (
-            F.lit(r.rule_id), F.array(*[F.lit(k) for k in r.languages])
-        )])
+        kinds = constant({r.rule_id: r.languages for r in rules}, "map<string,array<string>>")
         langs = F.element_at(kinds, F.col("rule_id"))
         out = out.where(F.array_contains(langs, F.lit("any")) | F.array_contains(langs, F.col(ext)))
     return out
 
 
 def severity_rank(severity: Column) -> Column:
-    ranks = F.create_map(*[F.lit(x) for pair in SEVERITY_RANK.items() for x in pair])
-    return F.element_at(ranks, severity)
+    return F.element_at(constant(SEVERITY_RANK, "map<string,int>"), severity)

@@ -244,7 +244,7 @@ def fp_filter(spark, sf):
 
 @query("overlap_resolve", f"{PEOPLE_SETTLED} SELECT {o.FINDING_SELECT} FROM kept")
 def overlap_resolve(spark, sf):
-    return scan.explode_findings(masked_people(spark, sf), ["doc_id"]).select(*FINDING_OUT)
+    return scan.explode_findings(mask.find_pii(corpora.people(spark, sf)), ["doc_id"]).select(*FINDING_OUT)
 
 
 @query("overlap_conflicts", f"""{PEOPLE_SETTLED}
@@ -600,7 +600,7 @@ for _rule in SECRET_RULES:
     {o.with_settled(o.DOCUMENTS_SQL, SECRET_RULES, clean=False, boost=0)}
     SELECT {SECRET_OUT}, {o.line_of()} AS line_number, pct::INTEGER AS percent FROM kept""")
 def documents_secrets(spark, sf):
-    done = mask.mask_code(corpora.documents(spark, sf).select("doc_id", "text"))
+    done = mask.find_secrets(corpora.documents(spark, sf).select("doc_id", "text"))
     return scan.secret_report(done, "doc_id").select(
         "doc_id", "label", "rule", "start", "end", "score", "value", "line_number", "percent"
     )
@@ -610,7 +610,7 @@ def documents_secrets(spark, sf):
     SELECT doc_id, label, CASE rule {' '.join(f"WHEN '{r.rule}' THEN {lit(r.description)}" for r in SECRET_RULES)} END AS description,
            {o.line_of()} AS line_number, pct::INTEGER AS percent FROM kept""")
 def secret_report(spark, sf):
-    return scan.secret_report(masked_code(spark, sf), "doc_id").select(
+    return scan.secret_report(mask.find_secrets(corpora.code(spark, sf)), "doc_id").select(
         "doc_id", "label", "description", "line_number", "percent"
     )
 
@@ -627,7 +627,7 @@ def vault_code(spark, sf):
 
 @query("secret_counts", f"{CODE_SETTLED} SELECT doc_id, label, count(*) AS n FROM kept GROUP BY ALL")
 def secret_counts(spark, sf):
-    rows = scan.explode_findings(masked_code(spark, sf), ["doc_id"])
+    rows = scan.explode_findings(mask.find_secrets(corpora.code(spark, sf)), ["doc_id"])
     return report.secret_counts(rows, "doc_id")
 
 
@@ -636,7 +636,7 @@ def secret_counts(spark, sf):
            array_to_string(string_split(regexp_replace(text, '\\n$', ''), chr(10))[greatest(line_number - 2, 1):line_number + 2], chr(10)) AS snippet
     FROM (SELECT *, {o.line_of()} AS line_number FROM kept)""")
 def snippets(spark, sf):
-    return report.snippets(masked_code(spark, sf), "findings", "doc_id")
+    return report.snippets(mask.find_secrets(corpora.code(spark, sf)), "findings", "doc_id")
 
 
 # ---------------------------------------------------------------- vulnerabilities
@@ -785,7 +785,7 @@ def riskiest(spark, sf):
     FROM corpus c LEFT JOIN b ON b.doc_id = c.doc_id LEFT JOIN s ON s.doc_id = c.doc_id""")
 def final_status(spark, sf):
     code = corpora.code(spark, sf)
-    secrets = scan.explode_findings(masked_code(spark, sf), ["doc_id"])
+    secrets = scan.explode_findings(mask.find_secrets(code), ["doc_id"])
     return report.final_status(code, scan.scan_vulnerabilities(code, "doc_id"), secrets, "doc_id")
 
 
@@ -816,7 +816,8 @@ def user_code_rules(spark, sf):
            count(*) AS findings, count(DISTINCT k.doc_id) AS documents
     FROM kept k JOIN documents d ON d.doc_id = k.doc_id GROUP BY ROLLUP (d.source, d.lang, k.label)""")
 def exposure_rollup(spark, sf):
-    rows = scan.explode_findings(masked_documents(spark, sf), ["doc_id", "source", "lang"])
+    docs = corpora.documents(spark, sf).select("doc_id", "source", "lang", "text")
+    rows = scan.explode_findings(mask.find_pii(docs), ["doc_id", "source", "lang"])
     return report.exposure(rows, ["source", "lang"], "doc_id")
 
 
