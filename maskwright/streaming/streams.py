@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.filters import settle
@@ -25,15 +26,24 @@ def mask_stream(stream: DataFrame, text: str = "text", **options) -> DataFrame:
     return mask_documents(stream, text, **options)
 
 
+VAULT_SCHEMA = (
+    "session_id bigint, placeholder string, label string, n int, value string, seq int, generation int"
+)
+SEEN_SCHEMA = "session_id bigint, generation int, at timestamp"
+
+
 @dataclass
 class SessionVault:
     """STR-2 and STR-4: a vault per session over a stream.
 
-    ``folder`` is on shared storage.  It gets ``vault/batch=N`` (new entries),
-    ``seen/batch=N`` (sessions of the batch) and ``masked/batch=N``.  With
-    ``ttl_seconds`` a session that was silent for longer starts over with an empty
-    vault of the next generation; time is the largest value of ``event_time`` in
-    the batch, so a repeated batch decides the same.
+    ``folder`` is on shared storage.  Each micro-batch N adds ``vault/batch=N`` (new
+    entries), ``seen/batch=N`` (its sessions) and ``masked/batch=N``.  Every
+    ``compact_every`` batches the live state is rewritten as one snapshot, so a batch
+    reads a snapshot and a bounded number of small folders.
+
+    With ``ttl_seconds`` a session that was silent for longer starts over with an empty
+    vault of the next generation; time is the largest value of ``event_time`` in the
+    batch, so a repeated batch decides the same.
     """
 
     folder: str
@@ -43,36 +53,46 @@ class SessionVault:
     text: str = "text"
     event_time: str | None = None
     ttl_seconds: int | None = None
+    compact_every: int = 50
 
-    def _table(self, spark: SparkSession, name: str, schema: str, before: int) -> DataFrame:
-        rows = spark.read.schema(f"{schema}, batch int").option("basePath", f"{self.folder}/{name}")
+    def _rows(self, spark: SparkSession, name: str, schema: str) -> DataFrame:
         try:
-            return rows.parquet(f"{self.folder}/{name}").where(F.col("batch") < before)
-        except Exception as missing:  # no batch has been written yet
-            if "PATH_NOT_FOUND" not in str(missing):
+            return spark.read.schema(f"{schema}, batch int").parquet(f"{self.folder}/{name}")
+        except AnalysisException as missing:  # nothing has been written yet
+            if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
             return spark.createDataFrame([], f"{schema}, batch int")
 
-    def current_vault(self, spark: SparkSession, before: int = 2**31 - 1) -> DataFrame:
-        """Vault entries of the current generation of each session."""
-        seen = self._seen(spark, before)
-        vault = self._table(spark, "vault", self._vault_schema, before)
-        return vault.join(
-            seen.select("session_id", "generation"), ["session_id", "generation"]
-        ).select(*VAULT_COLUMNS)
-
-    _vault_schema = (
-        "session_id bigint, placeholder string, label string, n int, value string, seq int, generation int"
-    )
+    def _state(self, spark: SparkSession, name: str, schema: str, before: int) -> DataFrame:
+        """The latest snapshot older than ``before`` and what was added after it."""
+        done = self._rows(spark, "snapshots", "complete boolean").where(F.col("batch") < before)
+        upto = done.agg(F.max("batch")).first()[0]
+        upto = -1 if upto is None else upto
+        added = self._rows(spark, name, schema).where((F.col("batch") > upto) & (F.col("batch") < before))
+        base = self._rows(spark, f"{name}_snapshot", schema).where(F.col("batch") == upto)
+        return base.unionByName(added).drop("batch")
 
     def _seen(self, spark: SparkSession, before: int) -> DataFrame:
-        seen = self._table(spark, "seen", "session_id bigint, generation int, at timestamp", before)
-        return seen.groupBy("session_id").agg(
+        return self._state(spark, "seen", SEEN_SCHEMA, before).groupBy("session_id").agg(
             F.max("generation").alias("generation"), F.max("at").alias("at")
         )
 
+    def _live(self, spark: SparkSession, sessions: DataFrame, before: int) -> DataFrame:
+        vault = self._state(spark, "vault", VAULT_SCHEMA, before)
+        return vault.join(sessions.select("session_id", "generation"), ["session_id", "generation"])
+
+    def current_vault(self, spark: SparkSession, before: int = 2**31 - 1) -> DataFrame:
+        """Vault entries of the current generation of each session."""
+        return self._live(spark, self._seen(spark, before), before).select(*VAULT_COLUMNS)
+
+    def _write(self, rows: DataFrame, name: str, batch_id: int) -> str:
+        path = f"{self.folder}/{name}/batch={batch_id}"
+        rows.write.mode("overwrite").parquet(path)
+        return path
+
     def process(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        batch = batch.persist()
         present = batch.select(F.col(self.session).cast("long").alias("session_id")).distinct()
         now = F.lit(None).cast("timestamp")
         if self.event_time:
@@ -85,12 +105,9 @@ class SessionVault:
             "session_id", generation.cast("int").alias("generation"), now.alias("at")
         )
         # written first and read back: the generations are then fixed for this batch
-        sessions.write.mode("overwrite").parquet(f"{self.folder}/seen/batch={batch_id}")
-        sessions = spark.read.schema(sessions.schema).parquet(f"{self.folder}/seen/batch={batch_id}")
+        sessions = spark.read.schema(SEEN_SCHEMA).parquet(self._write(sessions, "seen", batch_id))
 
-        known = self._table(spark, "vault", self._vault_schema, batch_id).join(
-            sessions.select("session_id", "generation"), ["session_id", "generation"]
-        ).select(*VAULT_COLUMNS)
+        known = self._live(spark, sessions, batch_id).select(*VAULT_COLUMNS)
         masked, vault = mask_sessions(
             batch, settle(pii_column(F.col(self.text))), self.key, self.session, self.sequence,
             self.text, existing=known,
@@ -98,10 +115,18 @@ class SessionVault:
         new = vault.join(known, ["session_id", "placeholder"], "left_anti").join(
             sessions.select("session_id", "generation"), "session_id"
         )
-        new.select(*VAULT_COLUMNS, "generation").write.mode("overwrite").parquet(
-            f"{self.folder}/vault/batch={batch_id}"
-        )
-        masked.write.mode("overwrite").parquet(f"{self.folder}/masked/batch={batch_id}")
+        self._write(new.select(*VAULT_COLUMNS, "generation"), "vault", batch_id)
+        self._write(masked, "masked", batch_id)
+        if (batch_id + 1) % self.compact_every == 0:
+            self._compact(spark, batch_id)
+        batch.unpersist()
+
+    def _compact(self, spark: SparkSession, batch_id: int) -> None:
+        """Rewrite the state up to this batch; the marker is written last."""
+        seen = self._seen(spark, batch_id + 1)
+        self._write(seen, "seen_snapshot", batch_id)
+        self._write(self._live(spark, seen, batch_id + 1), "vault_snapshot", batch_id)
+        self._write(spark.range(1).select(F.lit(True).alias("complete")), "snapshots", batch_id)
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger):
         writer = stream.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)

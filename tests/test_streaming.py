@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from maskwright.operators import filters, mask, scan, sessions
@@ -38,9 +39,11 @@ def test_session_vault_over_batches(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(f"{folder}/masked").select("id", "masked").collect())) == want
 
 
-def test_silent_session_starts_over(spark, tmp_path):
+@pytest.mark.parametrize("compact_every", [50, 2])
+def test_silent_session_starts_over(spark, tmp_path, compact_every):
     keeper = streams.SessionVault(
-        str(tmp_path / "v"), "session", "turn", "id", event_time="at", ttl_seconds=3600
+        str(tmp_path / "v"), "session", "turn", "id", event_time="at", ttl_seconds=3600,
+        compact_every=compact_every,
     )
     schema = SCHEMA + ", at timestamp"
     start = dt.datetime(2024, 1, 1)
