@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, functions as F
 
 from ..rules.model import FLAGS
@@ -13,6 +15,21 @@ BLANK = r"[\s\x1c-\x1f]"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
 
 
+@lru_cache(maxsize=128)
+def _built(application: str, build, text: str, options: tuple) -> Column:
+    return build(F.col(text), **dict(options))
+
+
+def remembered(build, text: str, **options) -> Column:
+    """``build(F.col(text), **options)``, made once per application.
+
+    Putting a large expression together takes the driver longer than planning it,
+    which counts for micro-batches and short queries.
+    """
+    frozen = tuple(sorted((k, tuple(v) if isinstance(v, list) else v) for k, v in options.items()))
+    return _built(SparkContext.getOrCreate().applicationId, build, text, frozen)
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` once, so that ``body`` may use it several times."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.spans import resolve_overlaps, splice, with_once
-from ..functions.text import is_blank, let, placeholder
+from ..functions.text import is_blank, let, placeholder, remembered
 from .filters import settle
 from .scan import pii_column, secret_column
 
@@ -76,14 +76,22 @@ def mask_findings(
     )
 
 
-def find_pii(df: DataFrame, text: str = "text", allowed=(), **options) -> DataFrame:
+def pii_findings(text: Column, allowed=(), **options) -> Column:
+    return settle(pii_column(text, **options), allowed=allowed)
+
+
+def secret_findings(text: Column, **options) -> Column:
+    return resolve_overlaps(secret_column(text, **options))
+
+
+def find_pii(df: DataFrame, text: str = "text", **options) -> DataFrame:
     """Adds the ``findings`` of document mode: scanned, cleaned, without overlaps."""
-    return with_once(df, "findings", settle(pii_column(F.col(text), **options), allowed=allowed))
+    return with_once(df, "findings", remembered(pii_findings, text, **options))
 
 
 def find_secrets(df: DataFrame, text: str = "text", **options) -> DataFrame:
     """Adds the ``findings`` of code mode: credentials without overlaps."""
-    return with_once(df, "findings", resolve_overlaps(secret_column(F.col(text), **options)))
+    return with_once(df, "findings", remembered(secret_findings, text, **options))
 
 
 def mask_documents(df: DataFrame, text: str = "text", **options) -> DataFrame:

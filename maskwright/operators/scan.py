@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.spans import FINDINGS, empty, locate, matched_rules, rule_findings, with_once
-from ..functions.text import as_map, constant, is_blank, let, line_text, split_lines
+from ..functions.text import as_map, constant, is_blank, let, line_text, remembered, split_lines
 from ..rules import PII_RULES, SECRET_RULES, SEVERITY_RANK, VULNERABILITY_RULES, select_rules
 
 SCORE = "decimal(4,2)"
@@ -59,11 +59,11 @@ def vulnerability_column(text: Column, rules=VULNERABILITY_RULES) -> Column:
 
 def scan(df: DataFrame, text: str = "text", into: str = "findings", **options) -> DataFrame:
     """Add the array of raw PII findings to each document."""
-    return with_once(df, into, pii_column(F.col(text), **options))
+    return with_once(df, into, remembered(pii_column, text, **options))
 
 
 def scan_secrets(df: DataFrame, text: str = "text", into: str = "findings", rules=SECRET_RULES) -> DataFrame:
-    return with_once(df, into, secret_column(F.col(text), rules))
+    return with_once(df, into, remembered(secret_column, text, rules=rules))
 
 
 def explode_findings(df: DataFrame, keys: list[str], findings: str = "findings") -> DataFrame:
@@ -141,7 +141,7 @@ def scan_vulnerabilities(
     finding is still in its row.
     """
     keep = [key] + ([ext] if ext else [])
-    scanned = with_once(df.select(*keep, text), "_v", vulnerability_column(F.col(text), rules))
+    scanned = with_once(df.select(*keep, text), "_v", remembered(vulnerability_column, text, rules=rules))
 
     def with_line(lines):
         return F.transform(F.col("_v"), lambda v: F.struct(

@@ -369,8 +369,8 @@ CHAT_NAMED = session_entries("d.conv_id", "d.turn", CHAT_ROWS)
 SESSION_OUT = "session_id, placeholder, label, n, value, seq"
 
 
-def _found(text: str = "text"):
-    return filters.settle(scan.pii_column(F.col(text)))
+def _found():
+    return fn.remembered(mask.pii_findings, "text")
 
 
 def chat_sessions(spark, sf):

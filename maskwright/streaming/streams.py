@@ -14,10 +14,9 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.filters import settle
-from ..operators.mask import mask_documents
+from ..functions.text import remembered
+from ..operators.mask import mask_documents, pii_findings
 from ..operators.restore import restore
-from ..operators.scan import pii_column
 from ..operators.sessions import VAULT_COLUMNS, mask_sessions
 
 
@@ -109,7 +108,7 @@ class SessionVault:
 
         known = self._live(spark, sessions, batch_id).select(*VAULT_COLUMNS)
         masked, vault = mask_sessions(
-            batch, settle(pii_column(F.col(self.text))), self.key, self.session, self.sequence,
+            batch, remembered(pii_findings, self.text), self.key, self.session, self.sequence,
             self.text, existing=known,
         )
         new = vault.join(known, ["session_id", "placeholder"], "left_anti").join(
