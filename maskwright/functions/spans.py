@@ -111,23 +111,27 @@ def locate(pieces: Column, tail: Column) -> Column:
             F.concat(acc["out"], F.array(match)).alias("out"),
         )
 
-    def block_step(acc, b):
-        inner = F.aggregate(
-            F.sequence(b * BLOCK, F.least((b + 1) * BLOCK, matches) - 1),
-            F.struct(acc["pos"].alias("pos"), acc["line"].alias("line"),
-                     empty(f"array<{MATCH}>").alias("out")),
+    def walk(first, last, pos, line):
+        return F.aggregate(
+            F.sequence(first, last),
+            F.struct(pos.alias("pos"), line.alias("line"), empty(f"array<{MATCH}>").alias("out")),
             step,
         )
+
+    def block_step(acc, b):
+        inner = walk(b * BLOCK, F.least((b + 1) * BLOCK, matches) - 1, acc["pos"], acc["line"])
         return let(inner, lambda x: F.struct(
             x["pos"].alias("pos"), x["line"].alias("line"),
             F.concat(acc["out"], F.array(x["out"])).alias("out"),
         ))
 
-    matches = F.floor((F.size(pieces) - 1) / F.lit(3)).cast("int")
+    matches = ((F.size(pieces) - 1) / F.lit(3)).cast("int")
     init = F.struct(F.lit(0).alias("pos"), F.lit(1).alias("line"),
                     empty(f"array<array<{MATCH}>>").alias("out"))
     blocks = F.sequence(F.lit(0), F.floor((matches - 1) / F.lit(BLOCK)).cast("int"))
-    return F.aggregate(blocks, init, block_step, lambda acc: F.flatten(acc["out"]))
+    many = F.aggregate(blocks, init, block_step, lambda acc: F.flatten(acc["out"]))
+    few = walk(F.lit(0), matches - 1, F.lit(0), F.lit(1))["out"]
+    return F.when(matches <= BLOCK, few).otherwise(many)
 
 
 def near_words(text: Column, start: Column, words: Column, window: int) -> Column:
