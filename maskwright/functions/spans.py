@@ -258,7 +258,7 @@ def resolve_overlaps(findings: Column) -> Column:
 
 
 def _resolve(findings: Column) -> Column:
-    ranked = F.array_sort(F.transform(findings, lambda f: F.struct(
+    ranked = F.sort_array(F.transform(findings, lambda f: F.struct(
         f["start"].alias("start"), f["end"].alias("end"),
         F.struct(
             (-f["pct"]).alias("score"), f["start"].alias("at"),
@@ -278,7 +278,7 @@ def _resolve(findings: Column) -> Column:
 
     def best_of(run):
         return F.when(F.size(run) <= 1, F.transform(run, lambda r: r["found"])).otherwise(
-            F.aggregate(F.array_sort(run), empty(FINDINGS), keep)
+            F.aggregate(F.sort_array(run), empty(FINDINGS), keep)
         )
 
     def step(acc, x):
@@ -304,7 +304,7 @@ def _resolve(findings: Column) -> Column:
         ranked, init, step,
         lambda acc: F.concat(F.flatten(acc["done"]), acc["kept"], best_of(acc["run"])),
     )
-    return F.when(F.size(findings) <= 1, findings).otherwise(F.array_sort(kept))
+    return F.when(F.size(findings) <= 1, findings).otherwise(F.sort_array(kept))
 
 
 def splice(text: Column, findings: Column, marks: Column) -> Column:

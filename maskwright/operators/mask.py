@@ -20,7 +20,7 @@ VAULT_ENTRY = "struct<placeholder:string,label:string,n:int,value:string,seq:int
 
 def registration(findings: Column, order: str) -> Column:
     """Findings in the order in which their values enter the vault."""
-    ordered = F.array_sort(findings)
+    ordered = F.sort_array(findings)
     return F.reverse(ordered) if order == BACKWARD else ordered
 
 

@@ -21,7 +21,7 @@ def tokens_in(text: Column) -> Column:
 def restore_column(text: Column, entries: Column) -> Column:
     """REST-1 in one row: literal replacement, entry by entry in vault order."""
     return F.aggregate(
-        F.array_sort(entries), text, lambda t, e: F.replace(t, e["placeholder"], e["value"])
+        F.sort_array(entries), text, lambda t, e: F.replace(t, e["placeholder"], e["value"])
     )
 
 
@@ -58,7 +58,7 @@ def _apply(texts: DataFrame, tokens: DataFrame, vault: DataFrame, key: str, text
         tokens, vault.select("session_id", "placeholder", "seq", "value"), ["session_id", "placeholder"]
     )
     entries = found.groupBy("_key").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "placeholder", "value"))).alias("_entries")
+        F.sort_array(F.collect_list(F.struct("seq", "placeholder", "value"))).alias("_entries")
     )
     per_text = looked_up.join(entries, "_key", "left").withColumnRenamed("_key", key)
     # Texts without a placeholder stay where they are; only the others are joined.

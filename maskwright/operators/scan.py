@@ -88,7 +88,7 @@ def explode_findings(df: DataFrame, keys: list[str], findings: str = "findings")
 def collect_findings(rows: DataFrame, key: str) -> DataFrame:
     """Findings rows back to one array per document, e.g. to merge recognizers."""
     return rows.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct(
+        F.sort_array(F.collect_list(F.struct(
             "start", "end", (F.col("score") * 100).cast("int").alias("pct"), "entity", "label",
             "rule", F.col("line_number").alias("line"), "value",
         ))).cast(FINDINGS).alias("findings")
@@ -109,7 +109,7 @@ def scan_report(df: DataFrame, key: str, text: str = "text", **options) -> DataF
     The order is that of the sorted array in each row: no sort across documents.
     """
     found = scan(df.select(key, text), text, **options)
-    rows = explode_findings(found.withColumn("findings", F.array_sort("findings")), [key])
+    rows = explode_findings(found.withColumn("findings", F.sort_array("findings")), [key])
     return rows.select(
         key, F.col("entity").alias("entity_type"), "value", F.round("score", 2).alias("score"),
         "start", "end",

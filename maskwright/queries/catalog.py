@@ -264,7 +264,7 @@ def span_rank(spark, sf):
     """SPAN-1: the total order in which overlapping findings compete."""
     found = scan.scan(corpora.people(spark, sf))
     clean = filters.drop_false_positives(filters.clip_at_pipe(F.col("findings")))
-    order = F.array_sort(F.transform(clean, lambda f: F.struct(
+    order = F.sort_array(F.transform(clean, lambda f: F.struct(
         (-f["pct"]).alias("a"), f["start"].alias("b"), (f["start"] - f["end"]).alias("c"),
         f["entity"].alias("d"), f["rule"].alias("rule"),
     )))

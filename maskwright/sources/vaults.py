@@ -14,7 +14,7 @@ JSON_SHAPE = "map<string,struct<value:string,type:string>>"
 
 def vault_map(entries: Column) -> Column:
     """VLT-5: ``placeholder -> (value, type)`` from an array of (seq, placeholder, value, label)."""
-    return F.map_from_entries(F.transform(F.array_sort(entries), lambda e: F.struct(
+    return F.map_from_entries(F.transform(F.sort_array(entries), lambda e: F.struct(
         e["placeholder"], F.struct(e["value"].alias("value"), e["label"].alias("type"))
     )))
 
