@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from maskwright.llm import host_rules, language, licenses
+from maskwright.llm import (
+    common, decontaminate, host_rules, language, licenses, packing, quality, simhash, substrings, token_files,
+)
 from maskwright.plans.corpora import table
 
 QUERIES, ORACLES = {}, {}
@@ -20,6 +22,11 @@ def query(name, sql=None):
     return register
 
 
+def remainder(key, n):
+    """crc32 of a number as text, modulo ``n``."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % n
+
+
 @query("op6_host_rules", r"""
     WITH docs AS (
         SELECT doc_id, source, coalesce(text, '') AS text,
@@ -66,7 +73,45 @@ def op2_license_notices(spark, sf):
 @query("op10_language_profiles")
 def op10_language_profiles(spark, sf):
     docs = table(spark, sf, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    held_out = remainder("doc_id", 4) == 2
     names, profiles = language.learn(docs, ~held_out)
     predicted = language.predict(docs, names, profiles)
     return predicted.withColumn("held_out", held_out)
+
+
+@query("op7_rule_ensemble")
+def op7_rule_ensemble(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.learn(docs, labels, remainder("_label_key", 5) != 0)
+    return quality.score(docs, model).select(
+        "doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted"
+    )
+
+
+@query("op1_spaced_seeds")
+def op1_spaced_seeds(spark, sf):
+    found = decontaminate.contaminated(table(spark, sf, "documents"), spark.read.parquet(f"{sf}/benchmark.parquet"))
+    return found.withColumn("n_spans", F.size("spans")).drop("spans")
+
+
+@query("op3_shortest_pack_first")
+def op3_shortest_pack_first(spark, sf):
+    return packing.pack_documents(table(spark, sf, "documents"), "word_bpe_49k.json", 2)
+
+
+@query("op4_pigeonring_simhash")
+def op4_pigeonring_simhash(spark, sf):
+    return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op5_seed_and_extend")
+def op5_seed_and_extend(spark, sf):
+    return substrings.keep_first(table(spark, sf, "documents")).drop("kept")
+
+
+@query("op9_huffman_ids")
+def op9_huffman_ids(spark, sf):
+    folder = common.shared_folder(spark, "ids")
+    token_files.write_documents(table(spark, sf, "documents"), folder, "byte_bpe_50k.json", 0)
+    return token_files.digests(token_files.read_ids(spark, folder))
