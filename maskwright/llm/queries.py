@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from maskwright.llm import (
-    common, decontaminate, host_rules, language, licenses, packing, quality, simhash, substrings, token_files,
+    common, decontaminate, host_rules, language, licenses, packing, quality, simhash, substrings, token_files, warc,
 )
 from maskwright.plans.corpora import table
 
@@ -115,3 +115,28 @@ def op9_huffman_ids(spark, sf):
     folder = common.shared_folder(spark, "ids")
     token_files.write_documents(table(spark, sf, "documents"), folder, "byte_bpe_50k.json", 0)
     return token_files.digests(token_files.read_ids(spark, folder))
+
+
+@query("op8_boundary_chains", r"""
+    WITH sums AS (
+        SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+    parts AS (
+        SELECT page_id, payload_bytes, hex,
+            list_transform(generate_series(0, 7), lambda i: ('0x' || substr(hex, CAST(5 * i + 1 AS BIGINT), 5))::BIGINT) AS p FROM sums),
+    named AS (
+        SELECT page_id, payload_bytes, array_to_string(list_transform(p, lambda x:
+            substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x >> 15) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> 10) & 31) + 1, 1)
+            || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> 5) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x & 31) + 1, 1)
+            ), '') AS payload_digest,
+            max(page_id) OVER (PARTITION BY hex) AS first FROM parts)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN page_id != first THEN first END AS refers_to
+    FROM named""")
+def op8_boundary_chains(spark, sf):
+    folder = common.shared_folder(spark, "warc")
+    warc.write(spark.read.parquet(f"{sf}/pages.parquet"), folder)
+    number = "cast(nullif(replace({}, 'urn:page:', ''), '') AS bigint)".format
+    return warc.read(spark, folder).selectExpr(
+        f"{number('record_id')} AS page_id", "http_length AS payload_bytes", "payload_digest", "record_type",
+        f"{number('refers_to')} AS refers_to",
+    )
