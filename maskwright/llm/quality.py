@@ -141,8 +141,24 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id
     return Model(float(fitted.intercept), tuple(Rule(r.conditions, float(w)) for r, w in zip(found, weights) if w))
 
 
+def _rated(docs: DataFrame, model: Model, text: str) -> DataFrame:
+    """(_row, _score): the rows as they are, whatever their columns are called."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_in"))
+    return statistics(rows, "_in").select("_row", model.score().alias("_score"))
+
+
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from the threshold on), one row per row."""
-    names = [c for c in docs.columns if c not in ("score", "predicted", *STATISTICS)]
-    rated = statistics(docs.select(*names), text).withColumn("score", model.score())
-    return rated.select(*names, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from the threshold on), one row per row.
+
+    Columns of these two names that ``docs`` has are replaced.
+    """
+    names = [c for c in docs.columns if c not in ("score", "predicted")]
+    return _rated(docs, model, text).select(
+        *[F.col("_row")[c].alias(c) for c in names], F.col("_score").alias("score"),
+        (F.col("_score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
+def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score the threshold or more, all columns unchanged."""
+    return _rated(docs, model, text).where(F.col("_score") >= threshold).select("_row.*")

@@ -88,22 +88,22 @@ def zones(hasher: Hasher, sums: list[np.ndarray], threshold: int, gram: int) ->
 
 
 def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(_key, _tie, _text, _null): the tie tells rows of one key with different texts apart."""
+    """(_key, _tie, _text): the tie tells rows of one key with different texts apart."""
     return docs.select(
         F.col(key).alias("_key"), F.xxhash64(text_or_empty(text)).alias("_tie"),
-        text_or_empty(text).alias("_text"), F.isnull(text).alias("_null"),
+        text_or_empty(text).alias("_text"),
     )
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, gram: int = GRAM) -> DataFrame:
-    """(_key, _tie, ranges): word ranges [first, last) of each document that hold repeats, not merged.
+    """(_key, _same, ranges): word ranges [first, last) of each document that hold repeats, not merged.
 
     A repeat is a stretch of windows of ``threshold`` words each of which also starts earlier: in a smaller
     key, or before in the same document.  Rows with one key are ordered by a hash of their text; a row
     repeated with the same key and text is the same document.  A null key comes before all others.
     """
     spark = docs.sparkSession
-    rows = _identified(docs, key, text).drop("_null")
+    rows = _identified(docs, key, text)
 
     def anchors(columns, hasher):
         got = []
@@ -157,7 +157,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     marked = found.join(F.broadcast(hot), ["h1", "h2"], "left")
     rest = marked.where("hot IS NULL").drop("hot").join(first.select("h1", "h2", "first"), ["h1", "h2"])
     both = rest.unionByName(marked.where("hot IS NOT NULL").withColumnRenamed("hot", "first"))
-    return both.where(~place.eqNullSafe(F.col("first"))).groupBy("_key", "_tie").agg(
+    return both.where(~place.eqNullSafe(F.col("first"))).groupBy("_key", F.col("_tie").alias("_same")).agg(
         F.collect_list(F.struct("start", (F.col("start") + F.col("n")).alias("end"))).alias("ranges")
     )
 
@@ -171,40 +171,61 @@ def removed_words(ranges: list[dict] | None, n: int) -> np.ndarray:
     return np.cumsum(turn)[:n] > 0
 
 
+def _marked(docs: DataFrame, key: str, text: str, threshold: int, gram: int) -> DataFrame:
+    """``docs`` with the column ``_ranges``: word ranges that hold repeats, null where there are none."""
+    found = repeats(docs, key, text, threshold, gram)
+    rows = docs.withColumn("_tie", F.xxhash64(text_or_empty(text)))
+    same = rows[key].eqNullSafe(found["_key"]) & (rows["_tie"] == found["_same"])
+    return rows.join(found, same, "left").select(*[rows[c] for c in docs.columns], found["ranges"].alias("_ranges"))
+
+
+def without(text: str, ranges: list[dict] | None) -> tuple[str, list[str], int]:
+    """(text without the ranges, its words, number of words before)."""
+    words = WORD.findall(text)
+    gone = removed_words(ranges, len(words))
+    if not gone.any():
+        return text, words, len(words)
+    spans = [m.span() for m in WORD.finditer(text)]
+    # every repeat goes with the white space behind it
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).reshape(-1, 2)
+    parts, at = [], 0
+    for a, b in edges:
+        parts.append(text[at : spans[a][0]])
+        at = spans[b][0] if b < len(spans) else len(text)
+    return "".join([*parts, text[at:]]), [w for w, g in zip(words, gone) if not g], len(words)
+
+
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, gram: int = GRAM) -> DataFrame:
     """(key, n_words, n_removed, kept, kept_sha256): each document without the passages that occur earlier.
 
     ``kept`` is the text with maximal repeats cut out, its other white space unchanged (null where the
     text is null); ``kept_sha256`` is taken of the kept words joined by one space.
     """
-    rows = _identified(docs, key, text)
-    found = repeats(docs, key, text, threshold, gram)
-    joined = rows.alias("d").join(
-        found.alias("r"), F.col("d._key").eqNullSafe(F.col("r._key")) & (F.col("d._tie") == F.col("r._tie")), "left"
-    ).select("d.*", "r.ranges")
+    rows = _marked(docs.select(key, text), key, text, threshold, gram)
 
     def cut(columns):
-        out = {key: columns["_key"], "n_words": [], "n_removed": [], "kept": [], "kept_sha256": []}
-        for t, ranges, null in zip(columns["_text"], columns["ranges"], columns["_null"]):
-            words = WORD.findall(t)
-            gone = removed_words(ranges, len(words))
-            if gone.any():
-                spans = [m.span() for m in WORD.finditer(t)]
-                # every repeat goes with the white space behind it
-                edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).reshape(-1, 2)
-                parts, at = [], 0
-                for a, b in edges:
-                    parts.append(t[at : spans[a][0]])
-                    at = spans[b][0] if b < len(spans) else len(t)
-                kept = "".join([*parts, t[at:]])
-                words = [w for w, g in zip(words, gone) if not g]
-            else:
-                kept = t
-            out["n_words"].append(len(gone))
-            out["n_removed"].append(int(gone.sum()))
-            out["kept"].append(None if null else kept)
-            out["kept_sha256"].append(hashlib.sha256(" ".join(words).encode()).hexdigest())
-        return out
+        got = [without(t or "", ranges) for t, ranges in zip(columns[text], columns["_ranges"])]
+        return {
+            key: columns[key], "n_words": [n for _, _, n in got], "n_removed": [n - len(w) for _, w, n in got],
+            "kept": [None if t is None else kept for t, (kept, _, _) in zip(columns[text], got)],
+            "kept_sha256": [hashlib.sha256(" ".join(w).encode()).hexdigest() for _, w, _ in got],
+        }
 
     kind = docs.schema[key].dataType.simpleString()
-    return map_rows(joined.select("_key", "_text", "_null", "ranges"), cut, f"`{key}` {kind}, n_words bigint, n_removed bigint, kept string, kept_sha256 string")
+    return map_rows(rows, cut, f"`{key}` {kind}, n_words bigint, n_removed bigint, kept string, kept_sha256 string")
+
+
+def cut_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, gram: int = GRAM) -> DataFrame:
+    """``docs`` with repeats cut out of their text, and ``_removed``, the words cut; every row stays."""
+    names = docs.columns
+    rows = _marked(docs, key, text, threshold, gram)
+
+    def cut(columns):
+        got = [without(t or "", ranges) for t, ranges in zip(columns[text], columns["_ranges"])]
+        return {c: columns[c] for c in names} | {
+            text: [None if t is None else kept for t, (kept, _, _) in zip(columns[text], got)],
+            "_removed": [n - len(w) for _, w, n in got],
+        }
+
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    return map_rows(rows, cut, f"{fields}, _removed bigint")
