@@ -15,31 +15,23 @@ from maskwright.operators.joins import ensure_checkpoint_dir
 
 # Rows handled at once inside a task: bounds the Python memory of a batch of long texts.
 ROWS_AT_ONCE = 256
-# Entries a worker's word table may hold before it starts anew: bounds its memory, not the result.
-WORDS_KEPT = 500_000
 
 #: Words by the contracts' definition: runs of anything but the six ASCII white-space characters.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: The same white space as a string, for SQL trim and translate.
 SPACES = " \t\n\x0b\x0c\r"
+#: ``str.translate`` table that lower-cases A-Z.
 ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered while the vocabulary of a task fits."""
+def words_of(text: str) -> list[bytes]:
+    """Words by the contracts' definition, in UTF-8: ``bytes.split`` knows the six ASCII white-space characters alone."""
+    return text.encode().split()
 
-    def __init__(self, seed: int = 0):
-        super().__init__()
-        self.seed = seed
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
-        return value
-
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def hashes_of(words: list) -> np.ndarray:
+    """64-bit hashes of words."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def map_rows(

@@ -14,7 +14,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from maskwright.llm.common import WordHashes, hash_bits, in_bits, map_rows, mix, salted_join, text_or_empty, written
+from maskwright.llm.common import hash_bits, hashes_of, in_bits, map_rows, mix, salted_join, text_or_empty, written
 
 WINDOW = 13
 SUBSTITUTIONS = 2
@@ -77,10 +77,10 @@ def contaminated(
     rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text_or_empty(text)).alias("_tie"), text_or_empty(text).alias("_text"))
     items = benchmark.select(F.col(item_key).alias("_item"), text_or_empty(item_text).alias("_words")).distinct()
 
-    def item_seeds(columns, hashes):
+    def item_seeds(columns):
         out = {"_item": [], "_h": [], "at": []}
         for item, t in zip(columns["_item"], columns["_words"]):
-            h = hashes.of(words_of(t))
+            h = hashes_of(words_of(t))
             masks = MASKS if len(h) >= WINDOW else [tuple(range(len(h)))] if len(h) >= LEAST else []
             for mask in masks:
                 got = seeds(h, mask)
@@ -89,15 +89,15 @@ def contaminated(
                 out["at"] += range(len(got))
         return out
 
-    index = written(map_rows(items, item_seeds, f"_item {item_kind}, _h bigint, at int", setup=WordHashes), "seeds")
+    index = written(map_rows(items, item_seeds, f"_item {item_kind}, _h bigint, at int"), "seeds")
     bits = spark.sparkContext.broadcast(hash_bits(index, "_h", BITS))
     all_masks = [*MASKS, *(tuple(range(n)) for n in range(LEAST, WINDOW))]
 
-    def hits(columns, hashes):
+    def hits(columns):
         table = np.frombuffer(bits.value, np.uint8)
         out = {"_key": [], "_tie": [], "_h": [], "at": []}
         for k, tie, t in zip(columns["_key"], columns["_tie"], columns["_text"]):
-            h = hashes.of(words_of(t))
+            h = hashes_of(words_of(t))
             for mask in all_masks:
                 got = seeds(h, mask)
                 at = np.flatnonzero(in_bits(table, got, BITS))
@@ -107,7 +107,7 @@ def contaminated(
                 out["at"] += at.tolist()
         return out
 
-    found = map_rows(rows, hits, f"_key {kind}, _tie bigint, _h bigint, at int", setup=WordHashes)
+    found = map_rows(rows, hits, f"_key {kind}, _tie bigint, _h bigint, at int")
     joined = salted_join(found, index.withColumnRenamed("at", "item_at"), ["_h"], F.xxhash64("_key", "at"))
     candidates = written(
         joined.select("_key", "_tie", "_item", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct(), "candidates"

@@ -13,7 +13,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from maskwright.llm.common import ASCII_LOWER, WORD, map_rows, text_or_empty, written
+from maskwright.llm.common import map_rows, text_or_empty, written
 from maskwright.llm.components import components
 from maskwright.operators.joins import join_hot_keys
 
@@ -26,7 +26,7 @@ CHUNK = 1 << 16
 
 def fingerprint(text: str, size: int = SHINGLE) -> int:
     """SimHash of a text: a bit is set where it is set in over half of its shingles' hashes."""
-    words = [w.encode() for w in WORD.findall(text.translate(ASCII_LOWER))]
+    words = text.encode().lower().split()  # of bytes, lower() changes A-Z alone
     if not words:
         return 0
     if len(words) <= size:

@@ -5,9 +5,9 @@ rightmost of equal ones, so equal windows have equal anchors at equal places.  T
 anchor occurrence join to its *zone*: the anchor extended left and right as far as it is the anchor.
 
 1. Anchors are joined: count, smallest and largest zone hash of each anchor of the corpus.
-2. An anchor that occurs once is done.  Where all occurrences extend to the same zone, the zone is compared
-   as a whole; where their surroundings differ, each window, so that a match goes exactly as far as the
-   words agree.  What has an occurrence earlier in the order of (key, start) is a repeat.
+2. An anchor that occurs once is done.  Of the others the zones are compared; a zone that has an equal one
+   earlier in the order of (key, start) is a repeat.  Where the surroundings of an anchor differ, the first
+   of each kind of zone is compared window by window, so that a match goes exactly as far as the words agree.
 3. Repeats of a document that overlap or touch join to maximal repeats, which are cut out.
 
 Words are compared by sums of 64-bit hashes: two per unit, 128 bits.
@@ -20,8 +20,8 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from maskwright.llm.common import WORD, WordHashes, hash_bits, in_bits, map_rows, mix, text_or_empty, written
-from maskwright.operators.joins import HOT_SHARE
+from maskwright.llm.common import WORD, hash_bits, hashes_of, in_bits, map_rows, mix, text_or_empty, words_of, written
+from maskwright.operators.joins import CHUNK, HOT_SHARE
 
 THRESHOLD = 20
 GRAM = 6
@@ -51,12 +51,12 @@ class Hasher:
     """Hashes of word sequences out of prefix sums."""
 
     def __init__(self):
-        self.words, self.powers = WordHashes(), (Powers(_BASE), Powers(_BASE2))
+        self.powers = Powers(_BASE), Powers(_BASE2)
 
-    def sums(self, words: list[str]) -> list[np.ndarray]:
-        h = self.words.of(words)
+    def sums(self, words: list[bytes], both: bool = True) -> list[np.ndarray]:
+        h = hashes_of(words)
         out = []
-        for p in self.powers:
+        for p in self.powers if both else self.powers[:1]:
             p.to(len(words))
             out.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * p.up[: len(words)], dtype=np.uint64)]))
             h = mix(h)
@@ -68,6 +68,32 @@ class Hasher:
         return mix(value + np.asarray(length).astype(np.uint64) * np.uint64(_BASE2))
 
 
+# Low bits of a hash that make room for its place when hashes are compared.
+_PLACES = 24
+
+
+def smallest(h: np.ndarray, width: int) -> np.ndarray:
+    """Place of the smallest hash in every ``width`` consecutive ones, the rightmost of equal ones.
+
+    The top 40 bits are compared, so that hash and place fit one number; a text of more words than there
+    are places is compared without.
+    """
+    mask = (1 << _PLACES) - 1
+    top = h & np.uint64(~mask & (1 << 64) - 1)
+    if len(h) > mask:
+        views = np.lib.stride_tricks.sliding_window_view(top, width)
+        parts = (np.argmin(views[i : i + (1 << 16), ::-1], axis=1) for i in range(0, len(views), 1 << 16))
+        return np.arange(len(views)) + width - 1 - np.concatenate(list(parts))
+    low = top | np.arange(mask, mask - len(h), -1, dtype=np.uint64)
+    size = 1
+    while 2 * size <= width:
+        low = np.minimum(low[:-size], low[size:])
+        size *= 2
+    if size < width:
+        low = np.minimum(low[: len(h) - width + 1], low[width - size :])
+    return mask - (low & np.uint64(mask)).astype(np.int64)
+
+
 def zones(hasher: Hasher, sums: list[np.ndarray], threshold: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor hash, first window, last window) of each anchor occurrence of a text."""
     n = len(sums[0]) - 1
@@ -75,13 +101,7 @@ def zones(hasher: Hasher, sums: list[np.ndarray], threshold: int, gram: int) ->
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none
     grams = hasher.ranges(sums, 0, np.arange(n - gram + 1), gram)
-    width = threshold - gram + 1
-    views = np.lib.stride_tricks.sliding_window_view(grams, width)
-    at = np.empty(len(views), np.int64)
-    for i in range(0, len(views), 1 << 16):  # bounds the memory of a very long text
-        part = views[i : i + (1 << 16), ::-1]
-        at[i : i + len(part)] = width - 1 - np.argmin(part, axis=1)
-    at += np.arange(len(views))
+    at = smallest(grams, threshold - gram + 1)
     first = np.flatnonzero(np.diff(at, prepend=-1))
     last = np.append(first[1:], len(at)) - 1
     return grams[at[first]], first, last
@@ -90,7 +110,7 @@ def zones(hasher: Hasher, sums: list[np.ndarray], threshold: int, gram: int) ->
 def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(_key, _tie, _text): the tie tells rows of one key with different texts apart."""
     return docs.select(
-        F.col(key).alias("_key"), F.xxhash64(text_or_empty(text)).alias("_tie"),
+        F.col(key).alias("_key"), F.xxhash64(F.col(key), text_or_empty(text)).alias("_tie"),
         text_or_empty(text).alias("_text"),
     )
 
@@ -108,7 +128,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     def anchors(columns, hasher):
         got = []
         for t in columns["_text"]:
-            sums = hasher.sums(WORD.findall(t))
+            sums = hasher.sums(words_of(t), both=False)
             a, first, last = zones(hasher, sums, threshold, gram)
             got.append((a, hasher.ranges(sums, 0, first, last - first + threshold)))
         a, z = (np.concatenate([g[i] for g in got]) for i in (0, 1))
@@ -120,46 +140,73 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     alike = spark.sparkContext.broadcast(hash_bits(joined.where("not mixed"), "anchor", BITS))
     mixed = spark.sparkContext.broadcast(hash_bits(joined.where("mixed"), "anchor", BITS))
 
-    def units(columns, hasher):
-        one, many = np.frombuffer(alike.value, np.uint8), np.frombuffer(mixed.value, np.uint8)
-        starts, lengths, h1, h2, at = [], [], [], [], []
+    def units(columns, hasher, chosen):
+        """Ranges of words that ``chosen`` takes from the zones of each text, with two hashes."""
+        parts = []
         for i, t in enumerate(columns["_text"]):
-            sums = hasher.sums(WORD.findall(t))
-            a, first, last = zones(hasher, sums, threshold, gram)
-            each = in_bits(many, a, BITS)
-            whole = in_bits(one, a, BITS) & ~each
-            count = (last - first + 1)[each]
-            windows = np.repeat(first[each] - np.cumsum(count) + count, count) + np.arange(count.sum())
-            s = np.concatenate([first[whole], windows])
-            n = np.concatenate([(last - first)[whole] + threshold, np.full(len(windows), threshold)])
-            starts.append(s)
-            lengths.append(n)
-            h1.append(hasher.ranges(sums, 0, s, n))
-            h2.append(hasher.ranges(sums, 1, s, n))
-            at.append(np.full(len(s), i))
-        at = np.concatenate(at)
+            sums = hasher.sums(words_of(t))
+            start, n, extra = chosen(*zones(hasher, sums, threshold, gram), columns["_tie"][i])
+            parts.append((start, n, hasher.ranges(sums, 0, start, n), hasher.ranges(sums, 1, start, n), np.full(len(start), i), extra))
+        start, n, h1, h2, at, extra = (np.concatenate(c) for c in zip(*parts))
         return {
             "_key": [columns["_key"][i] for i in at], "_tie": np.array(columns["_tie"], np.int64)[at],
-            "start": np.concatenate(starts), "n": np.concatenate(lengths),
-            "h1": np.concatenate(h1).view(np.int64), "h2": np.concatenate(h2).view(np.int64),
+            "start": start, "n": n, "h1": h1.view(np.int64), "h2": h2.view(np.int64), "mixed": extra,
         }
 
-    kind = docs.schema[key].dataType.simpleString()
-    found = written(
-        map_rows(rows, units, f"_key {kind}, _tie bigint, start int, n int, h1 bigint, h2 bigint", setup=Hasher), "units"
+    def whole_zones(anchor, first, last, tie):
+        many = in_bits(np.frombuffer(mixed.value, np.uint8), anchor, BITS)
+        keep = in_bits(np.frombuffer(alike.value, np.uint8), anchor, BITS) | many
+        return first[keep], (last - first)[keep] + threshold, many[keep]
+
+    schema = f"_key {docs.schema[key].dataType.simpleString()}, _tie bigint, start int, n int, h1 bigint, h2 bigint, mixed boolean"
+    all_zones = written(map_rows(rows, lambda c, h: units(c, h, whole_zones), schema, setup=Hasher), "zones")
+    firsts = written(_firsts(all_zones), "firsts")
+    # of equal zones only the first is looked at window by window: the windows of the others start there
+    place = _place(F.col("first._tie"), F.col("first.start"))
+    opened = spark.sparkContext.broadcast(hash_bits(firsts.where("mixed").select(place.alias("p")), "p", BITS))
+
+    def single_windows(anchor, first, last, tie):
+        keep = np.flatnonzero(in_bits(np.frombuffer(mixed.value, np.uint8), anchor, BITS))
+        own = np.full(len(keep), tie, np.int64).view(np.uint64) ^ (first[keep].astype(np.uint64) << np.uint64(64 - BITS))
+        keep = keep[in_bits(np.frombuffer(opened.value, np.uint8), own, BITS)]
+        count = (last - first + 1)[keep]
+        windows = np.repeat(first[keep] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        return windows, np.full(len(windows), threshold), np.ones(len(windows), bool)
+
+    windows = written(map_rows(rows, lambda c, h: units(c, h, single_windows), schema, setup=Hasher), "windows")
+    found = _later(all_zones, firsts).union(_later(windows, written(_firsts(windows), "firsts")))
+    return found.groupBy("_key", F.col("_tie").alias("_same")).agg(
+        F.collect_list(F.struct("start", (F.col("start") + F.col("n")).alias("end"))).alias("ranges")
     )
+
+
+def _place(tie, start):
+    """A number for a place in a document, as ``single_windows`` computes it."""
+    return tie.bitwiseXOR(F.shiftleft(start.cast("long"), 64 - BITS))
+
+
+def _firsts(units: DataFrame) -> DataFrame:
+    """(h1, h2, first, times, mixed): the first place of each unit that occurs again or has mixed surroundings."""
     place = F.struct("_key", "_tie", "start")
-    first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"))
-    first = written(first.where("times > 1"), "firsts")
-    total = first.agg(F.sum("times")).first()[0] or 0
-    # fewer than HOT_SHARE units can hold more than that share of all
-    hot = first.where(F.col("times") > max(1 << 16, total // HOT_SHARE)).select("h1", "h2", F.col("first").alias("hot"))
-    marked = found.join(F.broadcast(hot), ["h1", "h2"], "left")
-    rest = marked.where("hot IS NULL").drop("hot").join(first.select("h1", "h2", "first"), ["h1", "h2"])
+    return units.groupBy("h1", "h2").agg(
+        F.min(place).alias("first"), F.count(F.lit(1)).alias("times"), F.max("mixed").alias("mixed")
+    ).where("times > 1 OR mixed")
+
+
+def _later(units: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(_key, _tie, start, n): units that are not the first of their kind.
+
+    A unit with a large share of all rows is found by its count and joined by broadcast: fewer than
+    ``HOT_SHARE`` units can be so frequent.  The rest is joined by shuffle.
+    """
+    again = firsts.where("times > 1")
+    total = again.agg(F.sum("times")).first()[0] or 0
+    hot = again.where(F.col("times") > max(CHUNK, total // HOT_SHARE)).select("h1", "h2", F.col("first").alias("hot"))
+    marked = units.drop("mixed").join(F.broadcast(hot), ["h1", "h2"], "left")
+    rest = marked.where("hot IS NULL").drop("hot").join(again.select("h1", "h2", "first"), ["h1", "h2"])
     both = rest.unionByName(marked.where("hot IS NOT NULL").withColumnRenamed("hot", "first"))
-    return both.where(~place.eqNullSafe(F.col("first"))).groupBy("_key", F.col("_tie").alias("_same")).agg(
-        F.collect_list(F.struct("start", (F.col("start") + F.col("n")).alias("end"))).alias("ranges")
-    )
+    place = F.struct("_key", "_tie", "start")
+    return both.where(~place.eqNullSafe(F.col("first"))).select("_key", "_tie", "start", "n")
 
 
 def removed_words(ranges: list[dict] | None, n: int) -> np.ndarray:
@@ -174,14 +221,14 @@ def removed_words(ranges: list[dict] | None, n: int) -> np.ndarray:
 def _marked(docs: DataFrame, key: str, text: str, threshold: int, gram: int) -> DataFrame:
     """``docs`` with the column ``_ranges``: word ranges that hold repeats, null where there are none."""
     found = repeats(docs, key, text, threshold, gram)
-    rows = docs.withColumn("_tie", F.xxhash64(text_or_empty(text)))
+    rows = docs.withColumn("_tie", F.xxhash64(F.col(key), text_or_empty(text)))
     same = rows[key].eqNullSafe(found["_key"]) & (rows["_tie"] == found["_same"])
     return rows.join(found, same, "left").select(*[rows[c] for c in docs.columns], found["ranges"].alias("_ranges"))
 
 
-def without(text: str, ranges: list[dict] | None) -> tuple[str, list[str], int]:
+def without(text: str, ranges: list[dict] | None) -> tuple[str, list[bytes], int]:
     """(text without the ranges, its words, number of words before)."""
-    words = WORD.findall(text)
+    words = words_of(text)
     gone = removed_words(ranges, len(words))
     if not gone.any():
         return text, words, len(words)
@@ -208,7 +255,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
         return {
             key: columns[key], "n_words": [n for _, _, n in got], "n_removed": [n - len(w) for _, w, n in got],
             "kept": [None if t is None else kept for t, (kept, _, _) in zip(columns[text], got)],
-            "kept_sha256": [hashlib.sha256(" ".join(w).encode()).hexdigest() for _, w, _ in got],
+            "kept_sha256": [hashlib.sha256(b" ".join(w)).hexdigest() for _, w, _ in got],
         }
 
     kind = docs.schema[key].dataType.simpleString()
