@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -16,8 +17,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from maskwright.llm.common import map_rows, text_or_empty
 
-# Pieces a worker remembers before it starts anew: bounds its memory, not the result.
-PIECES_KEPT = 500_000
+# Pieces in a generation of a worker's table; it keeps two.  Bounds its memory, not the result.
+PIECES_KEPT = 600_000
 # White space as the tokenizers know it: without the four separators that Python adds.
 _PIECE = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 _LETTER_THEN_MARK = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ][.,]$")
@@ -42,22 +43,27 @@ class Pieces(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their spelling in a text is ordinary text
 
+        self.older: dict[str, bytes] = {}
+
     def learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self]
-        if len(self) + len(new) > PIECES_KEPT:
+        """Make room, then take the pieces over from the older generation or encode them."""
+        if len(self) + len(pieces) > PIECES_KEPT:
+            self.older = dict(self)
             self.clear()
-            new = list(pieces)
-        cut = {p: parts_of(p) for p in new}
-        rest = list({x for parts in cut.values() for x in parts} - self.keys())
-        for piece, code in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
-            self[piece] = np.array(code.ids, "<u4").tobytes()
+        new = pieces.difference(self)
+        for piece in new.intersection(self.older):
+            self[piece] = self.older[piece]
+        cut = {p: parts_of(p) for p in new.difference(self)}
+        rest = list({x for parts in cut.values() for x in parts}.difference(self))
+        for piece, code in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self[piece] = array("I", code.ids).tobytes()
         for piece, parts in cut.items():
             if len(parts) > 1:
                 self[piece] = b"".join(map(self.__getitem__, parts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [_PIECE.findall(t) for t in texts]
-        self.learn({p for pieces in cut for p in pieces})
+        self.learn(set().union(*cut))
         return [b"".join(map(self.__getitem__, pieces)) for pieces in cut]
 
 
