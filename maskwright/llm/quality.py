@@ -64,14 +64,15 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     n, size = F.greatest(F.size("_w"), F.lit(1)), F.greatest(length, F.lit(1))
 
     def share(characters: str) -> Column:
-        return (length - F.char_length(F.translate("_text", characters, ""))) / size
+        """Share of the characters of a class; cutting out runs of all others is the fastest way to count them."""
+        return F.char_length(F.regexp_replace("_text", f"[^{characters}]+", "")) / size
 
     lines = F.split("_text", "\n")
     return rows.select(
         *docs.columns, F.size("_w").cast("double").alias("words"), (length / n).alias("word_length"),
-        share("#*$%&<>@^~=_{}[]\\").alias("symbols"), share(".,;:'\"()-").alias("marks"), share("|").alias("pipes"),
-        share("!?").alias("exclaims"), share("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("capitals"),
-        share("0123456789").alias("digits"), share(SPACES).alias("spaces"),
+        share(r"#*$%&<>@^~=_{}\[\]\\").alias("symbols"), share(".,;:'\"()-").alias("marks"), share("|").alias("pipes"),
+        share("!?").alias("exclaims"), share("A-Z").alias("capitals"),
+        share("0-9").alias("digits"), share(r"\x20\x09-\x0D").alias("spaces"),
         (F.size(F.array_distinct("_w")) / n).alias("distinct_words"),
         (1 - F.size(F.array_distinct(lines)) / F.size(lines)).alias("repeated_lines"),
         (length / F.size(lines)).cast("double").alias("line_length"), share(".").alias("stops"),
