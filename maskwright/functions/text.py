@@ -92,7 +92,11 @@ def kind_label(ext: Column, kinds: dict[str, str]) -> Column:
 
 
 def title_case(name: Column) -> Column:
-    return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
+    """Underscores as blanks; every run of letters starts with a capital, also behind digits and hyphens."""
+    pieces = F.regexp_extract_all(F.replace(name, F.lit("_"), F.lit(" ")), F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.array_join(F.transform(
+        pieces, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substr(p, F.lit(2))))
+    ), "")
 
 
 def percent(score: Column) -> Column:

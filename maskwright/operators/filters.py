@@ -67,6 +67,11 @@ def drop_false_positives(
     return kept
 
 
+def false_positives(findings: Column, names=NAME_DENYLIST, locations=LOCATION_DENYLIST) -> Column:
+    """The findings that ``drop_false_positives`` drops for FLT-4 to FLT-9."""
+    return F.filter(findings, lambda f: is_false_positive(f["entity"], f["value"], names, locations))
+
+
 def settle(findings: Column, names=NAME_DENYLIST, locations=LOCATION_DENYLIST, allowed=()) -> Column:
     """Clip, drop false positives, resolve overlaps: the fixed order of document mode."""
     return resolve_overlaps(drop_false_positives(clip_at_pipe(findings), names, locations, allowed))

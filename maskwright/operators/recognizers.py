@@ -137,15 +137,15 @@ def user_recognizer(
     return df.select(key, text).mapInPandas(recognize, f"{key} {key_type}, {FINDING_ROWS}")
 
 
-def rules_from_table(table: DataFrame) -> tuple[SpanRule, ...]:
+def rules_from_table(table: DataFrame, most: int = MAX_RULES) -> tuple[SpanRule, ...]:
     """UDF-1: rules kept in a table ``(entity, rule, regex, score, context)``.
 
-    A rule table is configuration: its size is checked, then it becomes literal
-    expressions, so that no text is copied once per rule.
+    A rule table is configuration: a table of more than ``most`` rules is refused, any
+    other becomes literal expressions, so that no text is copied once per rule.
     """
-    rows = table.select("entity", "rule", "regex", "score", "context").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
+    rows = table.select("entity", "rule", "regex", "score", "context").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules")
     return tuple(
         SpanRule(
             r["entity"], r["rule"], r["regex"], int(round(float(r["score"]) * 100)),
@@ -155,12 +155,12 @@ def rules_from_table(table: DataFrame) -> tuple[SpanRule, ...]:
     )
 
 
-def code_rules_from_table(table: DataFrame) -> tuple[CodeRule, ...]:
-    """UDF-2: vulnerability rules kept in a table with the fields of ``CodeRule``."""
+def code_rules_from_table(table: DataFrame, most: int = MAX_RULES) -> tuple[CodeRule, ...]:
+    """UDF-2: vulnerability rules kept in a table with the fields of ``CodeRule``, at most ``most``."""
     fields = ["rule_id", "title", "description", "severity", "regex", "cwe", "advice"]
-    rows = table.select(*fields).limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
+    rows = table.select(*fields).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules")
     return tuple(
         CodeRule(*[r[f] for f in fields]) for r in sorted(rows, key=lambda r: r["rule_id"])
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.text import let, snippet, split_lines, title_case
+from ..functions.text import let, snippet, split_lines, strip, title_case
 from ..rules import BLOCKING, EXTERNAL_ADVICE, MINOR
 from .scan import SEC_COLUMNS, severity_rank
 
@@ -82,7 +82,7 @@ def external_findings(reports: DataFrame, key: str, results: str = "results") ->
             F.when(severity.isin("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO"), severity)
             .otherwise("LOW").alias("severity"),
             F.coalesce(r["line_number"], F.lit(0)).alias("line_number"),
-            F.trim(F.coalesce(r["code"], F.lit(""))).alias("line_text"),
+            strip(F.coalesce(r["code"], F.lit(""))).alias("line_text"),
             F.coalesce(r["issue_cwe"]["id"].cast("string"), F.lit("")).alias("cwe"),
             F.lit(EXTERNAL_ADVICE).alias("advice"),
             F.lit("bandit").alias("source"),
@@ -158,11 +158,14 @@ def shared_values(vault: DataFrame, at_least: int = 2) -> DataFrame:
 
 
 def shared_values_approx(vault: DataFrame, at_least: int = 2, rsd: float = 0.02) -> DataFrame:
-    """AGG-10 with sketches, for corpora where exact distinct counts cost too much."""
-    return (
-        vault.groupBy("label", F.sha2("value", 256).alias("value_hash"))
-        .agg(F.approx_count_distinct("session_id", rsd).alias("documents"))
-        .where(F.col("documents") >= at_least)
+    """AGG-10 with sketches beside the exact counts: ``within`` says whether a sketch is at most 5 ``rsd`` off."""
+    both = vault.groupBy("label", F.sha2("value", 256).alias("value_hash")).agg(
+        F.count_distinct("session_id").alias("documents"),
+        F.approx_count_distinct("session_id", rsd).alias("_sketch"),
+    )
+    off = F.abs(F.col("_sketch") - F.col("documents"))
+    return both.where(F.col("documents") >= at_least).select(
+        "label", "value_hash", "documents", (off <= F.greatest(F.lit(1.0), 5 * rsd * F.col("documents"))).alias("within")
     )
 
 

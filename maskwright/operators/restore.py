@@ -8,7 +8,7 @@ from ..functions.text import let
 from .joins import checkpointed, join_hot_keys
 
 # --- fixed value: the form of a placeholder
-TOKEN = r"\{\{([A-Z_]+)_(\d+)\}\}"
+TOKEN = r"\{\{([A-Za-z_][A-Za-z0-9_]*)_(\d+)\}\}"
 # ---
 
 ENTRY = "struct<seq:int,placeholder:string,value:string>"
@@ -104,24 +104,28 @@ def _nested(tokens: DataFrame, vault: DataFrame) -> DataFrame:
 
 
 def restore(
-    texts: DataFrame, vault: DataFrame, key: str, session: str, text: str = "text", depth: int = 1,
+    texts: DataFrame, vault: DataFrame, key: str, session: str, text: str = "text", depth: int | None = None,
 ) -> DataFrame:
     """REST-1 and REST-2 against a vault table; adds ``restored`` and ``restored_count``.
 
     Each text meets only the entries whose placeholders it holds, not the vault of
-    its session, so a session may have any size.  ``depth`` is how far placeholders
-    inside restored values are followed; a text that needs more fails the query
-    (use ``restore_nested``), it is never left half done.
+    its session, so a session may have any size.  Placeholders inside restored values
+    are followed to the end; a ``depth`` stops sooner, and a text that needs more then
+    fails the query, it is never left half done.  A placeholder that comes up only when
+    two restored values meet fails it too: ``restore_nested`` follows those.
 
     The texts are read twice, once for their tokens and once to be rewritten; the
     joins in between work on the checkpointed tokens alone.
     """
     tokens = checkpointed(_text_tokens(texts, key, session, text))
-    level = tokens
-    for _ in range(depth):
-        level = _nested(level, vault)
-        tokens = tokens.unionByName(level)
-    done = _apply(texts, tokens.distinct() if depth else tokens, vault, key, text)
+    level, followed = tokens, 0
+    while depth is None or followed < depth:
+        level = checkpointed(_nested(level, vault).distinct().join(tokens, tokens.columns, "left_anti"))
+        if level.isEmpty():
+            break
+        tokens = checkpointed(tokens.unionByName(level))
+        followed += 1
+    done = _apply(texts, tokens, vault, key, text)
     checked = F.when(F.size("_unseen") > 0, F.raise_error(F.concat(
         F.lit("placeholders nested deeper than depth: "), F.array_join("_unseen", ", ")
     )).cast("string")).otherwise(F.col("restored"))

@@ -257,9 +257,9 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Reports of an outside scanner: one JSON report per part, one or two results.
 REPORT_JSON = (
     "'{\"results\":[{\"test_id\":\"B' || " + digits("p_partkey", 3) + " || '\",\"test_name\":\"weak_' || "
-    "split_part(p_name, ' ', 1) || '_use\",\"issue_text\":\"Found in ' || p_name || '\",\"issue_severity\":\"' || "
+    "split_part(p_name, ' ', 1) || '_md5-use_of2hash\",\"issue_text\":\"Found in ' || p_name || '\",\"issue_severity\":\"' || "
     + pick("LOW,MEDIUM,HIGH,UNDEFINED", "p_partkey") + " || '\",\"line_number\":' || "
-    "CAST(p_size AS VARCHAR(20)) || ',\"code\":\" x = 1 \",\"issue_cwe\":{\"id\":' || "
+    "CAST(p_size AS VARCHAR(20)) || ',\"code\":\"' || chr(92) || 'n 3 x = 1' || chr(92) || 'n4 y' || chr(92) || 'n\",\"issue_cwe\":{\"id\":' || "
     "CAST(p_partkey % 900 AS VARCHAR(20)) || '}},{\"test_name\":\"weak_hash\",\"line_number\":3}]}'"
 )
 

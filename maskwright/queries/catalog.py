@@ -5,7 +5,7 @@ All of them read whole tables or corpora that Spark derives from whole tables.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -234,11 +234,11 @@ def pipe_clip(spark, sf):
     WITH corpus AS ({corpora.PEOPLE_SQL}), raw AS ({o.span_rows(ENABLED)}),
     kept AS ({o.clean_rows('raw')})
     SELECT {o.FINDING_SELECT} FROM raw
-    WHERE (doc_id, rule, start) NOT IN (SELECT (doc_id, rule, start) FROM kept)""")
+    ANTI JOIN kept USING (doc_id, rule, start)""")
 def fp_filter(spark, sf):
     """The findings that FLT-4 to FLT-9 drop."""
     found = scan.scan(corpora.people(spark, sf))
-    dropped = F.array_except(F.col("findings"), filters.drop_false_positives(F.col("findings")))
+    dropped = filters.false_positives(F.col("findings"))
     return scan.explode_findings(found.withColumn("findings", dropped), ["doc_id"]).select(*FINDING_OUT)
 
 
@@ -668,13 +668,13 @@ def vuln_scan(spark, sf):
 
 _EXTERNAL_SQL = f"""
     SELECT doc_id, coalesce(r->>'test_id', 'B000') AS rule_id,
-           array_to_string(list_transform(string_split(replace(coalesce(r->>'test_name', 'Bandit Issue'), '_', ' '), ' '),
-                           lambda w: upper(w[1]) || lower(w[2:])), ' ') AS title,
+           array_to_string(list_transform(regexp_extract_all(replace(coalesce(r->>'test_name', 'Bandit Issue'), '_', ' '),
+                           '[a-zA-Z]+|[^a-zA-Z]+'), lambda w: upper(w[1]) || lower(w[2:])), '') AS title,
            coalesce(r->>'issue_text', '') AS description,
            CASE WHEN upper(coalesce(r->>'issue_severity', 'LOW')) IN ('CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'INFO')
                 THEN upper(coalesce(r->>'issue_severity', 'LOW')) ELSE 'LOW' END AS severity,
            coalesce((r->>'line_number')::INTEGER, 0) AS line_number,
-           trim(coalesce(r->>'code', '')) AS line_text,
+           {o.strip("coalesce(r->>'code', '')")} AS line_text,
            coalesce(r->'issue_cwe'->>'id', '') AS cwe,
            'See https://bandit.readthedocs.io for remediation guidance.' AS advice,
            'bandit' AS source, j AS rule_no, 0 AS start
@@ -828,7 +828,9 @@ def shared_values(spark, sf):
     return report.shared_values(mask.explode_vault(masked_documents(spark, sf), "doc_id"))
 
 
-@query("shared_values_approx")
+@query("shared_values_approx", f"""{DOCUMENTS_SETTLED}
+    SELECT label, sha256(value) AS value_hash, count(DISTINCT doc_id) AS documents, TRUE AS within
+    FROM kept GROUP BY label, value HAVING count(DISTINCT doc_id) >= 2""")
 def shared_values_approx(spark, sf):
     return report.shared_values_approx(mask.explode_vault(masked_documents(spark, sf), "doc_id"))
 
@@ -853,14 +855,9 @@ def mask_pages(spark, sf):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder for stream output: in the shared checkpoint folder, else a local one."""
+    """A new folder for stream output, below the checkpoint folder that all executors share."""
     joins.ensure_checkpoint_dir(spark)
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        import uuid
-
-        return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="maskwright-stream-")
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:

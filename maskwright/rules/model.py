@@ -45,6 +45,8 @@ class SpanRule:
             raise ValueError(f"rule {self.rule}: score must be within 0 and 100")
         if not self.label:
             object.__setattr__(self, "label", self.entity)
+        if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", self.label):
+            raise ValueError(f"rule {self.rule}: a label is letters, digits and underscores: {self.label}")
 
     @property
     def pattern(self) -> str:

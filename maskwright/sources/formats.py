@@ -206,7 +206,8 @@ def _part_text(raw: Column) -> Column:
     either = F.array_join(F.transform(names, lambda b: F.concat(F.lit(r"\Q"), b, F.lit(r"\E"))), "|")
     opener = F.concat(F.lit(r"(?:\A|\r?\n)--(?:"), either, F.lit(r")[ \t]*\r?\n"))
     closer = F.concat(F.lit(r"(?s)\r?\n--(?:"), either, F.lit(r")--.*\z"))
-    pieces = F.slice(F.split(raw, opener, -1), F.lit(2), F.lit(1_000_000))
+    cut = F.split(raw, opener, -1)
+    pieces = F.slice(cut, F.lit(2), F.greatest(F.size(cut), F.lit(0)))
 
     def parsed(piece):
         whole = F.regexp_replace(piece, closer, F.lit(""))

@@ -58,13 +58,14 @@ def table_lines(df: DataFrame, columns: list[str], into: str = "text") -> DataFr
     return df.withColumn(into, csv_line(F.array(*[F.col(c).cast("string") for c in columns])))
 
 
-def read_csv_lines(spark: SparkSession, paths, columns: int) -> DataFrame:
-    """SRC-3 for large CSV files: records are split over tasks, the header is a line too."""
-    names = [f"c{i}" for i in range(columns)]
-    schema = ", ".join(f"{n} string" for n in names)
-    rows = spark.read.schema(schema).option("header", False).option("multiLine", False).csv(paths)
-    cells = F.array(*[F.coalesce(F.col(n), F.lit("")) for n in names])
-    return rows.select(F.col("_metadata.file_path").alias("path"), csv_line(cells).alias("text"))
+def read_csv_lines(spark: SparkSession, paths) -> DataFrame:
+    """SRC-3 for large CSV files: lines are split over tasks, the header is a line too.
+
+    Every line is a record with as many cells as it has; a blank one gives an empty
+    text.  Files whose quoted cells hold line ends are for ``read_documents``.
+    """
+    lines = spark.read.text(paths)
+    return lines.select(F.col("_metadata.file_path").alias("path"), csv_text(F.col("value")).alias("text"))
 
 
 def read_scanner_reports(spark: SparkSession, paths) -> DataFrame:

@@ -54,6 +54,10 @@ class SessionVault:
     ttl_seconds: int | None = None
     compact_every: int = 50
 
+    def __post_init__(self):
+        if self.ttl_seconds is not None and not self.event_time:
+            raise ValueError("ttl_seconds needs event_time")
+
     def _rows(self, spark: SparkSession, name: str, schema: str) -> DataFrame:
         try:
             return spark.read.schema(f"{schema}, batch int").parquet(f"{self.folder}/{name}")

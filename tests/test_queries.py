@@ -1,6 +1,7 @@
 """Registered queries against their SQL on the smallest data set."""
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -12,7 +13,7 @@ NAMES = (
     "src_html_text src_file_dispatch doc_stats code_stats scan_report context_boost overlap_resolve "
     "overlap_conflicts mask_docs mask_people vault_build vault_roundtrip restore_docs unresolved "
     "vault_sessions mask_sessions vault_append vault_corpus mask_with_gazetteers allowlist user_hook "
-    "mask_code snippets vuln_scan vuln_import vuln_ranked final_status exposure_rollup shared_values stream_vault"
+    "mask_code snippets fp_filter shared_values_approx vuln_scan vuln_import vuln_ranked final_status exposure_rollup shared_values stream_vault"
 ).split()
 
 needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
@@ -29,7 +30,8 @@ def db():
 def test_registry():
     queries, sqls = entry.queries(), entry.oracle_sql()
     assert set(sqls) <= set(queries)
-    assert set(queries) - set(sqls) == {"shared_values_approx"}
+    # the training-data operators, which may be left out, have queries that SQL cannot express
+    assert {n for n in set(queries) - set(sqls) if not re.match(r"op\d+_|pipeline$", n)} == set()
 
 
 @needs_data
