@@ -33,9 +33,11 @@ def remainder(key, n):
             regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
         FROM documents),
     grams AS (
-        SELECT doc_id, unnest(generate_series(1, len(words) - 4)) AS i, words FROM docs WHERE len(words) >= 5),
+        SELECT doc_id, unnest(generate_series(1, len(words) - 4)) AS i,
+            unnest(list_transform(generate_series(1, len(words) - 4), lambda i: array_to_string(words[i:i + 4], ' '))) AS gram
+        FROM docs WHERE len(words) >= 5),
     repeated AS (
-        SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i:i + 4]) AS times FROM grams),
+        SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS times FROM grams),
     repeat_words AS (
         SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words
         FROM repeated, (SELECT unnest(generate_series(0, 4)) AS k) WHERE times > 1 GROUP BY doc_id),
