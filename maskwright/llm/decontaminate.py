@@ -21,6 +21,8 @@ SUBSTITUTIONS = 2
 LEAST = 5
 #: Places read; any two substitutions in thirteen words leave one of them whole somewhere (see the tests).
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 2, 3, 6, 9, 10))
+# Words whose seeds are computed together: bounds the memory of a batch of long texts.
+WORDS_AT_ONCE = 1 << 18
 # Places of the bit sets over seeds and over documents: 2 MB each, whatever the input.
 BITS = 24
 _WORD = re.compile(r"[^\W_]+")
@@ -43,6 +45,29 @@ def seeds(h: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     return mix(total)
 
 
+def seeds_of_many(rows: list[np.ndarray], mask: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, hash) of the seeds of many rows of word hashes, taken at once; none spans two rows."""
+    sizes = np.array([len(r) for r in rows], np.int64)
+    got = seeds(np.concatenate(rows) if rows else np.zeros(0, np.uint64), mask)
+    row = np.repeat(np.arange(len(rows)), sizes)[: len(got)]
+    start = np.arange(len(got)) - (np.cumsum(sizes) - sizes)[row]
+    inside = start + mask[-1] < sizes[row]
+    return row[inside], start[inside], got[inside]
+
+
+def batches(texts: list[str], most: int = WORDS_AT_ONCE):
+    """(first row, word hashes of some rows): a batch is closed by the text that brings it to ``most`` words."""
+    first, held, size = 0, [], 0
+    for i, t in enumerate(texts):
+        held.append(hashes_of(words_of(t)))
+        size += len(held[-1])
+        if size >= most:
+            yield first, held
+            first, held, size = i + 1, [], 0
+    if held:
+        yield first, held
+
+
 def overlaps(doc: list[str], item: list[str], diagonal: int) -> list[tuple[int, int, int]]:
     """(first word, end, substitutions): maximal overlapping stretches of a document, the item laid at ``diagonal``."""
     a, b = max(0, diagonal), min(len(doc), diagonal + len(item))
@@ -78,7 +103,7 @@ def contaminated(
     items = benchmark.select(F.col(item_key).alias("_item"), text_or_empty(item_text).alias("_words")).distinct()
 
     def item_seeds(columns):
-        out = {"_item": [], "_h": [], "at": []}
+        out = {"_item": [], "_h": [], "at": [], "span": []}
         for item, t in zip(columns["_item"], columns["_words"]):
             h = hashes_of(words_of(t))
             masks = MASKS if len(h) >= WINDOW else [tuple(range(len(h)))] if len(h) >= LEAST else []
@@ -87,28 +112,31 @@ def contaminated(
                 out["_item"] += [item] * len(got)
                 out["_h"] += got.view(np.int64).tolist()
                 out["at"] += range(len(got))
+                out["span"] += [min(len(h), WINDOW)] * len(got)
         return out
 
-    index = written(map_rows(items, item_seeds, f"_item {item_kind}, _h bigint, at int"), "seeds")
+    index = written(map_rows(items, item_seeds, f"_item {item_kind}, _h bigint, at int, span int"), "seeds")
     bits = spark.sparkContext.broadcast(hash_bits(index, "_h", BITS))
-    all_masks = [*MASKS, *(tuple(range(n)) for n in range(LEAST, WINDOW))]
+    # at most nine lengths; a mask that no item was cut with can meet nothing
+    spans = {r["span"] for r in index.select("span").distinct().collect()}
+    used = [m for n in sorted(spans) for m in (MASKS if n == WINDOW else [tuple(range(n))])]
 
     def hits(columns):
         table = np.frombuffer(bits.value, np.uint8)
         out = {"_key": [], "_tie": [], "_h": [], "at": []}
-        for k, tie, t in zip(columns["_key"], columns["_tie"], columns["_text"]):
-            h = hashes_of(words_of(t))
-            for mask in all_masks:
-                got = seeds(h, mask)
-                at = np.flatnonzero(in_bits(table, got, BITS))
-                out["_key"] += [k] * len(at)
-                out["_tie"] += [tie] * len(at)
-                out["_h"] += got[at].view(np.int64).tolist()
-                out["at"] += at.tolist()
+        for first, held in batches(columns["_text"]):
+            for mask in used:
+                row, start, got = seeds_of_many(held, mask)
+                hit = np.flatnonzero(in_bits(table, got, BITS))
+                of = (row[hit] + first).tolist()
+                out["_key"] += [columns["_key"][i] for i in of]
+                out["_tie"] += [columns["_tie"][i] for i in of]
+                out["_h"] += got[hit].view(np.int64).tolist()
+                out["at"] += start[hit].tolist()
         return out
 
     found = map_rows(rows, hits, f"_key {kind}, _tie bigint, _h bigint, at int")
-    joined = salted_join(found, index.withColumnRenamed("at", "item_at"), ["_h"], F.xxhash64("_key", "at"))
+    joined = salted_join(found, index.select("_item", "_h", F.col("at").alias("item_at")), ["_h"], F.xxhash64("_key", "at"))
     candidates = written(
         joined.select("_key", "_tie", "_item", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct(), "candidates"
     )

@@ -415,3 +415,16 @@ def test_bundle_is_the_sum_of_bound_letters():
         space.places[0][codes[i]].astype(int) * space.places[1][codes[i + 1]] * space.places[2][codes[i + 2]] for i in range(len(codes) - 2)
     )
     assert (space.bundle(["ab"])[0] == want).all()
+
+
+@pytest.mark.parametrize("most", [1, 10, 30, 1000])
+def test_seeds_of_batches_equal_those_of_single_texts(most):
+    rng = np.random.default_rng(1)
+    texts = [" ".join(map(str, rng.integers(0, 9, n))) for n in (0, 1, 3, 12, 13, 14, 0, 40, 5)]
+    single = [decontaminate.hashes_of(decontaminate.words_of(t)) for t in texts]
+    for mask in (*decontaminate.MASKS, tuple(range(5))):
+        got = []
+        for first, held in decontaminate.batches(texts, most):
+            row, start, h = decontaminate.seeds_of_many(held, mask)
+            got += zip((row + first).tolist(), start.tolist(), h.tolist())
+        assert got == [(i, j, int(x)) for i, h in enumerate(single) for j, x in enumerate(decontaminate.seeds(h, mask))]
