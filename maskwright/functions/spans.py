@@ -307,6 +307,33 @@ def _resolve(findings: Column) -> Column:
     return F.when(F.size(findings) <= 1, findings).otherwise(F.sort_array(kept))
 
 
+def walk_blocks(items: Column, state: Column, step, kind: str) -> Column:
+    """Walk along an array with a small state; ``step(state, item)`` gives a struct (state, piece).
+
+    The pieces, of type ``kind``, are gathered in blocks, so that the time is in proportion to their number.
+    """
+    def along(array):
+        def one(acc, i):
+            return let(step(acc["state"], F.get(array, i)), lambda x: F.struct(
+                x["state"].alias("state"), F.concat(acc["out"], F.array(x["piece"])).alias("out"),
+            ))
+
+        def block(acc, b):
+            inside = F.sequence(b * BLOCK, F.least((b + 1) * BLOCK, F.size(array)) - 1)
+            init = F.struct(acc["state"].alias("state"), empty(f"array<{kind}>").alias("out"))
+            return let(F.aggregate(inside, init, one), lambda x: F.struct(
+                x["state"].alias("state"), F.concat(acc["out"], F.array(x["out"])).alias("out"),
+            ))
+
+        blocks = F.sequence(F.lit(0), F.floor((F.size(array) - 1) / F.lit(BLOCK)).cast("int"))
+        init = F.struct(state.alias("state"), empty(f"array<array<{kind}>>").alias("out"))
+        return F.when(F.size(array) == 0, empty(f"array<{kind}>")).otherwise(
+            F.aggregate(blocks, init, block, lambda acc: F.flatten(acc["out"]))
+        )
+
+    return let(items, along)
+
+
 def splice(text: Column, findings: Column, marks: Column) -> Column:
     """Replace each span by its mark; findings in reading order, marks alongside."""
     def pieces(spans):

@@ -24,55 +24,85 @@ def registration(findings: Column, order: str) -> Column:
     return F.reverse(ordered) if order == BACKWARD else ordered
 
 
-def label_values(ordered: Column) -> Column:
-    """Map label -> distinct values in order of registration; position is number."""
-    def build(spans):
-        labels = F.array_distinct(F.transform(spans, lambda f: f["label"]))
-        values = F.transform(labels, lambda label: F.array_distinct(F.transform(
-            F.filter(spans, lambda f: f["label"] == label), lambda f: f["value"]
+def numbering(findings: Column, order: str) -> Column:
+    """(``of``: place in the vault of every finding's value, ``entries``: the vault of the document).
+
+    Places count from 0 in order of registration.  Everything is found by sorting, nothing by search, so
+    the time grows with n log n.
+    """
+    def place(f, i):
+        return F.struct(f.alias("f"), i.alias("i"))
+
+    def sorted_by_value(ordered):
+        return F.sort_array(F.transform(ordered, lambda p, at: F.struct(
+            p["f"]["label"].alias("label"), p["f"]["value"].alias("value"), at.alias("at"), p["i"].alias("i"),
         )))
-        return F.map_from_arrays(labels, values)
 
-    return let(ordered, build)
-
-
-def number_of(values: Column, label: Column, value: Column) -> Column:
-    return F.array_position(F.element_at(values, label), value).cast("int")
-
-
-def marks(findings: Column, values: Column) -> Column:
-    return F.transform(findings, lambda f: placeholder(f["label"], number_of(values, f["label"], f["value"])))
-
-
-def vault_entries(ordered: Column, values: Column) -> Column:
-    """Vault of one document; ``seq`` is the order of registration over all labels."""
-    firsts = F.array_distinct(F.transform(
-        ordered, lambda f: F.concat(f["label"], F.lit(":"), f["value"])
-    ))
-
-    def entry(key, i):
-        label = F.substring_index(key, ":", 1)
-        value = F.substring(key, F.length(label) + 2, F.length(key))
-        n = number_of(values, label, value)
-        return F.struct(
-            placeholder(label, n).alias("placeholder"), label.alias("label"), n.alias("n"),
-            value.alias("value"), (i + 1).cast("int").alias("seq"),
-        )
-
-    return F.transform(firsts, entry).cast(f"array<{VAULT_ENTRY}>")
+    def runs_of(found):
+        """Where the runs of equal (label, value) begin."""
+        def begins(j):
+            here, before = F.get(found, j), F.get(found, j - 1)
+            return (j == 0) | (here["label"] != before["label"]) | (here["value"] != before["value"])
+
+        return let(F.filter(F.sequence(F.lit(0), F.size(found) - 1), begins), lambda starts: let(
+            F.sort_array(F.transform(starts, lambda j, r: F.struct(
+                F.get(found, j)["at"].alias("at"), F.get(found, j)["label"].alias("label"),
+                F.get(found, j)["value"].alias("value"), r.alias("r"),
+            ))),
+            lambda runs: F.struct(places(found, starts, runs).alias("of"), entries(runs).alias("entries")),
+        ))
+
+    def places(found, starts, runs):
+        ranks = F.sort_array(F.transform(runs, lambda x, k: F.struct(x["r"].alias("r"), k.alias("k"))))
+
+        def members(rank):
+            last = F.coalesce(F.get(starts, rank["r"] + 1), F.size(found)) - 1
+            return F.transform(F.sequence(F.get(starts, rank["r"]), last), lambda j: F.struct(
+                F.get(found, j)["i"].alias("i"), rank["k"].alias("k"),
+            ))
+
+        return F.transform(F.sort_array(F.flatten(F.transform(ranks, members))), lambda x: x["k"])
+
+    def entries(runs):
+        def counted(grouped):
+            names = F.transform(grouped, lambda x: x["label"])
+            first = F.map_from_entries(F.transform(
+                F.array_distinct(names), lambda label: F.struct(label, F.array_position(names, label))
+            ))
+            # a map of labels, of which there are as many as rules
+            return let(first, lambda opened: F.sort_array(F.transform(grouped, lambda x, m: F.struct(
+                x["k"].alias("k"), (m + 2 - F.element_at(opened, x["label"])).cast("int").alias("n"),
+            ))))
+
+        grouped = F.sort_array(F.transform(runs, lambda x, k: F.struct(x["label"].alias("label"), k.alias("k"))))
+        numbers = let(grouped, counted)
+
+        def entry(x, number):
+            return F.struct(
+                placeholder(x["label"], number["n"]).alias("placeholder"), x["label"].alias("label"),
+                number["n"].alias("n"), x["value"].alias("value"), (number["k"] + 1).alias("seq"),
+            )
+
+        return F.zip_with(runs, numbers, entry).cast(f"array<{VAULT_ENTRY}>")
+
+    kind = f"struct<of:array<int>,entries:array<{VAULT_ENTRY}>>"
+    none = F.struct(F.array().alias("of"), F.array().alias("entries")).cast(kind)
+    ordered = registration(F.transform(findings, place), order)
+    return F.when(F.size(findings) == 0, none).otherwise(let(sorted_by_value(ordered), runs_of).cast(kind))
 
 
 def mask_findings(
     df: DataFrame, text: str, findings: str, order: str, masked: str = "masked", vault: str = "vault",
 ) -> DataFrame:
     """MASK-1 / MASK-2: add vault and masked text; documents without findings pass through."""
-    ordered = registration(F.col(findings), order)
-    body = splice(F.col(text), F.col(findings), marks(F.col(findings), F.col("_values")))
+    numbered = F.col("_numbered")
+    marks = F.transform(numbered["of"], lambda k: F.get(numbered["entries"], k)["placeholder"])
+    body = splice(F.col(text), F.col(findings), marks)
     return (
-        with_once(df, "_values", label_values(ordered))
-        .withColumn(vault, vault_entries(ordered, F.col("_values")))
+        with_once(df, "_numbered", numbering(F.col(findings), order))
+        .withColumn(vault, numbered["entries"])
         .withColumn(masked, F.when(is_blank(F.col(text)), F.lit("")).otherwise(body))
-        .drop("_values")
+        .drop("_numbered")
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.spans import splice, with_once
 from ..functions.text import is_blank, placeholder
 from .joins import checkpointed, join_hot_keys, number_rows
-from .mask import BACKWARD
+from .mask import BACKWARD, numbering
 
 VALUE_KEYS = ["session_id", "label", "value"]
 VAULT_COLUMNS = ["session_id", "placeholder", "label", "n", "value", "seq"]
@@ -82,23 +82,19 @@ def mask_with_vault(
     marks by document key: a broadcast when the marks are small, no exchange of texts
     when the corpus is bucketed by that key, else one shuffle.
     """
-    f = F.col("_f")
-    wanted = findings.select(
-        F.col(session).alias("session_id"), F.col(key).alias("_key"),
-        F.explode(F.array_distinct(F.transform(
-            "findings", lambda x: F.struct(x["label"].alias("label"), x["value"].alias("value"))
-        ))).alias("_f"),
-    ).select("session_id", "_key", f["label"].alias("label"), f["value"].alias("value"))
+    found = with_once(
+        findings.select(F.col(session).alias("session_id"), F.col(key).alias("_key"), "findings"),
+        "_numbered", numbering(F.col("findings"), BACKWARD),
+    )
+    wanted = found.select("session_id", "_key", F.posexplode("_numbered.entries").alias("_k", "_e")).select(
+        "session_id", "_key", "_k", F.col("_e.label").alias("label"), F.col("_e.value").alias("value")
+    )
     named = join_hot_keys(wanted, vault.select(*VALUE_KEYS, "placeholder"), VALUE_KEYS)
-    names = named.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct(
-        F.concat("label", F.lit(":"), "value"), "placeholder"
-    ))).alias("_names"))
-    lookup = (
-        findings.select(F.col(key).alias("_key"), "findings")
-        .join(names, "_key")
-        .select("_key", "findings", F.transform("findings", lambda x: F.element_at(
-            F.col("_names"), F.concat(x["label"], F.lit(":"), x["value"])
-        )).alias("_marks"))
+    # the values of a document in the order of its own numbering
+    names = named.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_k", "placeholder"))).alias("_names"))
+    lookup = found.join(names, "_key").select(
+        "_key", "findings",
+        F.transform("_numbered.of", lambda k: F.get(F.col("_names"), k)["placeholder"]).alias("_marks"),
     )
     joined = docs.join(lookup.withColumnRenamed("_key", key), key, "left")
     body = F.when(F.col("_marks").isNull(), F.col(text)).otherwise(

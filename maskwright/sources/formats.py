@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from ..functions.spans import walk_blocks
 from ..functions.text import BLANK, let, strip
 from ..rules.model import FLAGS
 
@@ -46,19 +47,20 @@ def csv_text(text: Column) -> Column:
         quoted = F.regexp_replace(cell, r'(?s)\A"((?:[^"]|"")*+)"', "$1")
         return F.when(F.startswith(cell, F.lit('"')), F.replace(quoted, F.lit('""'), F.lit('"'))).otherwise(cell)
 
-    def step(acc, piece):
-        cells = F.concat(acc["cells"], F.array(bare(piece["cell"])))
+    def step(cells, piece):
+        grown = F.concat(cells, F.array(bare(piece["cell"])))
         # the last stop is the end of the text; an empty row there is no row
         ends = (piece["stop"] == "\n") | (
-            (piece["stop"] == "") & ((F.size(acc["cells"]) > 0) | (piece["cell"] != ""))
+            (piece["stop"] == "") & ((F.size(cells) > 0) | (piece["cell"] != ""))
+        )
+        return F.struct(
+            F.when(ends, none).when(piece["stop"] == ",", grown).otherwise(cells).alias("state"),
+            F.when(ends, csv_line(grown)).alias("piece"),
         )
-        return F.when(ends, F.struct(
-            F.array().cast(STRINGS).alias("cells"),
-            F.concat(acc["rows"], F.array(csv_line(cells))).alias("rows"),
-        )).when(piece["stop"] == ",", F.struct(cells.alias("cells"), acc["rows"].alias("rows"))).otherwise(acc)
 
-    init = F.struct(F.array().cast(STRINGS).alias("cells"), F.array().cast(STRINGS).alias("rows"))
-    return F.aggregate(pieces, init, step, lambda acc: F.array_join(acc["rows"], "\n"))
+    none = F.array().cast(STRINGS)
+    # records that go on have no line yet; array_join leaves them out
+    return F.array_join(walk_blocks(pieces, none, step, "string"), "\n")
 
 
 # ---- JSON (SRC-4)
@@ -87,23 +89,21 @@ def json_layout(text: Column) -> Column:
     def pad(depth):
         return F.concat(F.lit("\n"), F.repeat(F.lit("  "), depth))
 
-    def step(acc, token):
+    def step(state, token):
         opens, closes = token.isin("{", "["), token.isin("}", "]")
-        depth = acc["depth"] - F.when(closes, 1).otherwise(0)
-        fresh = acc["last"].isin("{", "[")
+        depth = state["depth"] - F.when(closes, 1).otherwise(0)
+        fresh = state["last"].isin("{", "[")
         lead = (
             F.when(closes, F.when(fresh, F.lit("")).otherwise(pad(depth)))
-            .when(fresh | (acc["last"] == ","), pad(depth))
+            .when(fresh | (state["last"] == ","), pad(depth))
             .otherwise(F.lit(""))
         )
         piece = F.concat(lead, F.when(token == ":", F.lit(": ")).otherwise(plain(token)))
-        return F.struct(
-            (depth + F.when(opens, 1).otherwise(0)).alias("depth"), token.alias("last"),
-            F.concat(acc["out"], F.array(piece)).alias("out"),
-        )
+        after = F.struct((depth + F.when(opens, 1).otherwise(0)).alias("depth"), token.alias("last"))
+        return F.struct(after.alias("state"), piece.alias("piece"))
 
-    init = F.struct(F.lit(0).alias("depth"), F.lit("").alias("last"), F.array().cast(STRINGS).alias("out"))
-    laid_out = F.aggregate(tokens, init, step, lambda acc: F.array_join(acc["out"], ""))
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("last"))
+    laid_out = F.array_join(walk_blocks(tokens, start, step, "string"), "")
     return F.when(json_valid(text), laid_out)
 
 
@@ -150,18 +150,16 @@ def xml_outline(text: Column) -> Column:
             F.when(own == "", F.lit("")).otherwise(F.concat(F.lit(" "), own)),
         )
 
-    def step(acc, tag):
+    def step(depth, tag):
         closing = F.startswith(tag, F.lit("</"))
         alone = F.regexp_extract(tag, _XML_TAG, 4) == "/"
-        return F.when(closing, F.struct((acc["depth"] - 1).alias("depth"), acc["out"].alias("out"))).otherwise(
-            F.struct(
-                (acc["depth"] + F.when(alone, 0).otherwise(1)).alias("depth"),
-                F.concat(acc["out"], F.array(line(tag, acc["depth"]))).alias("out"),
-            )
+        return F.struct(
+            F.when(closing, depth - 1).when(alone, depth).otherwise(depth + 1).alias("state"),
+            F.when(~closing, line(tag, depth)).alias("piece"),
         )
 
-    init = F.struct(F.lit(0).alias("depth"), F.array().cast(STRINGS).alias("out"))
-    return F.aggregate(tags, init, step, lambda acc: F.array_join(acc["out"], "\n"))
+    # closing tags have no line; array_join leaves them out
+    return F.array_join(walk_blocks(tags, F.lit(0), step, "string"), "\n")
 
 
 # ---- e-mail (SRC-7)
