@@ -7,8 +7,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.spans import FINDINGS, empty, find_spans, with_once
-from ..functions.text import as_map, let, strip
+from ..functions.spans import find_spans
+from ..functions.text import as_map, strip
 from ..rules import CodeRule, ENTITY_LABELS, GAZETTEER_PCT, SpanRule
 from ..rules.model import FLAGS
 from .scan import SCORE, add_findings
@@ -18,19 +18,24 @@ FINDING_ROWS = (
     "line_number int, value string"
 )
 MAX_RULES = 500
-SHORT_LIST = 2000
 
-_WORD = r"\w[\w'’-]*"
-# A capitalised word; the one or two words after it on the same line are caught
-# in a lookahead, so the next match may start inside them.
-_NAME_START = FLAGS + rf"\b(?=\p{{Lu}})({_WORD})(?=((?:[ \t]+{_WORD}){{0,2}}))"
-_ONE_WORD = FLAGS + rf"\A[ \t]+{_WORD}"
+_WORD = r"\w[\w'’-]*+"
+# Words of a name may stand apart by anything on the line: blanks, dots, commas.
+_GAP = r"[^\w\r\n]++"
 
 
-def name_grams(text: Column) -> Column:
-    """1- to 3-word sequences that start with a capital, as one array per text."""
+def name_grams(text: Column, most: int, any_start: bool = False) -> Column:
+    """Sequences of up to ``most`` words that start with a capital (or with anything), as one array per text.
+
+    The words after the first are caught in a lookahead, so the next sequence may start inside them.
+    """
+    start = r"\w" if any_start else r"\p{Lu}"
+    pattern = FLAGS + rf"\b(?={start})({_WORD})(?=((?:{_GAP}{_WORD}){{0,{most - 1}}}))"
+
     def grams(hit, follow):
-        first = F.regexp_extract(follow, _ONE_WORD, 0)
+        tails = F.array(F.lit(""), *[
+            F.regexp_extract(follow, FLAGS + rf"\A(?:{_GAP}{_WORD}){{{n}}}", 0) for n in range(1, most)
+        ])
 
         def gram(tail):
             value = F.concat(hit["value"], tail)
@@ -39,23 +44,17 @@ def name_grams(text: Column) -> Column:
                 hit["line"].alias("line_number"), value.alias("value"),
             )
 
-        return F.concat(
-            F.array(gram(F.lit(""))),
-            F.when(first != "", F.array(gram(first))).otherwise(F.array().cast(kind)),
-            F.when(F.length(follow) > F.length(first), F.array(gram(follow))).otherwise(
-                F.array().cast(kind)
-            ),
-        )
+        # a tail is empty where fewer words follow
+        return F.transform(F.filter(tails, lambda tail, n: (n == 0) | (tail != "")), gram)
 
-    kind = "array<struct<start:int,end:int,line_number:int,value:string>>"
-    follows = F.regexp_extract_all(text, F.lit(_NAME_START), F.lit(2))
-    return F.flatten(F.zip_with(find_spans(text, _NAME_START), follows, grams))
+    follows = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
+    return F.flatten(F.zip_with(find_spans(text, pattern), follows, grams))
 
 
-def name_candidates(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+def name_candidates(df: DataFrame, key: str, text: str = "text", most: int = 3, any_start: bool = False) -> DataFrame:
     """The sequences as rows: (key, start, end, line_number, value, name)."""
     return (
-        df.select(key, F.explode_outer(name_grams(F.col(text))).alias("_c"))
+        df.select(key, F.explode_outer(name_grams(F.col(text), most, any_start)).alias("_c"))
         .where(F.col("_c").isNotNull())
         .select(key, "_c.*", normal_name(F.col("_c")["value"]).alias("name"))
     )
@@ -65,67 +64,51 @@ def normal_name(value):
     return F.lower(F.regexp_replace(strip(value), r"\s+", " "))
 
 
+def listed_names(gazetteer: DataFrame) -> DataFrame:
+    """(name, entity, small, words) of a table ``(name, entity)``: normal forms from first to last word character.
+
+    ``small`` marks names such as ``van Gogh`` that hold a capital but do not start with one.
+    """
+    bare = F.regexp_replace("name", FLAGS + r"\A\W+|\W+\z", "")
+    small = bare.rlike(FLAGS + r"\A\P{Lu}.*\p{Lu}")
+    return (
+        gazetteer.select(normal_name(bare).alias("name"), "entity", small.alias("small")).where("name != ''")
+        .groupBy("name", "entity").agg(F.max("small").alias("small"))
+        .withColumn("words", F.regexp_count("name", F.lit(FLAGS + _WORD)))
+    )
+
+
 def gazetteer_findings(
     df: DataFrame, gazetteer: DataFrame, key: str, text: str = "text",
 ) -> DataFrame:
     """PII-22 to PII-25 and JOIN-4: names of a table ``(name, entity)`` found in texts.
 
-    An equi-join on the normal form of the name, without a hint: a small table is
-    broadcast by its measured size, a large one shuffled.
+    An equi-join on the normal form of the name, without a hint: a small table is broadcast by its
+    measured size, a large one shuffled.  The longest name of the table decides how many words are looked
+    at.  A name counts where it starts with a capital, one written like ``van Gogh`` anywhere.
     """
-    names = gazetteer.select(normal_name(F.col("name")).alias("name"), "entity").distinct()
+    names = listed_names(gazetteer)
+    most, any_start = names.agg(F.max("words"), F.max("small")).first()
     labels = as_map(ENTITY_LABELS)
-    return name_candidates(df, key, text).join(names, "name").select(
+    found = name_candidates(df, key, text, most or 1, bool(any_start)).join(names, "name")
+    return found.where(F.col("small") | F.col("value").rlike(FLAGS + r"\A\p{Lu}")).select(
         key, "entity", F.coalesce(F.try_element_at(labels, F.col("entity")), "entity").alias("label"),
         F.lit("GAZETTEER").alias("rule"), "start", "end",
         F.lit(GAZETTEER_PCT / 100).cast(SCORE).alias("score"), "line_number", "value",
     )
 
 
-def short_gazetteer(gazetteer: DataFrame) -> dict[str, list[str]] | None:
-    """Names per entity when the table has at most ``SHORT_LIST`` of them, else None."""
-    names = gazetteer.select(normal_name(F.col("name")).alias("name"), "entity").distinct()
-    rows = names.limit(SHORT_LIST + 1).collect()
-    if len(rows) > SHORT_LIST:
-        return None
-    lists: dict[str, list[str]] = {}
-    for row in sorted(rows, key=lambda r: (r["entity"], r["name"])):
-        lists.setdefault(row["entity"], []).append(row["name"])
-    return lists
-
-
-def gazetteer_column(text: Column, names: dict[str, list[str]]) -> Column:
-    """Findings of short name lists within the row: hash look-ups, nothing is joined."""
-    if not names:
-        return empty(FINDINGS)
-
-    def findings(grams):
-        def of_entity(entity, listed):
-            hits = F.filter(grams, lambda g: normal_name(g["value"]).isin(listed))
-            return F.transform(hits, lambda g: F.struct(
-                g["start"].alias("start"), g["end"].alias("end"), F.lit(GAZETTEER_PCT).alias("pct"),
-                F.lit(entity).alias("entity"), F.lit(ENTITY_LABELS.get(entity, entity)).alias("label"),
-                F.lit("GAZETTEER").alias("rule"), g["line_number"].alias("line"), g["value"].alias("value"),
-            )).cast(FINDINGS)
-
-        return F.concat(*[of_entity(entity, listed) for entity, listed in names.items()])
-
-    return let(name_grams(text), findings)
-
-
 def with_gazetteer(
     df: DataFrame, gazetteer: DataFrame, key: str, text: str = "text", findings: str = "findings",
 ) -> DataFrame:
     """Add gazetteer findings to the findings of each document.
 
-    A short list is looked up in place; a long one is joined, which brings the texts
-    together with the result by document key.
+    They come back by key and hash of the text, so that null keys and keys of several texts get their own;
+    rows that repeat both get the same.
     """
-    names = short_gazetteer(gazetteer)
-    if names is None:
-        return add_findings(df, gazetteer_findings(df, gazetteer, key, text), key, findings)
-    both = F.concat(F.col("_patterns"), gazetteer_column(F.col(text), names))
-    return with_once(df.withColumnRenamed(findings, "_patterns"), findings, both).drop("_patterns")
+    marked = df.withColumn("_id", F.struct(F.col(key), F.xxhash64(text)))
+    rows = gazetteer_findings(marked, gazetteer, "_id", text).distinct()
+    return add_findings(marked, rows, "_id", findings).drop("_id")
 
 
 def user_recognizer(
