@@ -21,7 +21,8 @@ from maskwright.llm.common import map_rows, text_or_empty
 PIECES_KEPT = 600_000
 # White space as the tokenizers know it: without the four separators that Python adds.
 _PIECE = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
-_LETTER_THEN_MARK = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ][.,]$")
+# Without U+0130: in lower case it ends with a combining dot, which joins the mark behind it.
+_LETTER_THEN_MARK = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ɏ][.,]$")
 
 
 def parts_of(piece: str) -> list[str]:

@@ -178,6 +178,18 @@ def test_pieces_equal_whole_texts(name):
         tokens.PIECES_KEPT = tokens_kept
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_letters_before_a_mark_equal_whole_texts(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    letters = [chr(c) for c in range(ord("A"), 0x250) if chr(c).isalpha()]
+    texts = ["TÜRKİYE CUMHURİYETİ. ANKARA", *(f"ab {before}{c}{mark} x" for c in letters for before in ("", "x", "'", "1") for mark in ".,")]
+    whole = Tokenizer.from_file(public_tokenizers.path(name))
+    want = [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert tokens.Pieces(public_tokenizers.path(name)).encode(texts) == want
+
+
 def reference_ids(name, rows, end):
     import public_tokenizers
     from tokenizers import Tokenizer
