@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from maskwright.llm.common import hash_bits, hashes_of, in_bits, map_rows, mix, salted_join, text_or_empty, written
 
@@ -86,20 +86,18 @@ def overlaps(doc: list[str], item: list[str], diagonal: int) -> list[tuple[int,
     return [(int(a + x), int(a + y), int(differ[x:y].sum())) for x, y in edges]
 
 
-def contaminated(
-    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text",
-    item_key: str = "item_id", item_text: str = "text",
-) -> DataFrame:
-    """(key, item_key, first_word, end_word, substitutions, spans): one row for a document and an item that overlap.
+def _tie(text: Column) -> Column:
+    """Tells texts of one key apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
-    ``spans`` holds all stretches (start, end, substitutions), the other columns the longest, the first of
-    equal ones.  Null and empty texts overlap with nothing, so they give no row.  Rows with one key and
-    different texts are looked at one by one; a row repeated with key and text counts once.  A null key is
-    a key like any other.
-    """
+
+def _verified(
+    docs: DataFrame, benchmark: DataFrame, key: str, text: str, item_key: str, item_text: str
+) -> DataFrame:
+    """(_key, _tie, _item, spans): a row for each text of a key and each item that overlap."""
     spark = docs.sparkSession
     kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text_or_empty(text)).alias("_tie"), text_or_empty(text).alias("_text"))
+    rows = docs.select(F.col(key).alias("_key"), _tie(F.col(text)).alias("_tie"), text_or_empty(text).alias("_text"))
     items = benchmark.select(F.col(item_key).alias("_item"), text_or_empty(item_text).alias("_words")).distinct()
 
     def item_seeds(columns):
@@ -159,30 +157,51 @@ def contaminated(
     ).dropDuplicates(["_key", "_tie"])
 
     def verify(columns):
-        out = {key: [], item_key: [], "spans": []}
-        for k, t, found_items in zip(columns["_key"], columns["_text"], columns["_items"]):
+        out = {"_key": [], "_tie": [], "_item": [], "spans": []}
+        for k, tie, t, found_items in zip(*(columns[c] for c in ("_key", "_tie", "_text", "_items"))):
             words = words_of(t)
             for item in found_items:
                 own = words_of(item["_words"])
                 spans = sorted({s for d in set(item["diagonals"]) for s in overlaps(words, own, d)})
                 if spans:
-                    out[key].append(k)
-                    out[item_key].append(item["_item"])
+                    out["_key"].append(k)
+                    out["_tie"].append(tie)
+                    out["_item"].append(item["_item"])
                     out["spans"].append([{"start": a, "end": b, "substitutions": n} for a, b, n in spans])
         return out
 
-    verified = map_rows(
+    return map_rows(
         to_verify, verify,
-        f"`{key}` {kind}, `{item_key}` {item_kind}, spans array<struct<start:bigint,end:bigint,substitutions:bigint>>", rows=64,
+        f"_key {kind}, _tie bigint, _item {item_kind}, spans array<struct<start:bigint,end:bigint,substitutions:bigint>>", rows=64,
     )
+
+
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text",
+    item_key: str = "item_id", item_text: str = "text",
+) -> DataFrame:
+    """(key, item_key, first_word, end_word, substitutions, spans): one row for a document and an item that overlap.
+
+    ``spans`` holds all stretches (start, end, substitutions), the other columns the longest, the first of
+    equal ones.  Null and empty texts overlap with nothing, so they give no row.  Rows with one key and
+    different texts are looked at one by one; a row repeated with key and text counts once.  A null key is
+    a key like any other.
+    """
+    verified = _verified(docs, benchmark, key, text, item_key, item_text)
     longest = F.expr("array_max(transform(spans, x -> struct(x.end - x.start AS n, -x.start AS s, x AS span))).span")
     return verified.withColumn("_best", longest).select(
-        key, item_key, F.col("_best.start").alias("first_word"), F.col("_best.end").alias("end_word"),
+        F.col("_key").alias(key), F.col("_item").alias(item_key), F.col("_best.start").alias("first_word"), F.col("_best.end").alias("end_word"),
         F.col("_best.substitutions").alias("substitutions"), "spans",
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that overlap with no benchmark item, all columns unchanged."""
-    found = contaminated(docs, benchmark, key, text).select(F.col(key).alias("_leaked")).distinct()
-    return docs.join(found, docs[key].eqNullSafe(F.col("_leaked")), "left_anti")
+    """The documents that overlap with no benchmark item, all columns unchanged.
+
+    Rows with one key, or none, are judged each by its own text.
+    """
+    found = _verified(docs, benchmark, key, text, "item_id", "text").select(
+        F.col("_key").alias("_leaked"), F.col("_tie").alias("_leaked_text")
+    ).distinct()
+    same = docs[key].eqNullSafe(F.col("_leaked")) & (_tie(docs[text]) == F.col("_leaked_text"))
+    return docs.join(found, same, "left_anti")

@@ -323,6 +323,15 @@ def test_contamination_equals_brute_force(spark, none):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_clean_judges_texts_of_one_key_each(spark):
+    bench = spark.createDataFrame([(0, PASSAGE)], "item_id bigint, text string")
+    leak, fine = f"x {PASSAGE} y", "nothing of it"
+    rows = [(None, leak), (None, fine), (None, None), (1, leak), (1, fine), (1, fine), (2, leak), (3, leak + " z"), (3, "")]
+    table = spark.createDataFrame([(*r, "a", 7) for r in rows], "doc_id bigint, text string, item_id string, _tie int")
+    want = [(k, t, "a", 7) for k, t in rows if not t or t == fine]
+    assert rows_of(decontaminate.clean(table, bench), *table.columns) == sorted(want, key=repr)
+
+
 # ---------------------------------------------------------------- licenses
 
 
