@@ -23,13 +23,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies: that with the smallest id.
-
-    Rows without an id cannot be told apart by it and stay; rows that repeat an id stay together.
-    """
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keep one document of each group of near copies: that with the smallest id, as ``simhash.keep_first`` orders them."""
+    return simhash.keep_first(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

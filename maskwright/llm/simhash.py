@@ -106,12 +106,45 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     has none; repeated rows stay.
     """
     rows = written(fingerprints(docs, key, text, size).withColumnRenamed(key, "_key"), "fingerprints")
-    fps = written(rows.groupBy("fp").agg(F.min("_key").alias("_least")), "distinct")
+    of = least_of_groups(written(rows.groupBy("fp").agg(F.min("_key").alias("_least")), "distinct"), distance)
+    return join_hot_keys(rows, of, ["fp"]).select(
+        F.col("_key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("_first").alias("component_id"),
+    )
+
+
+def least_of_groups(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(fp, _first): the smallest ``_least`` that links reach.  ``fps`` is a written table (fp, _least), distinct in ``fp``."""
     roots = written(components(links(fps.select("fp"), distance)), "roots")
     linked = fps.join(roots.withColumnRenamed("node", "fp"), "fp")
-    least = linked.groupBy("root").agg(F.min("_least").alias("component_id"))
-    of_linked = linked.join(least, "root").select("fp", "component_id")
-    of = fps.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "_least").alias("component_id"))
-    return join_hot_keys(rows, of, ["fp"]).select(
-        F.col("_key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    least = linked.groupBy("root").agg(F.min("_least").alias("_first"))
+    of_linked = linked.join(least, "root").select("fp", "_first")
+    return fps.join(of_linked, "fp", "left").select("fp", F.coalesce("_first", "_least").alias("_first"))
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """One row of each group of near copies, all columns unchanged.
+
+    It is the row with the smallest key, of equal keys that with the smallest text hash; rows without a key
+    come last.  Rows that are equal in all columns count as one.  No column may hold a map.
+    """
+    columns = docs.columns
+    # rows are known by their text's and their whole content's hash; a null moves no value to another column's place
+    content = F.xxhash64(*columns, *(F.col(c).isNull() for c in columns))
+    marked = docs.withColumns({"_text_hash": F.xxhash64(text_or_empty(text)), "_row_hash": content})
+    identity = ["_text_hash", "_row_hash"]
+    prints = map_rows(
+        marked.select(F.col(key).alias("_key"), *identity, text_or_empty(text).alias("_text")),
+        lambda c: {n: c[n] for n in ("_key", *identity)}
+        | {"fp": np.array([fingerprint(t, size) for t in c["_text"]], np.uint64).view(np.int64)},
+        f"_key {docs.schema[key].dataType.simpleString()}, _text_hash bigint, _row_hash bigint, fp bigint",
     )
+    rows = written(prints.groupBy("fp", "_key", *identity).agg(F.count(F.lit(1)).alias("_n")), "fingerprints")
+    order = F.struct(F.col("_key").isNull().alias("last"), "_key", *identity)
+    of = least_of_groups(written(rows.groupBy("fp").agg(F.min(order).alias("_least")), "distinct"), distance)
+    first = (F.col("_first._text_hash") == F.col("_text_hash")) & (F.col("_first._row_hash") == F.col("_row_hash"))
+    judged = join_hot_keys(rows, of, ["fp"]).select(*identity, "_n", first.alias("_kept"))
+    copies = written(judged.where("NOT _kept OR _n > 1").select(*identity, "_kept"), "copies")
+    found = marked.join(copies, identity, "left")
+    single = found.where("_kept IS NULL").select(*columns)
+    return single.unionByName(found.where("_kept").dropDuplicates(identity).select(*columns))

@@ -136,6 +136,13 @@ def test_stages_take_awkward_tables(spark, corpus):
         assert stage(spark, odd.limit(0), corpus).count() == 0, name
 
 
+def test_near_copies_stage_keeps_one_row_of_a_group(spark, corpus):
+    own, copy = " ".join(f"own{i}" for i in range(50)), " ".join(f"copy{i}" for i in range(50))
+    rows = [(1, copy), (2, copy), (2, own), (None, copy), (3, own), (3, own), (None, "x"), (None, "x")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(known(corpus_pipeline.drop_near_copies(spark, table, corpus)), key=repr) == [(1, copy), (2, own), (None, "x")]
+
+
 def test_registered():
     names = entry.queries()
     assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{i}" for i in range(1, 11)}

@@ -134,6 +134,23 @@ def test_simhash_equals_brute_force(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_one_row_of_each_group_is_kept(docs, spark, none):
+    own = " ".join(f"own{i}" for i in range(50))
+    rows = [
+        (1, PASSAGE, "a"), (1, own, "a"), (1, PASSAGE, "b"), (2, PASSAGE, "c"), (None, PASSAGE, "d"), (None, own, "e"),
+        *[(None, LONG, None)] * 3, *[(5, "one two", "f")] * 4, (6, None, "g"), (None, "", "h"),
+    ]
+    table = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, lang string, _key string").repartition(3)
+    got = simhash.keep_first(table)
+    assert got.columns == table.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(1, PASSAGE), (1, own), (None, LONG), (5, "one two"), (6, None)])
+    assert rows_of(simhash.keep_first(table.repartition(7)), *table.columns) == rows_of(got, *table.columns)
+    group = brute_groups({brute_fingerprint(t) for _, t in known(docs)}, 4)
+    kept = simhash.keep_first(docs)
+    assert kept.count() == len({min(g) for g in group.values()}) and kept.columns == docs.columns
+    assert simhash.keep_first(none).count() == 0
+
+
 @pytest.mark.parametrize("distance", [2, 4, 6])
 def test_links_lose_none(spark, distance):
     rng = np.random.default_rng(distance)
