@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from maskwright.llm.common import map_rows, written
 from maskwright.llm.tokens import tokenize
+from maskwright.operators.joins import CHUNK, HOT_SHARE
 
 SIZE = 4096
 
@@ -93,26 +94,42 @@ def cut_pieces(tokens: DataFrame, key: str = "doc_id", size: int = SIZE) -> Data
     )
 
 
-def place(pieces: DataFrame, key: str = "doc_id", size: int = SIZE) -> DataFrame:
+def dealt_out(pieces: DataFrame, key: str, buckets: int, row: str | None = None) -> DataFrame:
+    """Add ``_bucket``, a hash of (key, start); rows of a (key, start) that holds a large share go by ``row`` too."""
+    at = F.xxhash64(key, "start")
+    if row is None:
+        return pieces.withColumn("_bucket", F.pmod(at, F.lit(buckets)).cast("int"))
+    total = pieces.agg(F.count(F.lit(1))).scalar()
+    often = pieces.groupBy(at.alias("_at")).agg(F.count(F.lit(1)).alias("_n")).where(
+        (F.col("_n") > CHUNK) & (F.col("_n") * HOT_SHARE > total)
+    ).select("_at", F.lit(True).alias("_often"))  # fewer than HOT_SHARE rows
+    salt = F.when(F.col("_often"), F.col(row))  # a null leaves the hash as it is
+    return pieces.withColumn("_at", at).join(F.broadcast(often), "_at", "left").withColumn(
+        "_bucket", F.pmod(F.xxhash64(key, "start", salt), F.lit(buckets)).cast("int")
+    ).drop("_at", "_often")
+
+
+def place(pieces: DataFrame, key: str = "doc_id", size: int = SIZE, row: str | None = None) -> DataFrame:
     """Add (sequence_id, offset) to pieces with (key, start, length); any other column rides along.
 
     ``pieces`` is read twice: pass a written table.  Ranks are counted inside (length, bucket), so a
     length that a third of all rows share is still spread; bucket sizes, a few rows a length, are summed
-    before.  Equal rows (same key and start) are told apart by nothing and get a place each.  An empty
-    table gives an empty one.
+    before.  Equal rows (same key and start) are told apart by nothing and get a place each; ``row``, a
+    column of distinct numbers written with the table and not passed on, spreads them where they are
+    many.  An empty table gives an empty one.
     """
     spark = pieces.sparkSession
     buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64(key, "start"), F.lit(buckets)).cast("int"))
+    dealt = dealt_out(pieces, key, buckets, row)
     sizes = written(dealt.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n")), "lengths")
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("_n").alias("n")).toLocalIterator()}
     table = slots(patterns(counts, size))
     earlier = W.partitionBy("length").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     before = sizes.select("length", "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     ranked = dealt.withColumn(
-        "_rank", F.row_number().over(W.partitionBy("length", "_bucket").orderBy(key, "start")) - 1
+        "_rank", F.row_number().over(W.partitionBy("length", "_bucket").orderBy(key, "start", *([row] if row else []))) - 1
     ).join(before, ["length", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
-    columns = [c for c in pieces.columns]
+    columns = [c for c in pieces.columns if c != row]
     slot_table = spark.sparkContext.broadcast(table)  # at most size**2 / 2 rows, mostly a few thousand
 
     def find(got):
@@ -126,7 +143,7 @@ def place(pieces: DataFrame, key: str = "doc_id", size: int = SIZE) -> DataFrame
             "offset": at[:, 4] + nth % np.maximum(at[:, 2], 1) * length,
         }
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != row)
     return map_rows(
         ranked.select(*columns, "_rank"), find, f"{fields}, sequence_id bigint, offset bigint", rows=8192
     )
@@ -157,4 +174,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc
     pieces = cut_pieces(tokenize(docs, tokenizer, end_id, key, text), key, size)
     pieces = pieces.withColumn("ids_crc32", F.crc32("ids"))
     names = [key, "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if keep_ids else [])]
-    return place(written(pieces.select(*names), "pieces"), key, size)
+    numbered = pieces.select(*names).withColumn("_row", F.monotonically_increasing_id())
+    return place(written(numbered, "pieces"), key, size, "_row")

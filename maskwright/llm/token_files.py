@@ -123,11 +123,12 @@ def decode(payload: bytes, offsets: bytes, n: int, table: tuple[np.ndarray, np.n
     return out.T.reshape(-1)[:n] if len(out) == EVERY else out.T.reshape(-1)
 
 
-def write_ids(tokens: DataFrame, folder: str, key: str = "doc_id", ties: str | None = None) -> None:
+def write_ids(tokens: DataFrame, folder: str, key: str = "doc_id", ties: str | None = None, row: str | None = None) -> None:
     """Write (key, ids) in the format above.  ``ids`` is binary, unsigned 32-bit little-endian.
 
     ``tokens`` is read twice (counts, then codes): pass a written table.  Keys may repeat; equal keys are
-    ordered by ``ties``.  A null key comes first.  An empty table makes an empty folder of blocks.
+    ordered by ``ties``, then by ``row``, a column of distinct numbers written with the table, which lets
+    the ranges split equal rows.  A null key comes first.  An empty table makes an empty folder of blocks.
     """
     spark = tokens.sparkSession
 
@@ -180,7 +181,7 @@ def write_ids(tokens: DataFrame, folder: str, key: str = "doc_id", ties: str | N
         if keys:
             yield made()
 
-    order = [key] + ([ties] if ties else [])
+    order = [key, *(c for c in (ties, row) if c)]
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tokens.repartitionByRange(files, *order).sortWithinPartitions(*order).select(key, "ids").mapInArrow(
         blocks, schema
@@ -224,8 +225,10 @@ def read_ids(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame
 
 def write_documents(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> None:
     """Tokenize whole texts (null: empty), append the end id, write them.  Repeated keys are ordered by text."""
-    tokens = written(tokenize(docs, tokenizer, end_id, key, text).withColumn("_tie", F.xxhash64("ids")), "tokens")
-    write_ids(tokens, folder, key, "_tie")
+    tokens = tokenize(docs, tokenizer, end_id, key, text).withColumns(
+        {"_tie": F.xxhash64("ids"), "_row": F.monotonically_increasing_id()}
+    )
+    write_ids(written(tokens, "tokens"), folder, key, "_tie", "_row")
 
 
 def digests(documents: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -266,6 +266,26 @@ def test_token_files(spark, docs, none, tmp_path):
     assert token_files.read_ids(spark, folder + "0").count() == 0
 
 
+def test_repeated_rows_are_spread(spark, tmp_path, monkeypatch):
+    rows = [(None, "same text")] * 900 + [(i, f"text {i}") for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    folder = f"file://{tmp_path}/ids"
+    token_files.write_documents(table, folder, "byte_bpe_50k.json", 0)
+    files = spark.read.parquet(f"{folder}/blocks").groupBy("file").agg(F.sum(F.size("keys")).alias("n")).collect()
+    assert sum(r.n for r in files) == 1200 and max(r.n for r in files) < 700
+    monkeypatch.setattr(packing, "CHUNK", 100)
+    pieces = table.select("doc_id", F.lit(0).cast("long").alias("start"), F.monotonically_increasing_id().alias("_row")).cache()
+    by = packing.dealt_out(pieces, "doc_id", 64, "_row")
+    assert max(r["count"] for r in by.groupBy("_bucket").count().collect()) < 100
+    alone = by.where("doc_id IS NOT NULL")
+    assert alone.where("_bucket != pmod(xxhash64(doc_id, start), 64)").count() == 0 and alone.count() == 300
+    got = packing.pack_documents(table, "word_bpe_49k.json", 2, size=64)
+    assert "_row" not in got.columns and got.count() == 1200
+    assert got.select("sequence_id", "offset").distinct().count() == 1200
+    packed = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    assert packed.where("n != end OR n > 64").count() == 0
+
+
 @pytest.mark.parametrize("n", [1, 2, 127, 128, 129, 5000])
 def test_huffman_round_trip(n):
     ids = np.random.default_rng(n).zipf(1.2, n) % 3000
