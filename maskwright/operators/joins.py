@@ -60,6 +60,28 @@ def number_rows(
     )
 
 
+def number_by_rank(rows: DataFrame, order: list[Column], into: str) -> DataFrame:
+    """Number ``rows`` from 1 in a total ``order`` without one task for all of them.
+
+    Rows are sorted by ranges, each range numbers its own rows, and the sizes of the ranges before, one
+    small row each, are added.  The sorted rows are checkpointed, so that the numbers are of one run.
+    """
+    at = F.monotonically_increasing_id()  # the upper bits number the range, the lower 33 its rows
+    ranged = checkpointed(
+        rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order)
+        .sortWithinPartitions(*order).select("*", at.alias("_at"))
+    )
+    part = F.shiftrightunsigned("_at", 33)
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row a range
+    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    return (
+        ranged.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+        .withColumn(into, F.col("_before") + F.expr("_at & 8589934591") + 1)
+        .drop("_part", "_at", "_before")
+    )
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage behind a costly scan by a reliable checkpoint.
 
