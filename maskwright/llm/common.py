@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from maskwright.operators.joins import ensure_checkpoint_dir
+from maskwright.operators.joins import CHUNK, HOT_SHARE, ensure_checkpoint_dir
 
 # Rows handled at once inside a task: bounds the Python memory of a batch of long texts.
 ROWS_AT_ONCE = 256
@@ -83,19 +83,53 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+# Bits in a slice of a bit set: 4 kB, one row on the way to the driver.
+SLICE_BITS = 15
+#: Largest bit set: 32 MB.
+MOST_BITS = 28
+
+
+def bits_for(n: int) -> int:
+    """Size of a bit set for ``n`` hashes, as a power of two: 16 places a hash, 32 MB at most."""
+    return min(max((16 * n).bit_length(), SLICE_BITS), MOST_BITS)
+
+
 def hash_bits(df: DataFrame, hashes: str, bits: int) -> bytes:
     """A bit set of ``2**bits`` places with the top bits of a 64-bit hash column set.
 
-    Its size is fixed, whatever the table holds, so it may be sent to every task.
-    A set bit may be a coincidence: what passes has to be joined exactly afterwards.
+    Its size is bounded, whatever the table holds, so it may be sent to every task.  Tasks make slices of
+    4 kB; the driver puts at most ``2**(bits - 15)`` of them together.  A set bit may be a coincidence:
+    what passes has to be joined exactly afterwards.
     """
     place = F.shiftrightunsigned(F.col(hashes), 64 - bits)
-    # eight places make a byte: at most 2**(bits - 3) rows reach the driver
-    bytes_ = df.groupBy(F.shiftright(place, 3).alias("b")).agg(
-        F.bit_or(F.expr(f"shiftleft(1, cast(shiftrightunsigned({hashes}, {64 - bits}) & 7 AS int))")).alias("v")
-    ).toPandas()
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    out[bytes_["b"].to_numpy(np.int64)] = bytes_["v"].to_numpy(np.uint8)
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, made = -1, np.zeros(1 << SLICE_BITS, bool)
+        for batch in batches:
+            at = batch.column(1).to_numpy()
+            done = []
+            for part in np.split(at, np.flatnonzero(np.diff(at >> SLICE_BITS)) + 1):
+                if len(part) and part[0] >> SLICE_BITS != number:
+                    done.append((number, made))
+                    number, made = int(part[0] >> SLICE_BITS), np.zeros(1 << SLICE_BITS, bool)
+                made[part & ((1 << SLICE_BITS) - 1)] = True
+            yield packed(done)
+        yield packed([(number, made)])
+
+    def packed(done):
+        return pa.RecordBatch.from_arrays([
+            pa.array([n for n, _ in done if n >= 0], pa.int64()),
+            pa.array([np.packbits(m, bitorder="little").tobytes() for n, m in done if n >= 0], pa.binary()),
+        ], names=["slice", "bits"])
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.select(F.shiftright(place, SLICE_BITS).alias("slice"), place.alias("place")).repartition(
+        parts, "slice"
+    ).sortWithinPartitions("slice")
+    out = np.zeros(max(1 << (bits - 3), 1 << (SLICE_BITS - 3)), np.uint8)
+    size = 1 << (SLICE_BITS - 3)
+    for r in dealt.mapInArrow(slices, "slice bigint, bits binary").collect():
+        out[r["slice"] * size : (r["slice"] + 1) * size] |= np.frombuffer(bytes(r["bits"]), np.uint8)
     return out.tobytes()
 
 
@@ -118,6 +152,20 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def left_join_hot_keys(facts: DataFrame, dim: DataFrame, on: list[str]) -> DataFrame:
+    """Left join on a unique key of ``dim`` where a few keys may be hot in ``facts``: as ``join_hot_keys``, but
+    rows without a partner stay, with nulls.  ``facts`` is read twice."""
+    counts = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CHUNK)
+    total = facts.agg(F.count(F.lit(1))).scalar()
+    hot_keys = counts.where(F.col("_n") * HOT_SHARE > total).select(*on)  # fewer than HOT_SHARE
+    fields = [c for c in dim.columns if c not in on]
+    hot = dim.join(F.broadcast(hot_keys), on, "left_semi").select(*on, F.struct(*fields).alias("_hot"))
+    marked = facts.join(F.broadcast(hot), on, "left")
+    done = marked.where("_hot IS NOT NULL").select(*facts.columns, *[F.col("_hot")[c].alias(c) for c in fields])
+    rest = marked.where("_hot IS NULL").drop("_hot").join(dim, on, "left")
+    return done.unionByName(rest.select(*done.columns))
+
+
 def salted_join(facts: DataFrame, dim: DataFrame, on: list[str], salt: Column, parts: int = 16, how: str = "inner") -> DataFrame:
     """Join on keys of which one may hold a large share of ``facts``.
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from maskwright.llm import (
-    common, decontaminate, host_rules, language, licenses, packing, quality, simhash, substrings, token_files, warc,
+    alignment, common, decontaminate, host_rules, importance, language, licenses, packing, quality, run_index, simhash,
+    substrings, token_files, warc,
 )
 from maskwright.plans.corpora import table
 
@@ -142,3 +143,18 @@ def op8_boundary_chains(spark, sf):
         f"{number('record_id')} AS page_id", "http_length AS payload_bytes", "payload_digest", "record_type",
         f"{number('refers_to')} AS refers_to",
     )
+
+
+@query("op11_importance_resampling")
+def op11_importance_resampling(spark, sf):
+    return importance.resample(table(spark, sf, "documents"), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
+@query("op12_run_length_index")
+def op12_run_length_index(spark, sf):
+    return run_index.remove_repeats(table(spark, sf, "documents"))
+
+
+@query("op13_tokenizer_alignment")
+def op13_tokenizer_alignment(spark, sf):
+    return alignment.compare(table(spark, sf, "documents"))

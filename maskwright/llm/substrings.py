@@ -20,13 +20,13 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from maskwright.llm.common import WORD, hash_bits, hashes_of, in_bits, map_rows, mix, text_or_empty, words_of, written
+from maskwright.llm.common import WORD, bits_for, hash_bits, hashes_of, in_bits, map_rows, mix, text_or_empty, words_of, written
 from maskwright.operators.joins import CHUNK, HOT_SHARE
 
 THRESHOLD = 20
 GRAM = 6
-# Places of the two bit sets that mark anchors: 8 MB each, whatever the input.
-BITS = 26
+# Where the start of a zone goes in the number of its place.
+_START_AT = 38
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE2 = 0xC2B2AE3D27D4EB4F | 1
 
@@ -137,8 +137,10 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     seen = map_rows(rows.select("_text"), anchors, "anchor bigint, zone bigint", setup=Hasher)
     joined = seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("zone").alias("z"), F.max("zone").alias("y"))
     joined = written(joined.where("n > 1").select("anchor", (F.col("z") != F.col("y")).alias("mixed")), "anchors")
-    alike = spark.sparkContext.broadcast(hash_bits(joined.where("not mixed"), "anchor", BITS))
-    mixed = spark.sparkContext.broadcast(hash_bits(joined.where("mixed"), "anchor", BITS))
+    n_mixed, n_alike = joined.agg(F.count_if("mixed"), F.count_if(~F.col("mixed"))).first()
+    alike_bits, mixed_bits = bits_for(n_alike), bits_for(n_mixed)
+    alike = spark.sparkContext.broadcast(hash_bits(joined.where("not mixed"), "anchor", alike_bits))
+    mixed = spark.sparkContext.broadcast(hash_bits(joined.where("mixed"), "anchor", mixed_bits))
 
     def units(columns, hasher, chosen):
         """Ranges of words that ``chosen`` takes from the zones of each text, with two hashes."""
@@ -154,8 +156,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
         }
 
     def whole_zones(anchor, first, last, tie):
-        many = in_bits(np.frombuffer(mixed.value, np.uint8), anchor, BITS)
-        keep = in_bits(np.frombuffer(alike.value, np.uint8), anchor, BITS) | many
+        many = in_bits(np.frombuffer(mixed.value, np.uint8), anchor, mixed_bits)
+        keep = in_bits(np.frombuffer(alike.value, np.uint8), anchor, alike_bits) | many
         return first[keep], (last - first)[keep] + threshold, many[keep]
 
     schema = f"_key {docs.schema[key].dataType.simpleString()}, _tie bigint, start int, n int, h1 bigint, h2 bigint, mixed boolean"
@@ -163,12 +165,14 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     firsts = written(_firsts(all_zones), "firsts")
     # of equal zones only the first is looked at window by window: the windows of the others start there
     place = _place(F.col("first._tie"), F.col("first.start"))
-    opened = spark.sparkContext.broadcast(hash_bits(firsts.where("mixed").select(place.alias("p")), "p", BITS))
+    places = firsts.where("mixed").select(place.alias("p"))
+    opened_bits = bits_for(places.count())
+    opened = spark.sparkContext.broadcast(hash_bits(places, "p", opened_bits))
 
     def single_windows(anchor, first, last, tie):
-        keep = np.flatnonzero(in_bits(np.frombuffer(mixed.value, np.uint8), anchor, BITS))
-        own = np.full(len(keep), tie, np.int64).view(np.uint64) ^ (first[keep].astype(np.uint64) << np.uint64(64 - BITS))
-        keep = keep[in_bits(np.frombuffer(opened.value, np.uint8), own, BITS)]
+        keep = np.flatnonzero(in_bits(np.frombuffer(mixed.value, np.uint8), anchor, mixed_bits))
+        own = np.full(len(keep), tie, np.int64).view(np.uint64) ^ (first[keep].astype(np.uint64) << np.uint64(_START_AT))
+        keep = keep[in_bits(np.frombuffer(opened.value, np.uint8), own, opened_bits)]
         count = (last - first + 1)[keep]
         windows = np.repeat(first[keep] - np.cumsum(count) + count, count) + np.arange(count.sum())
         return windows, np.full(len(windows), threshold), np.ones(len(windows), bool)
@@ -182,7 +186,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
 
 def _place(tie, start):
     """A number for a place in a document, as ``single_windows`` computes it."""
-    return tie.bitwiseXOR(F.shiftleft(start.cast("long"), 64 - BITS))
+    return tie.bitwiseXOR(F.shiftleft(start.cast("long"), _START_AT))
 
 
 def _firsts(units: DataFrame) -> DataFrame:
