@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from maskwright.operators.joins import CHUNK, HOT_SHARE, ensure_checkpoint_dir
 
@@ -35,7 +36,7 @@ def hashes_of(words: list) -> np.ndarray:
 
 
 def map_rows(
-    df: DataFrame, function: Callable[[list[dict]], dict[str, list]], schema: str,
+    df: DataFrame, function: Callable[[list[dict]], dict[str, list]], schema: str | StructType,
     rows: int = ROWS_AT_ONCE, setup: Callable[[], object] | None = None,
 ) -> DataFrame:
     """``mapInArrow`` in small batches: ``function`` gets columns as lists and returns columns.
@@ -59,11 +60,10 @@ def map_rows(
     return df.mapInArrow(run, schema)
 
 
-def pa_schema(schema: str, spark: SparkSession) -> pa.Schema:
+def pa_schema(schema: str | StructType, spark: SparkSession) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    return to_arrow_schema(StructType.fromDDL(schema))
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -90,18 +90,23 @@ MOST_BITS = 28
 
 
 def bits_for(n: int) -> int:
-    """Size of a bit set for ``n`` hashes, as a power of two: 16 places a hash, 32 MB at most."""
-    return min(max((16 * n).bit_length(), SLICE_BITS), MOST_BITS)
+    """Size of a bit set for ``n`` hashes, as a power of two: 64 places a hash, 32 MB at most."""
+    return min(max((64 * n).bit_length(), SLICE_BITS), MOST_BITS)
+
+
+def _rotated(h: Column) -> Column:
+    return F.shiftleft(h, 32).bitwiseOR(F.shiftrightunsigned(h, 32))
 
 
 def hash_bits(df: DataFrame, hashes: str, bits: int) -> bytes:
-    """A bit set of ``2**bits`` places with the top bits of a 64-bit hash column set.
+    """A bit set of ``2**bits`` places, two of them set for each 64-bit hash: by its upper and by its lower half.
 
     Its size is bounded, whatever the table holds, so it may be sent to every task.  Tasks make slices of
     4 kB; the driver puts at most ``2**(bits - 15)`` of them together.  A set bit may be a coincidence:
     what passes has to be joined exactly afterwards.
     """
-    place = F.shiftrightunsigned(F.col(hashes), 64 - bits)
+    halves = F.array(F.col(hashes), _rotated(F.col(hashes)))
+    place = F.shiftrightunsigned(F.col("h"), 64 - bits)
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, made = -1, np.zeros(1 << SLICE_BITS, bool)
@@ -123,7 +128,7 @@ def hash_bits(df: DataFrame, hashes: str, bits: int) -> bytes:
         ], names=["slice", "bits"])
 
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.select(F.shiftright(place, SLICE_BITS).alias("slice"), place.alias("place")).repartition(
+    dealt = df.select(F.explode(halves).alias("h")).select(F.shiftright(place, SLICE_BITS).alias("slice"), place.alias("place")).repartition(
         parts, "slice"
     ).sortWithinPartitions("slice")
     out = np.zeros(max(1 << (bits - 3), 1 << (SLICE_BITS - 3)), np.uint8)
@@ -134,9 +139,12 @@ def hash_bits(df: DataFrame, hashes: str, bits: int) -> bytes:
 
 
 def in_bits(table: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Which of the uint64 hashes have their bit set."""
-    place = hashes >> np.uint64(64 - bits)
-    return (table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    """Which of the uint64 hashes have both of their bits set."""
+    out = np.ones(len(hashes), bool)
+    for h in (hashes, hashes << np.uint64(32) | hashes >> np.uint64(32)):
+        place = h >> np.uint64(64 - bits)
+        out &= (table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return out
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -8,7 +8,9 @@ compared with the notice, exactly and, where that fails, by a pattern of bounded
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right, insort
 from functools import lru_cache
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -84,9 +86,16 @@ def places(text: str, notices: tuple = NOTICES) -> tuple[int, list[tuple[int, in
                 hits.append((found, i, a + m.start(), a + m.end()))
     kept: dict[int, list] = {}
     for found, i, a, b in sorted(set(hits)):
-        if not found or all(b <= x or y <= a for x, y, _ in kept.get(i, ())):
-            kept.setdefault(i, []).append((a, b, found))
-    out = [(i, line.count(" ", 0, a), line.count(" ", a, b) + 1, n) for i, spans in kept.items() for a, b, n in spans]
+        spans = kept.setdefault(i, [])
+        # starts and ends of the places kept ascend together, so one neighbour tells
+        at = bisect_left(spans, (b,))
+        if not found or not at or spans[at - 1][1] <= a:
+            insort(spans, (a, b, found))
+    starts = list(accumulate((len(w) + 1 for w in words), initial=0))
+    out = [
+        (i, first := bisect_right(starts, a) - 1, bisect_left(starts, b) - first, n)
+        for i, spans in kept.items() for a, b, n in spans
+    ]
     return len(words), sorted(out, key=lambda p: (p[1], p[0]))
 
 

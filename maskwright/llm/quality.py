@@ -162,4 +162,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
 
 def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score the threshold or more, all columns unchanged."""
-    return _rated(docs, model, text).where(F.col("_score") >= threshold).select("_row.*")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_in"))
+    # a filter on a plain column would compute the statistics anew for each rule that reads them
+    rated = with_once(statistics(rows, "_in"), "_score", model.score())
+    return rated.where(F.col("_score") >= threshold).select("_row.*")

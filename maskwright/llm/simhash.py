@@ -13,7 +13,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from maskwright.llm.common import map_rows, text_or_empty, written
+from maskwright.llm.common import left_join_hot_keys, map_rows, text_or_empty, written
 from maskwright.llm.components import components
 from maskwright.operators.joins import join_hot_keys
 
@@ -116,9 +116,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 def least_of_groups(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(fp, _first): the smallest ``_least`` that links reach.  ``fps`` is a written table (fp, _least), distinct in ``fp``."""
     roots = written(components(links(fps.select("fp"), distance)), "roots")
-    linked = fps.join(roots.withColumnRenamed("node", "fp"), "fp")
+    linked = written(fps.join(roots.withColumnRenamed("node", "fp"), "fp"), "linked")
     least = linked.groupBy("root").agg(F.min("_least").alias("_first"))
-    of_linked = linked.join(least, "root").select("fp", "_first")
+    of_linked = join_hot_keys(linked, least, ["root"]).select("fp", "_first")  # one root may hold most
     return fps.join(of_linked, "fp", "left").select("fp", F.coalesce("_first", "_least").alias("_first"))
 
 
@@ -131,10 +131,13 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     columns = docs.columns
     # rows are known by their text's and their whole content's hash; a null moves no value to another column's place
     content = F.xxhash64(*columns, *(F.col(c).isNull() for c in columns))
-    marked = docs.withColumns({"_text_hash": F.xxhash64(text_or_empty(text)), "_row_hash": content})
+    marked = docs.select(
+        F.struct(*columns).alias("_row"), F.col(key).alias("_key"), text_or_empty(text).alias("_text"),
+        F.xxhash64(text_or_empty(text)).alias("_text_hash"), content.alias("_row_hash"),
+    )
     identity = ["_text_hash", "_row_hash"]
     prints = map_rows(
-        marked.select(F.col(key).alias("_key"), *identity, text_or_empty(text).alias("_text")),
+        marked.select("_key", *identity, "_text"),
         lambda c: {n: c[n] for n in ("_key", *identity)}
         | {"fp": np.array([fingerprint(t, size) for t in c["_text"]], np.uint64).view(np.int64)},
         f"_key {docs.schema[key].dataType.simpleString()}, _text_hash bigint, _row_hash bigint, fp bigint",
@@ -145,6 +148,6 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     first = (F.col("_first._text_hash") == F.col("_text_hash")) & (F.col("_first._row_hash") == F.col("_row_hash"))
     judged = join_hot_keys(rows, of, ["fp"]).select(*identity, "_n", first.alias("_kept"))
     copies = written(judged.where("NOT _kept OR _n > 1").select(*identity, "_kept"), "copies")
-    found = marked.join(copies, identity, "left")
-    single = found.where("_kept IS NULL").select(*columns)
-    return single.unionByName(found.where("_kept").dropDuplicates(identity).select(*columns))
+    found = left_join_hot_keys(marked.select("_row", *identity), copies, identity)
+    single = found.where("_kept IS NULL").select("_row.*")
+    return single.unionByName(found.where("_kept").dropDuplicates(identity).select("_row.*"))

@@ -19,8 +19,9 @@ import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
-from maskwright.llm.common import WORD, bits_for, hash_bits, hashes_of, in_bits, map_rows, mix, text_or_empty, words_of, written
+from maskwright.llm.common import WORD, bits_for, hash_bits, hashes_of, in_bits, left_join_hot_keys, map_rows, mix, text_or_empty, words_of, written
 from maskwright.operators.joins import CHUNK, HOT_SHARE
 
 THRESHOLD = 20
@@ -171,7 +172,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
 
     def single_windows(anchor, first, last, tie):
         keep = np.flatnonzero(in_bits(np.frombuffer(mixed.value, np.uint8), anchor, mixed_bits))
-        own = np.full(len(keep), tie, np.int64).view(np.uint64) ^ (first[keep].astype(np.uint64) << np.uint64(_START_AT))
+        at = first[keep].astype(np.uint64)
+        own = np.full(len(keep), tie, np.int64).view(np.uint64) ^ (at << np.uint64(_START_AT)) ^ at
         keep = keep[in_bits(np.frombuffer(opened.value, np.uint8), own, opened_bits)]
         count = (last - first + 1)[keep]
         windows = np.repeat(first[keep] - np.cumsum(count) + count, count) + np.arange(count.sum())
@@ -179,14 +181,15 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
 
     windows = written(map_rows(rows, lambda c, h: units(c, h, single_windows), schema, setup=Hasher), "windows")
     found = _later(all_zones, firsts).union(_later(windows, written(_firsts(windows), "firsts")))
+    # rows repeated with key and text give the same ranges: sets, made on the map side first
     return found.groupBy("_key", F.col("_tie").alias("_same")).agg(
-        F.collect_list(F.struct("start", (F.col("start") + F.col("n")).alias("end"))).alias("ranges")
+        F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end"))).alias("ranges")
     )
 
 
 def _place(tie, start):
     """A number for a place in a document, as ``single_windows`` computes it."""
-    return tie.bitwiseXOR(F.shiftleft(start.cast("long"), _START_AT))
+    return tie.bitwiseXOR(F.shiftleft(start.cast("long"), _START_AT)).bitwiseXOR(start.cast("long"))
 
 
 def _firsts(units: DataFrame) -> DataFrame:
@@ -223,11 +226,16 @@ def removed_words(ranges: list[dict] | None, n: int) -> np.ndarray:
 
 
 def _marked(docs: DataFrame, key: str, text: str, threshold: int, gram: int) -> DataFrame:
-    """``docs`` with the column ``_ranges``: word ranges that hold repeats, null where there are none."""
+    """(_row, _key, _text, _ranges): each row with the word ranges that hold repeats, null where there are none."""
     found = repeats(docs, key, text, threshold, gram)
-    rows = docs.withColumn("_tie", F.xxhash64(F.col(key), text_or_empty(text)))
-    same = rows[key].eqNullSafe(found["_key"]) & (rows["_tie"] == found["_same"])
-    return rows.join(found, same, "left").select(*[rows[c] for c in docs.columns], found["ranges"].alias("_ranges"))
+    # joined by hashes of key and text, which a null key has, too
+    own = F.xxhash64(F.lit("key"), "_key").alias("_name")
+    ranges = written(found.select(F.col("_same").alias("_tie"), own, F.col("ranges").alias("_ranges")), "ranges")
+    rows = docs.select(
+        F.struct(*docs.columns).alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_text"),
+        F.xxhash64(F.col(key), text_or_empty(text)).alias("_tie"),
+    ).select("*", own)
+    return left_join_hot_keys(rows, ranges, ["_tie", "_name"])
 
 
 def without(text: str, ranges: list[dict] | None) -> tuple[str, list[bytes], int]:
@@ -252,13 +260,13 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
     ``kept`` is the text with maximal repeats cut out, its other white space unchanged (null where the
     text is null); ``kept_sha256`` is taken of the kept words joined by one space.
     """
-    rows = _marked(docs.select(key, text), key, text, threshold, gram)
+    rows = _marked(docs, key, text, threshold, gram).select("_key", "_text", "_ranges")
 
     def cut(columns):
-        got = [without(t or "", ranges) for t, ranges in zip(columns[text], columns["_ranges"])]
+        got = [without(t or "", ranges) for t, ranges in zip(columns["_text"], columns["_ranges"])]
         return {
-            key: columns[key], "n_words": [n for _, _, n in got], "n_removed": [n - len(w) for _, w, n in got],
-            "kept": [None if t is None else kept for t, (kept, _, _) in zip(columns[text], got)],
+            key: columns["_key"], "n_words": [n for _, _, n in got], "n_removed": [n - len(w) for _, w, n in got],
+            "kept": [None if t is None else kept for t, (kept, _, _) in zip(columns["_text"], got)],
             "kept_sha256": [hashlib.sha256(b" ".join(w)).hexdigest() for _, w, _ in got],
         }
 
@@ -266,17 +274,26 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
     return map_rows(rows, cut, f"`{key}` {kind}, n_words bigint, n_removed bigint, kept string, kept_sha256 string")
 
 
-def cut_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, gram: int = GRAM) -> DataFrame:
-    """``docs`` with repeats cut out of their text, and ``_removed``, the words cut; every row stays."""
-    names = docs.columns
-    rows = _marked(docs, key, text, threshold, gram)
+def cut_documents(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, gram: int = GRAM,
+    removed: str = "_removed",
+) -> DataFrame:
+    """``docs`` with repeats cut out of their text, and the column ``removed``, the words cut; every row stays.
+
+    Other columns may have any name and type; one called as ``removed`` is replaced.
+    """
+    rows = _marked(docs, key, text, threshold, gram).select("_row", "_text", "_ranges")
 
     def cut(columns):
-        got = [without(t or "", ranges) for t, ranges in zip(columns[text], columns["_ranges"])]
-        return {c: columns[c] for c in names} | {
-            text: [None if t is None else kept for t, (kept, _, _) in zip(columns[text], got)],
-            "_removed": [n - len(w) for _, w, n in got],
+        got = [without(t or "", ranges) for t, ranges in zip(columns["_text"], columns["_ranges"])]
+        return {
+            "_row": columns["_row"], "_n": [n - len(w) for _, w, n in got],
+            "_cut": [None if t is None else kept for t, (kept, _, _) in zip(columns["_text"], got)],
         }
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return map_rows(rows, cut, f"{fields}, _removed bigint")
+    schema = StructType().add("_row", docs.schema).add("_cut", "string").add("_n", "long")
+    done = map_rows(rows, cut, schema)
+    names = [c for c in docs.columns if c != removed]
+    return done.select(
+        *[F.col("_cut").alias(c) if c == text else F.col("_row")[c].alias(c) for c in names], F.col("_n").alias(removed)
+    )

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from maskwright.llm.common import pa_schema, written
-from maskwright.llm.tokens import tokenize
+from maskwright.llm.tokens import narrowest, tokenize
 
 # Longest code in bits: the decoding table has 2**LIMIT places.
 LIMIT = 18
@@ -33,6 +33,8 @@ LIMIT = 18
 EVERY = 128
 # A block is closed with the document that brings it to so many ids.
 BLOCK_IDS = 1 << 17
+# A file takes about so many ids, where there are more than one for a shuffle partition.
+FILE_IDS = 1 << 25
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -123,8 +125,8 @@ def decode(payload: bytes, offsets: bytes, n: int, table: tuple[np.ndarray, np.n
     return out.T.reshape(-1)[:n] if len(out) == EVERY else out.T.reshape(-1)
 
 
-def write_ids(tokens: DataFrame, folder: str, key: str = "doc_id", ties: str | None = None, row: str | None = None) -> None:
-    """Write (key, ids) in the format above.  ``ids`` is binary, unsigned 32-bit little-endian.
+def write_ids(tokens: DataFrame, folder: str, key: str = "doc_id", ties: str | None = None, row: str | None = None, kind: str = "<u4") -> None:
+    """Write (key, ids) in the format above.  ``ids`` is binary, little-endian of the numpy type ``kind``.
 
     ``tokens`` is read twice (counts, then codes): pass a written table.  Keys may repeat; equal keys are
     ordered by ``ties``, then by ``row``, a column of distinct numbers written with the table, which lets
@@ -136,7 +138,7 @@ def write_ids(tokens: DataFrame, folder: str, key: str = "doc_id", ties: str | N
         total = np.zeros(1, np.int64)
         for batch in batches:
             for b in batch.column(0):
-                got = np.bincount(np.frombuffer(b.as_buffer(), "<u4"))
+                got = np.bincount(np.frombuffer(b.as_buffer(), kind))
                 if len(got) > len(total):
                     total = np.pad(total, (0, len(got) - len(total)))
                 total[: len(got)] += got
@@ -153,9 +155,9 @@ def write_ids(tokens: DataFrame, folder: str, key: str = "doc_id", ties: str | N
     )
     book.coalesce(1).write.parquet(f"{folder}/codebook")
     shared = spark.sparkContext.broadcast((lengths, canonical_codes(lengths)))
-    kind = tokens.schema[key].dataType.simpleString()
+    key_kind, width = tokens.schema[key].dataType.simpleString(), np.dtype(kind).itemsize
     schema = (
-        f"file int, block int, file_start bigint, keys array<{kind}>, lengths array<bigint>, "
+        f"file int, block int, file_start bigint, keys array<{key_kind}>, lengths array<bigint>, "
         "payload binary, offsets binary"
     )
     out = pa_schema(schema, spark)
@@ -165,8 +167,8 @@ def write_ids(tokens: DataFrame, folder: str, key: str = "doc_id", ties: str | N
         keys, ids, held = [], [], 0
 
         def made():
-            sizes = [len(x) // 4 for x in ids]
-            payload, offsets = encode(np.frombuffer(b"".join(ids), "<u4"), *shared.value)
+            sizes = [len(x) // width for x in ids]
+            payload, offsets = encode(np.frombuffer(b"".join(ids), kind), *shared.value)
             row = [file], [block], [start], [keys], [sizes], [payload], [offsets]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, out)], schema=out)
 
@@ -174,7 +176,7 @@ def write_ids(tokens: DataFrame, folder: str, key: str = "doc_id", ties: str | N
             for k, b in zip(batch.column(0), batch.column(1)):
                 keys.append(k.as_py())
                 ids.append(b.as_py())
-                held += len(ids[-1]) // 4
+                held += len(ids[-1]) // width
                 if held >= BLOCK_IDS:
                     yield made()
                     block, start, keys, ids, held = block + 1, start + held, [], [], 0
@@ -182,7 +184,7 @@ def write_ids(tokens: DataFrame, folder: str, key: str = "doc_id", ties: str | N
             yield made()
 
     order = [key, *(c for c in (ties, row) if c)]
-    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(of.sum()) // FILE_IDS)
     tokens.repartitionByRange(files, *order).sortWithinPartitions(*order).select(key, "ids").mapInArrow(
         blocks, schema
     ).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
@@ -225,10 +227,11 @@ def read_ids(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame
 
 def write_documents(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> None:
     """Tokenize whole texts (null: empty), append the end id, write them.  Repeated keys are ordered by text."""
-    tokens = tokenize(docs, tokenizer, end_id, key, text).withColumns(
+    kind = narrowest(tokenizer, end_id)
+    tokens = tokenize(docs, tokenizer, end_id, key, text, kind).withColumns(
         {"_tie": F.xxhash64("ids"), "_row": F.monotonically_increasing_id()}
     )
-    write_ids(written(tokens, "tokens"), folder, key, "_tie", "_row")
+    write_ids(written(tokens, "tokens"), folder, key, "_tie", "_row", kind)
 
 
 def digests(documents: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -79,8 +79,15 @@ def pieces_of(name: str) -> Pieces:
     return _TABLES[path]
 
 
-def tokenize(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids): unsigned 32-bit little-endian ids of every whole text and the end id.
+def narrowest(tokenizer: str, end_id: int) -> str:
+    """The shortest type that holds all ids of a tokenizer and the end id."""
+    return "<u2" if max(pieces_of(tokenizer).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+
+
+def tokenize(
+    docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", kind: str = "<u4",
+) -> DataFrame:
+    """(key, ids): ids of every whole text and the end id, little-endian, unsigned, 32 bits unless ``kind`` says else.
 
     ``tokenizer`` is a file name of the public vocabularies or a path.  A null or empty text has the end
     id alone.  Rows are kept as they come, repeated ones too.
@@ -88,10 +95,13 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id",
     end = np.array([end_id], "<u4").tobytes()
 
     def ids(columns, table):
-        return {key: columns[key], "ids": [b + end for b in table.encode(columns["_text"])]}
+        found = [b + end for b in table.encode(columns["_text"])]
+        if kind != "<u4":
+            found = [np.frombuffer(b, "<u4").astype(kind).tobytes() for b in found]
+        return {key: columns[key], "ids": found}
 
-    kind = docs.schema[key].dataType.simpleString()
+    key_kind = docs.schema[key].dataType.simpleString()
     return map_rows(
-        docs.select(key, text_or_empty(text).alias("_text")), ids, f"`{key}` {kind}, ids binary",
+        docs.select(key, text_or_empty(text).alias("_text")), ids, f"`{key}` {key_kind}, ids binary",
         setup=lambda: pieces_of(tokenizer),
     )
