@@ -29,8 +29,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages out that an earlier document holds; every document stays, with what is left of its text."""
-    return substrings.cut_documents(docs).withColumn(
-        "n_chars", F.when(F.col("_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    removed = "_".join(["removed", *docs.columns])  # a name that no column has
+    return substrings.cut_documents(docs, removed=removed).withColumn(
+        "n_chars", F.when(F.col(removed) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     ).select(*docs.columns)
 
 
