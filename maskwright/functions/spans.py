@@ -26,6 +26,9 @@ BLOCK = 256
 MARK, FENCE = "\x01", "\x02"
 STRINGS = "array<string>"
 NEAR = 96
+# A text that is looked up by position is cut into runs of 2**RUN_BITS code points.
+RUN_BITS = 10
+RUN = 1 << RUN_BITS
 
 
 def empty(kind: str) -> Column:
@@ -134,27 +137,68 @@ def locate(pieces: Column, tail: Column) -> Column:
     return F.when(matches <= BLOCK, few).otherwise(many)
 
 
-def near_words(text: Column, start: Column, words: Column, window: int) -> Column:
-    """True when one of ``words`` is among the last ``window`` word tokens before a span.
+def runs_of(text: Column) -> Column:
+    """The text in runs of ``RUN`` code points: a position is found in its run, not from the start of the text."""
+    return F.when(F.length(text) <= RUN, F.array(text)).otherwise(
+        F.regexp_extract_all(text, F.lit(f"(?s).{{1,{RUN}}}"), F.lit(0))
+    )
+
+
+def stretch(runs: Column, start: Column, stop: Column) -> Column:
+    """Characters from ``start`` up to ``stop`` of a text cut by ``runs_of``; takes time for their number and a run."""
+    first, last = F.shiftright(start, RUN_BITS), F.shiftright(stop - 1, RUN_BITS)
+    offset = start - first * RUN + 1
+    inside = F.coalesce(F.substring(F.get(runs, first), offset, stop - start), F.lit(""))
+    across = F.concat(
+        F.substring(F.get(runs, first), offset, F.lit(RUN)),
+        F.array_join(F.slice(runs, first + 2, F.greatest(last - first - 1, F.lit(0))), ""),
+        F.substring(F.get(runs, last), F.lit(1), stop - last * RUN),
+    )
+    return F.when(first >= last, inside).otherwise(across)
+
 
-    Looks at a short stretch first and at the whole prefix only when that
-    stretch is too short to hold the window.
+def near_words(text: Column, matches: Column, words: Column, window: int) -> Column:
+    """Per match whether one of ``words`` is among the last ``window`` word tokens before it; matches in order.
+
+    A short stretch before the match settles most.  Where a stretch is too short to hold the window, the
+    tokens of the text are made once and walked along together with the matches.
     """
     token = r"(?U)\w+"
 
-    def tokens(of):
-        return F.regexp_extract_all(F.lower(of), F.lit(token), F.lit(0))
+    def settled(runs):
+        def one(m):
+            before = stretch(runs, F.greatest(m["start"] - NEAR, F.lit(0)), m["start"])
+            tokens = F.regexp_extract_all(F.lower(before), F.lit(token), F.lit(0))
+            return let(tokens, lambda found: F.when(
+                (m["start"] <= NEAR) | (F.size(found) > window),
+                F.arrays_overlap(F.slice(F.reverse(found), 1, window), words),
+            ))
 
-    def hit(found):
-        return F.arrays_overlap(F.slice(F.reverse(found), 1, window), words)
+        return F.transform(matches, one)
 
-    stretch = F.substring(text, F.greatest(start - NEAR + 1, F.lit(1)), F.least(start, F.lit(NEAR)))
-    return F.exists(
-        F.array(tokens(stretch)),
-        lambda found: F.when((start <= NEAR) | (F.size(found) > window), hit(found)).otherwise(
-            hit(tokens(F.substring(text, F.lit(1), start)))
-        ),
-    )
+    def walked():
+        # a match comes before a token that starts at the same place
+        items = F.sort_array(F.concat(
+            F.transform(matches, lambda m: F.struct(m["start"].alias("at"), F.lit(0).alias("kind"), F.lit("").alias("word"))),
+            F.transform(find_spans(text, token), lambda t: F.struct(
+                t["start"].alias("at"), F.lit(1).alias("kind"), t["value"].alias("word"),
+            )),
+        ))
+        kind = "array<struct<at:int,kind:int,word:string>>"
+
+        def step(last, x):
+            # the token that the match starts in counts as far as it goes
+            hit = F.exists(last, lambda t: F.array_contains(words, F.lower(F.substring(t["word"], F.lit(1), x["at"] - t["at"]))))
+            kept = F.when(F.size(last) < window, last).otherwise(F.slice(last, F.lit(2), F.lit(window)))
+            return F.when(x["kind"] == 0, F.struct(last.alias("state"), hit.alias("piece"))).otherwise(
+                F.struct(F.concat(kept, F.array(x)).alias("state"), F.lit(None).cast("boolean").alias("piece"))
+            )
+
+        return F.filter(walk_blocks(items, empty(kind), step, "boolean"), lambda hit: hit.isNotNull())
+
+    return let(let(runs_of(text), settled), lambda found: F.when(
+        F.exists(found, lambda hit: hit.isNull()), walked()
+    ).otherwise(found))
 
 
 def longest_number(text: Column) -> Column:
@@ -226,20 +270,23 @@ def rule_findings(text: Column, rules, boost: int = 35, window: int = 5) -> Colu
 
     def of_rule(hit):
         def findings(rule):
-            def finding(m):
-                pct = rule["pct"]
-                if boosted:
-                    pct = F.when(
-                        (pct < 100) & near_words(text, m["start"], rule["context"], window),
-                        F.least(pct + boost, F.lit(100)),
-                    ).otherwise(pct)
+            def finding(m, pct):
                 return F.struct(
                     m["start"].alias("start"), m["end"].alias("end"), pct.alias("pct"),
                     rule["entity"].alias("entity"), rule["label"].alias("label"),
                     rule["rule"].alias("rule"), m["line"].alias("line"), m["value"].alias("value"),
                 )
 
-            return F.transform(locate(hit["pieces"], rule["tail"]), finding)
+            def raised(matches):
+                near = F.when(
+                    (rule["pct"] < 100) & (F.size(rule["context"]) > 0), near_words(text, matches, rule["context"], window)
+                )
+                return let(near, lambda near: F.transform(matches, lambda m, i: finding(
+                    m, F.when(F.get(near, i), F.least(rule["pct"] + boost, F.lit(100))).otherwise(rule["pct"])
+                )))
+
+            matches = locate(hit["pieces"], rule["tail"])
+            return let(matches, raised) if boosted else F.transform(matches, lambda m: finding(m, rule["pct"]))
 
         return let(F.get(table, hit["no"]), findings)
 
@@ -258,17 +305,18 @@ def resolve_overlaps(findings: Column) -> Column:
 
 
 def _resolve(findings: Column) -> Column:
+    rank_type = f"struct<score:int,at:int,len:int,entity:string,rule:string,found:{FINDING}>"
     ranked = F.sort_array(F.transform(findings, lambda f: F.struct(
         f["start"].alias("start"), f["end"].alias("end"),
         F.struct(
             (-f["pct"]).alias("score"), f["start"].alias("at"),
             (f["start"] - f["end"]).alias("len"), f["entity"].alias("entity"),
             f["rule"].alias("rule"), f.alias("found"),
-        ).alias("rank"),
+        ).cast(rank_type).alias("rank"),
     )))
-    rank_type = (
-        "array<struct<score:int,at:int,len:int,entity:string,rule:string,"
-        f"found:{FINDING}>>"
+    # behind all texts: closes the last run
+    final = F.struct(
+        F.lit(2**31 - 1).alias("start"), F.lit(2**31 - 1).alias("end"), F.lit(None).cast(rank_type).alias("rank")
     )
 
     def keep(kept, candidate):
@@ -281,29 +329,22 @@ def _resolve(findings: Column) -> Column:
             F.aggregate(F.sort_array(run), empty(FINDINGS), keep)
         )
 
-    def step(acc, x):
-        full = F.size(acc["kept"]) >= BLOCK
+    def step(state, x):
         closed = F.struct(
-            x["end"].alias("reach"),
-            F.array(x["rank"]).alias("run"),
-            F.concat(F.when(full, empty(FINDINGS)).otherwise(acc["kept"]), best_of(acc["run"])).alias("kept"),
-            F.when(full, F.concat(acc["done"], F.array(acc["kept"]))).otherwise(acc["done"]).alias("done"),
+            F.struct(x["end"].alias("reach"), F.array(x["rank"]).alias("run")).alias("state"),
+            best_of(state["run"]).alias("piece"),
         )
         grown = F.struct(
-            F.greatest(acc["reach"], x["end"]).alias("reach"),
-            F.concat(acc["run"], F.array(x["rank"])).alias("run"),
-            acc["kept"].alias("kept"), acc["done"].alias("done"),
+            F.struct(
+                F.greatest(state["reach"], x["end"]).alias("reach"), F.concat(state["run"], F.array(x["rank"])).alias("run"),
+            ).alias("state"),
+            empty(FINDINGS).alias("piece"),
         )
-        return F.when(x["start"] >= acc["reach"], closed).otherwise(grown)
+        return F.when(x["start"] >= state["reach"], closed).otherwise(grown)
 
-    init = F.struct(
-        F.lit(-1).alias("reach"), empty(rank_type).alias("run"),
-        empty(FINDINGS).alias("kept"), empty(f"array<{FINDINGS}>").alias("done"),
-    )
-    kept = F.aggregate(
-        ranked, init, step,
-        lambda acc: F.concat(F.flatten(acc["done"]), acc["kept"], best_of(acc["run"])),
-    )
+    # the walk carries the open run alone; a state is copied at every step
+    init = F.struct(F.lit(-1).alias("reach"), empty(f"array<{rank_type}>").alias("run"))
+    kept = F.flatten(walk_blocks(F.concat(ranked, F.array(final)), init, step, FINDINGS))
     return F.when(F.size(findings) <= 1, findings).otherwise(F.sort_array(kept))
 
 
@@ -335,17 +376,15 @@ def walk_blocks(items: Column, state: Column, step, kind: str) -> Column:
 
 
 def splice(text: Column, findings: Column, marks: Column) -> Column:
-    """Replace each span by its mark; findings in reading order, marks alongside."""
-    def pieces(spans):
-        gaps = F.transform(spans, lambda f, i: F.substring(
-            text,
-            F.when(i == 0, F.lit(1)).otherwise(F.get(spans, i - 1)["end"] + 1),
-            f["start"] - F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"]),
+    """Replace each span by its mark; findings in reading order, marks alongside.
+
+    The text between the spans is taken out of its runs, so the time grows with the text and the spans.
+    """
+    def pieces(runs):
+        gaps = F.transform(findings, lambda f, i: stretch(
+            runs, F.when(i == 0, F.lit(0)).otherwise(F.get(findings, i - 1)["end"]), f["start"],
         ))
-        body = F.array_join(
-            F.zip_with(gaps, marks, lambda gap, mark: F.concat(gap, mark)), ""
-        )
-        last = F.element_at(spans, -1)["end"]
-        return F.concat(body, F.substring(text, last + 1, F.length(text)))
+        body = F.array_join(F.zip_with(gaps, marks, lambda gap, mark: F.concat(gap, mark)), "")
+        return F.concat(body, stretch(runs, F.element_at(findings, -1)["end"], F.length(text)))
 
-    return F.when(F.size(findings) == 0, text).otherwise(pieces(findings))
+    return F.when(F.size(findings) == 0, text).otherwise(let(runs_of(text), pieces))

@@ -4,30 +4,140 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.spans import empty, walk_blocks
 from ..functions.text import let
 from .joins import checkpointed, join_hot_keys
 
 # --- fixed value: the form of a placeholder
 TOKEN = r"\{\{([A-Za-z_][A-Za-z0-9_]*)_(\d+)\}\}"
 # ---
+FULL_TOKEN = rf"\A{TOKEN}\z"
 
 ENTRY = "struct<seq:int,placeholder:string,value:string>"
+ENTRY_LEFT = "struct<seq:int,placeholder:string,value:string,left:int>"
 
 
 def tokens_in(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))
 
 
-def restore_column(text: Column, entries: Column) -> Column:
-    """REST-1 in one row: literal replacement, entry by entry in vault order."""
+def _in_turn(text: Column, entries: Column) -> Column:
+    """Literal replacement, entry by entry in vault order: what ``restore_column`` means, at the price of a pass each."""
     return F.aggregate(
         F.sort_array(entries), text, lambda t, e: F.replace(t, e["placeholder"], e["value"])
     )
 
 
+def _looked_up(tokens: Column, entries: Column) -> Column:
+    """Per token its entry (seq, value, left), or nulls; tokens and entries are sorted and merged."""
+    kind = "struct<placeholder:string,what:int,seq:int,value:string,left:int>"
+    items = F.sort_array(F.concat(
+        F.transform(entries, lambda e: F.struct(e["placeholder"], F.lit(0), e["seq"], e["value"], e["left"]).cast(kind)),
+        F.transform(tokens, lambda t, i: F.struct(t, F.lit(1), i, F.lit(None), F.lit(None)).cast(kind)),
+    ))
+    hit = "struct<i:int,seq:int,value:string,left:int>"
+
+    def step(entry, x):
+        same = entry["placeholder"].eqNullSafe(x["placeholder"])  # of two entries for a placeholder the first counts
+        found = F.struct(x["seq"], *[F.when(same, entry[c]) for c in ("seq", "value", "left")]).cast(hit)
+        return F.when(x["what"] == 1, F.struct(entry.alias("state"), found.alias("piece"))).otherwise(F.struct(
+            F.when(same, entry).otherwise(x).alias("state"), F.lit(None).cast(hit).alias("piece")
+        ))
+
+    found = walk_blocks(items, F.lit(None).cast(kind), step, hit)
+    return F.sort_array(F.filter(found, lambda h: h.isNotNull()))
+
+
+def _with_left(entry: Column, value: Column, left: Column) -> Column:
+    return F.struct(
+        entry["seq"].alias("seq"), entry["placeholder"].alias("placeholder"), value.alias("value"), left.alias("left")
+    )
+
+
+def _expanded(entries: Column) -> Column:
+    """Entries with the placeholders inside their values replaced, and ``left``, how many stay there.
+
+    Entries are a graph from each to the later ones in its value; an earlier one stays as it is.  Only those with
+    placeholders inside, usually none, are walked, from the last to the first, so what an entry needs is
+    expanded already.
+    """
+    def holds(e):
+        return F.contains(e["value"], F.lit("{{"))
+
+    def bare(e):
+        return _with_left(e, e["value"], F.lit(0))
+
+    def walk(nested, plain):
+        wanted = F.array_distinct(F.flatten(F.transform(nested, lambda e: tokens_in(e["value"]))))
+
+        def known(hits):
+            return F.filter(F.zip_with(wanted, hits, lambda t, h: F.struct(
+                h["seq"].alias("seq"), t.alias("placeholder"), h["value"].alias("value"), h["left"].alias("left"),
+            )), lambda e: e["seq"].isNotNull())
+
+        def expand(done, e, others):
+            later = F.filter(F.concat(done, others), lambda d: (d["seq"] > e["seq"]) & F.contains(e["value"], d["placeholder"]))
+            return let(later, lambda inner: F.concat(done, F.array(_with_left(
+                e, _in_turn(e["value"], inner),
+                F.aggregate(inner, F.regexp_count(e["value"], F.lit(TOKEN)), lambda n, d: n + (d["left"] - 1) * (
+                    (F.length(e["value"]) - F.length(F.replace(e["value"], d["placeholder"], F.lit("")))) / F.length(d["placeholder"])
+                ).cast("int")),
+            ))))
+
+        return let(known(_looked_up(wanted, plain)), lambda others: F.aggregate(
+            F.sort_array(nested, asc=False), empty(f"array<{ENTRY_LEFT}>"), lambda done, e: expand(done, e, others)
+        ))
+
+    def split(nested):
+        plain = F.transform(F.filter(entries, lambda e: ~holds(e)), bare)
+        return F.when(F.size(nested) == 0, plain).otherwise(let(plain, lambda p: F.concat(p, walk(nested, p))))
+
+    return let(F.filter(entries, holds), split)
+
+
+def restore_column(text: Column, entries: Column) -> Column:
+    """REST-1 in one row: literal replacement, entry by entry in vault order.
+
+    The text is cut at its placeholders once, these are looked up by merging and the text is put together once,
+    which takes n log n.  Placeholders cannot overlap, so the order of entries matters only inside values:
+    those are expanded first.  Where a placeholder comes up between two pieces, two entries share one, or an
+    entry replaces something of another form, the entries are applied one by one instead.
+    """
+    def once(known):
+        gaps, tokens = F.split(text, TOKEN, -1), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+        parts = F.zip_with(tokens, _looked_up(tokens, known), lambda t, h: F.struct(
+            F.coalesce(h["value"], t).alias("text"), F.coalesce(h["left"], F.lit(1)).alias("left")
+        ))
+
+        def put_together(parts):
+            body = F.concat(F.get(gaps, F.lit(0)), F.array_join(F.zip_with(
+                parts, F.slice(gaps, F.lit(2), F.size(parts)), lambda part, gap: F.concat(part["text"], gap)
+            ), ""))
+            left = F.aggregate(parts, F.lit(0), lambda n, part: n + part["left"])
+            # more placeholders than are left: one has come up where two pieces meet
+            return let(body, lambda t: F.when(F.regexp_count(t, F.lit(TOKEN)) == left, t).otherwise(_in_turn(text, entries)))
+
+        return let(parts, put_together)
+
+    names = F.transform(entries, lambda e: e["placeholder"])
+    odd = F.exists(names, lambda n: ~n.rlike(FULL_TOKEN)) | (F.size(F.array_distinct(names)) < F.size(names))
+    return F.when(odd, _in_turn(text, entries)).when(~F.contains(text, F.lit("{{")), text).otherwise(
+        let(_expanded(entries), once)
+    )
+
+
 def restored_count(text: Column, entries: Column) -> Column:
     """REST-2: entries whose placeholder occurs in the text as it came."""
-    return F.size(F.filter(entries, lambda e: F.contains(text, e["placeholder"])))
+    def found(e):
+        return F.contains(text, e["placeholder"])
+
+    own = F.filter(entries, lambda e: e["placeholder"].rlike(FULL_TOKEN))
+    other = F.filter(entries, lambda e: ~e["placeholder"].rlike(FULL_TOKEN) & found(e))
+    hits = _looked_up(F.transform(own, lambda e: e["placeholder"]), F.transform(
+        tokens_in(text),
+        lambda t: F.struct(F.lit(0).alias("seq"), t.alias("placeholder"), F.lit("").alias("value"), F.lit(0).alias("left")),
+    ))
+    return F.size(F.filter(hits, lambda h: h["seq"].isNotNull())) + F.size(other)
 
 
 def as_entries(vault: Column) -> Column:
@@ -69,26 +179,18 @@ def _apply(texts: DataFrame, tokens: DataFrame, vault: DataFrame, key: str, text
         F.array().cast("array<string>").alias("_unseen"),
     )
 
-    def step(acc, e):
-        changed = F.replace(acc["t"], e["placeholder"], e["value"])
-        return F.when(F.contains(acc["t"], e["placeholder"]), let(changed, lambda t: F.struct(
-            t.alias("t"), F.array_union(acc["seen"], tokens_in(t)).alias("seen")
-        ))).otherwise(acc)
-
-    start = F.struct(F.col(text).alias("t"), F.array().cast("array<string>").alias("seen"))
-    run = F.when(F.col("_entries").isNull(), start).otherwise(
-        F.aggregate("_entries", start, step)
-    )
     replaced = (
-        joined.withColumn("_run", run)
-        .withColumn("restored", F.col("_run")["t"])
+        joined.withColumn("restored", F.when(F.col("_entries").isNull(), F.col(text)).otherwise(
+            restore_column(F.col(text), F.col("_entries").cast(f"array<{ENTRY}>"))
+        ))
         .withColumn("restored_count", F.when(F.col("_entries").isNull(), 0).otherwise(
-            restored_count(F.col(text), F.col("_entries"))
+            restored_count(F.col(text), F.col("_entries").cast(f"array<{ENTRY}>"))
         ))
+        # what is left and was not looked up came up on the way
         .withColumn("_unseen", F.array_except(
-            F.col("_run")["seen"], F.coalesce("_tokens", F.array().cast("array<string>"))
+            tokens_in(F.col("restored")), F.coalesce("_tokens", F.array().cast("array<string>"))
         ))
-        .drop("_run", "_entries", "_tokens")
+        .drop("_entries", "_tokens")
     )
     return replaced.unionByName(untouched)
 
@@ -96,10 +198,10 @@ def _apply(texts: DataFrame, tokens: DataFrame, vault: DataFrame, key: str, text
 def _nested(tokens: DataFrame, vault: DataFrame) -> DataFrame:
     """Placeholders inside the values of looked-up entries: usually none."""
     inside = vault.where(F.contains("value", F.lit("{{"))).select(
-        "session_id", "placeholder", F.explode(tokens_in(F.col("value"))).alias("_inner")
+        "session_id", "placeholder", tokens_in(F.col("value")).alias("_inner")
     )
-    return tokens.join(inside, ["session_id", "placeholder"]).select(
-        "_key", "session_id", F.col("_inner").alias("placeholder")
+    return join_hot_keys(tokens, inside, ["session_id", "placeholder"]).select(
+        "_key", "session_id", F.explode("_inner").alias("placeholder")
     )
 
 
@@ -150,8 +252,10 @@ def restore_nested(
 
 def unresolved(texts: DataFrame, vault: DataFrame, key: str, session: str, text: str = "text") -> DataFrame:
     """REST-3: placeholders in a text for which its session has no vault entry."""
-    return (
-        _text_tokens(texts, key, session, text)
-        .join(vault.select("session_id", "placeholder"), ["session_id", "placeholder"], "left_anti")
-        .select(F.col("_key").alias(key), "session_id", "placeholder")
+    tokens = checkpointed(_text_tokens(texts, key, session, text))
+    names = ["session_id", "placeholder"]
+    # each placeholder of a session is looked for once, however many texts hold it
+    missing = tokens.select(*names).distinct().join(vault.select(*names), names, "left_anti")
+    return join_hot_keys(tokens, missing.withColumn("_missing", F.lit(True)), names).select(
+        F.col("_key").alias(key), *names
     )
