@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.spans import find_spans
-from ..functions.text import as_map, strip
+from ..functions.spans import find_spans, runs_of, stretch
+from ..functions.text import as_map, let, strip
 from ..rules import CodeRule, ENTITY_LABELS, GAZETTEER_PCT, SpanRule
 from ..rules.model import FLAGS
+from .joins import checkpointed
 from .scan import SCORE, add_findings
 
 FINDING_ROWS = (
@@ -19,45 +20,11 @@ FINDING_ROWS = (
 )
 MAX_RULES = 500
 
-_WORD = r"\w[\w'’-]*+"
-# Words of a name may stand apart by anything on the line: blanks, dots, commas.
-_GAP = r"[^\w\r\n]++"
-
-
-def name_grams(text: Column, most: int, any_start: bool = False) -> Column:
-    """Sequences of up to ``most`` words that start with a capital (or with anything), as one array per text.
-
-    The words after the first are caught in a lookahead, so the next sequence may start inside them.
-    """
-    start = r"\w" if any_start else r"\p{Lu}"
-    pattern = FLAGS + rf"\b(?={start})({_WORD})(?=((?:{_GAP}{_WORD}){{0,{most - 1}}}))"
-
-    def grams(hit, follow):
-        tails = F.array(F.lit(""), *[
-            F.regexp_extract(follow, FLAGS + rf"\A(?:{_GAP}{_WORD}){{{n}}}", 0) for n in range(1, most)
-        ])
-
-        def gram(tail):
-            value = F.concat(hit["value"], tail)
-            return F.struct(
-                hit["start"].alias("start"), (hit["start"] + F.length(value)).alias("end"),
-                hit["line"].alias("line_number"), value.alias("value"),
-            )
-
-        # a tail is empty where fewer words follow
-        return F.transform(F.filter(tails, lambda tail, n: (n == 0) | (tail != "")), gram)
-
-    follows = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    return F.flatten(F.zip_with(find_spans(text, pattern), follows, grams))
-
-
-def name_candidates(df: DataFrame, key: str, text: str = "text", most: int = 3, any_start: bool = False) -> DataFrame:
-    """The sequences as rows: (key, start, end, line_number, value, name)."""
-    return (
-        df.select(key, F.explode_outer(name_grams(F.col(text), most, any_start)).alias("_c"))
-        .where(F.col("_c").isNotNull())
-        .select(key, "_c.*", normal_name(F.col("_c")["value"]).alias("name"))
-    )
+_WORD = r"\w+"
+# A word goes on over these, so a name does not end or start there.
+_JOINTS = "'’-"
+# Characters before a name that are looked at for the start of its word.
+_BEFORE = 256
 
 
 def normal_name(value):
@@ -65,7 +32,7 @@ def normal_name(value):
 
 
 def listed_names(gazetteer: DataFrame) -> DataFrame:
-    """(name, entity, small, words) of a table ``(name, entity)``: normal forms from first to last word character.
+    """(name, entity, small) of a table ``(name, entity)``: normal forms from first to last word character.
 
     ``small`` marks names such as ``van Gogh`` that hold a capital but do not start with one.
     """
@@ -74,27 +41,94 @@ def listed_names(gazetteer: DataFrame) -> DataFrame:
     return (
         gazetteer.select(normal_name(bare).alias("name"), "entity", small.alias("small")).where("name != ''")
         .groupBy("name", "entity").agg(F.max("small").alias("small"))
-        .withColumn("words", F.regexp_count("name", F.lit(FLAGS + _WORD)))
     )
 
 
+def word_index(gazetteer: DataFrame) -> DataFrame:
+    """(word, name, entity, small, at, words): each name under its rarest word, with its place and their number.
+
+    The rarest word is that of the fewest names, of equal ones the longest.
+    """
+    names = listed_names(gazetteer).withColumn("_all", F.regexp_extract_all("name", F.lit(FLAGS + _WORD), F.lit(0)))
+    each = names.select("name", "entity", F.explode(F.array_distinct("_all")).alias("word"))
+    known = each.groupBy("word").agg(F.count(F.lit(1)).alias("_names"))
+    rarity = F.struct("_names", (-F.length("word")).alias("_length"), "word")
+    rarest = each.join(known, "word").groupBy("name", "entity").agg(F.min(rarity)["word"].alias("word"))
+    return names.join(rarest, ["name", "entity"]).select(
+        "word", "name", "entity", "small", (F.array_position("_all", F.col("word")) - 1).cast("int").alias("at"),
+        F.size("_all").alias("words"),
+    )
+
+
+def word_places(text: Column, wanted: Column, most: int) -> Column:
+    """Where a text holds one of the ``wanted`` words, each with the words around it.
+
+    ``most - 1`` words on either side: a struct of the word, its number among them, their places, and the piece of
+    text that holds them from ``begin`` on.
+    """
+    def around(words, runs):
+        def place(i):
+            first, last = F.greatest(i - most + 1, F.lit(0)), F.least(i + most - 1, F.size(words) - 1)
+            begin = F.greatest(F.get(words, first)["start"] - _BEFORE, F.lit(0))
+            return F.struct(
+                F.lower(F.get(words, i)["value"]).alias("word"), (i - first).alias("no"), begin.alias("begin"),
+                F.transform(F.slice(words, first + 1, last - first + 1), lambda w: F.struct(
+                    w["start"].alias("start"), w["end"].alias("end"), w["line"].alias("line")
+                )).alias("near"),
+                stretch(runs, begin, F.get(words, last)["end"] + 1).alias("piece"),
+            )
+
+        hits = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(
+            wanted, F.lower(F.get(words, i)["value"])
+        ))
+        return F.transform(F.when(F.size(words) > 0, hits), place)
+
+    return let(find_spans(text, FLAGS + _WORD), lambda words: let(runs_of(text), lambda runs: around(words, runs)))
+
+
 def gazetteer_findings(
     df: DataFrame, gazetteer: DataFrame, key: str, text: str = "text",
 ) -> DataFrame:
     """PII-22 to PII-25 and JOIN-4: names of a table ``(name, entity)`` found in texts.
 
-    An equi-join on the normal form of the name, without a hint: a small table is broadcast by its
-    measured size, a large one shuffled.  The longest name of the table decides how many words are looked
-    at.  A name counts where it starts with a capital, one written like ``van Gogh`` anywhere.
+    Names are indexed by their rarest word.  The distinct words of the texts, single ones, meet the index in a
+    semi-join, which Spark broadcasts, filters by bloom filter or shuffles by measured size.  Only where a text holds
+    such a word its surroundings meet the names under it, and the rest of the name is compared in the row.
+    A name counts where it starts with a capital, one written like ``van Gogh`` anywhere.
     """
-    names = listed_names(gazetteer)
-    most, any_start = names.agg(F.max("words"), F.max("small")).first()
+    index = checkpointed(word_index(gazetteer))
+    most = index.agg(F.max("words")).first()[0] or 1
     labels = as_map(ENTITY_LABELS)
-    found = name_candidates(df, key, text, most or 1, bool(any_start)).join(names, "name")
-    return found.where(F.col("small") | F.col("value").rlike(FLAGS + r"\A\p{Lu}")).select(
-        key, "entity", F.coalesce(F.try_element_at(labels, F.col("entity")), "entity").alias("label"),
-        F.lit("GAZETTEER").alias("rule"), "start", "end",
-        F.lit(GAZETTEER_PCT / 100).cast(SCORE).alias("score"), "line_number", "value",
+    docs = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"))
+    own = F.transform(F.regexp_extract_all("_text", F.lit(FLAGS + _WORD), F.lit(0)), F.lower)
+    words = docs.select("_hash", F.explode(F.array_distinct(own)).alias("word"))
+    # copies of a text have their words once
+    held = words.join(index.select("word").distinct(), "word", "left_semi").groupBy("_hash").agg(
+        F.collect_set("word").alias("_wanted")
+    )
+    places = docs.join(held, "_hash").select(
+        "_key", F.explode(word_places(F.col("_text"), F.col("_wanted"), most)).alias("_p")
+    ).select("_key", "_p.*")
+    first = F.get("near", F.col("no") - F.col("at"))
+    last = F.get("near", F.col("no") - F.col("at") + F.col("words") - 1)
+    found = places.join(index, "word").select("*", first.alias("_first"), last.alias("_last")).where(
+        "_first IS NOT NULL AND _last IS NOT NULL"
+    )
+    start, end = F.col("_first.start") - F.col("begin"), F.col("_last.end") - F.col("begin")
+    named = found.select(
+        "*", F.substring("piece", start + 1, end - start).alias("value"), F.substring("piece", end + 1, F.lit(1)).alias("_after"),
+        # the part of its word that stands before the name
+        F.regexp_extract(F.substring("piece", F.lit(1), start), FLAGS + rf"(\w[\w{_JOINTS}]*)\z", 1).alias("_before"),
+    )
+    whole = ~F.col("_after").rlike(FLAGS + rf"[\w{_JOINTS}]") & ~F.col("_before").rlike(FLAGS + r"\A\p{Lu}")
+    capital = F.col("value").rlike(FLAGS + r"\A\p{Lu}")
+    inner = (F.col("_before") == "") | capital  # d'Artagnan holds Artagnan
+    return named.where(
+        (normal_name(F.col("value")) == F.col("name")) & ~F.col("value").rlike(r"[\r\n]") & whole & inner
+    ).where(F.col("small") | capital).select(
+        F.col("_key").alias(key), "entity", F.coalesce(F.try_element_at(labels, F.col("entity")), "entity").alias("label"),
+        F.lit("GAZETTEER").alias("rule"), F.col("_first.start").alias("start"), F.col("_last.end").alias("end"),
+        F.lit(GAZETTEER_PCT / 100).cast(SCORE).alias("score"), F.col("_first.line").alias("line_number"), "value",
     )
 
 
