@@ -13,8 +13,8 @@ TOKEN = r"\{\{([A-Za-z_][A-Za-z0-9_]*)_(\d+)\}\}"
 # ---
 FULL_TOKEN = rf"\A{TOKEN}\z"
 
-ENTRY = "struct<seq:int,placeholder:string,value:string>"
-ENTRY_LEFT = "struct<seq:int,placeholder:string,value:string,left:int>"
+ENTRY = "struct<seq:bigint,placeholder:string,value:string>"
+ENTRY_LEFT = "struct<seq:bigint,placeholder:string,value:string,left:int>"
 
 
 def tokens_in(text: Column) -> Column:
@@ -30,12 +30,12 @@ def _in_turn(text: Column, entries: Column) -> Column:
 
 def _looked_up(tokens: Column, entries: Column) -> Column:
     """Per token its entry (seq, value, left), or nulls; tokens and entries are sorted and merged."""
-    kind = "struct<placeholder:string,what:int,seq:int,value:string,left:int>"
+    kind = "struct<placeholder:string,what:int,seq:bigint,value:string,left:int>"
     items = F.sort_array(F.concat(
         F.transform(entries, lambda e: F.struct(e["placeholder"], F.lit(0), e["seq"], e["value"], e["left"]).cast(kind)),
         F.transform(tokens, lambda t, i: F.struct(t, F.lit(1), i, F.lit(None), F.lit(None)).cast(kind)),
     ))
-    hit = "struct<i:int,seq:int,value:string,left:int>"
+    hit = "struct<i:bigint,seq:bigint,value:string,left:int>"
 
     def step(entry, x):
         same = entry["placeholder"].eqNullSafe(x["placeholder"])  # of two entries for a placeholder the first counts
@@ -135,7 +135,7 @@ def restored_count(text: Column, entries: Column) -> Column:
     other = F.filter(entries, lambda e: ~e["placeholder"].rlike(FULL_TOKEN) & found(e))
     hits = _looked_up(F.transform(own, lambda e: e["placeholder"]), F.transform(
         tokens_in(text),
-        lambda t: F.struct(F.lit(0).alias("seq"), t.alias("placeholder"), F.lit("").alias("value"), F.lit(0).alias("left")),
+        lambda t: F.struct(F.lit(0).cast("long").alias("seq"), t.alias("placeholder"), F.lit("").alias("value"), F.lit(0).alias("left")),
     ))
     return F.size(F.filter(hits, lambda h: h["seq"].isNotNull())) + F.size(other)
 

@@ -1,7 +1,7 @@
 """Vaults that span several documents, up to one vault for a whole corpus.
 
 A session may hold any share of the data, so nothing is gathered per session:
-values are made distinct by a pre-aggregated group-by, numbered in chunks, and
+values are made distinct by a pre-aggregated group-by, numbered by ranges, and
 joined back per (session, label, value).
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.spans import splice, with_once
 from ..functions.text import is_blank, placeholder
-from .joins import checkpointed, join_hot_keys, number_rows
+from .joins import checkpointed, join_hot_keys, left_join_hot_keys, number_rows
 from .mask import BACKWARD, numbering
 
 VALUE_KEYS = ["session_id", "label", "value"]
@@ -44,20 +44,21 @@ def session_values(
 
 
 def build_vault(values: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """VLT-1 to VLT-3: number new values per label, after those of an existing vault.
+    """VLT-1 to VLT-3: number new values per label (64 bits), after those of an existing vault.
 
     Returns the new entries only; ``append_vault`` gives old and new together.
     """
     if existing is not None:
         values = values.join(existing.select(*VALUE_KEYS), VALUE_KEYS, "left_anti")
-    numbered = number_rows(values, ["session_id", "label"], "sequence", [F.col("pos")], "n")
-    numbered = number_rows(numbered, ["session_id"], "sequence", [F.col("pos")], "seq")
+    numbers = {"seq": ["session_id"], "n": ["session_id", "label"]}
+    numbered = number_rows(values, numbers, ["sequence", "pos"])
     if existing is not None:
         by_label = existing.groupBy("session_id", "label").agg(F.max("n").alias("_n0"))
         by_session = existing.groupBy("session_id").agg(F.max("seq").alias("_seq0"))
+        # a session may hold most of the new values
+        labelled = left_join_hot_keys(checkpointed(numbered), by_label, ["session_id", "label"])
         numbered = (
-            numbered.join(by_label, ["session_id", "label"], "left")
-            .join(by_session, "session_id", "left")
+            left_join_hot_keys(checkpointed(labelled), by_session, ["session_id"])
             .withColumn("n", F.col("n") + F.coalesce("_n0", F.lit(0)))
             .withColumn("seq", F.col("seq") + F.coalesce("_seq0", F.lit(0)))
         )

@@ -125,6 +125,70 @@ for _ext in ("txt", "md", "csv", "html", "json", "xml", "eml"):
 _file_kind("log", ".log file")
 
 
+_MAIL_HEAD = "'From: a' || doc_id || '@example.com' || chr(10) || 'Subject: s' || chr(10)"
+_MAIL_TEXT = f"{_MAIL_HEAD} || CASE WHEN text = '' THEN '' ELSE chr(10) || text END"
+
+
+def _mails(spark, sf, body: str, headers: str) -> DataFrame:
+    """Mails whose body is made of the whole text of a document."""
+    raw = f"{_MAIL_HEAD} || '{headers}' || chr(10) || chr(10) || {body}"
+    mails = corpora.documents(spark, sf).selectExpr("doc_id", f"{raw} AS raw")
+    return mails.select("doc_id", formats.mail_text(F.col("raw")).alias("text"))
+
+
+@query("src_mail_base64", f"SELECT doc_id, {_MAIL_TEXT} AS text FROM documents WHERE text IS NOT NULL")
+def src_mail_base64(spark, sf):
+    return _mails(
+        spark, sf, "base64(encode(text, 'UTF-8'))", "Content-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: BASE64"
+    ).where("text IS NOT NULL")
+
+
+_QUOTED = "replace(replace(url_encode(text), '+', ' '), '%', '=')"
+_QUOTED_LINES = f"regexp_replace({_QUOTED}, '((?:=[0-9A-F]{{2}}|[^=]){{70}})', '$1=\n')"
+
+
+@query("src_mail_quoted", f"SELECT doc_id, {_MAIL_TEXT} AS text FROM documents WHERE text IS NOT NULL")
+def src_mail_quoted(spark, sf):
+    return _mails(
+        spark, sf, _QUOTED_LINES, "Content-Type: text/plain\nContent-Transfer-Encoding: quoted-printable"
+    ).where("text IS NOT NULL")
+
+
+_NESTED = (
+    "'no part of it' || chr(10) || '--out' || chr(10) || 'Content-Type: application/octet-stream' || chr(10) || chr(10) || "
+    "'--in' || chr(10) || 'not open yet' || chr(10) || '--out' || chr(10) || "
+    "'Content-Type: multipart/alternative; boundary=\"in er\"' || chr(10) || chr(10) || '--in er' || chr(10) || "
+    "'Content-Type: text/html' || chr(10) || chr(10) || '<p>page</p>' || chr(10) || '--in er' || chr(10) || "
+    "'Content-Type: text/plain' || chr(10) || 'Content-Transfer-Encoding: base64' || chr(10) || chr(10) || "
+    "base64(encode('--out' || chr(10) || text, 'UTF-8')) || chr(10) || '--in er--' || chr(10) || 'epilogue' || chr(10) || "
+    "'--out' || chr(10) || chr(10) || 'second plain part' || chr(10) || '--out--' || chr(10)"
+)
+
+
+@query("src_mail_nested", f"SELECT doc_id, {_MAIL_HEAD} || chr(10) || '--out' || chr(10) || text AS text FROM documents WHERE text IS NOT NULL")
+def src_mail_nested(spark, sf):
+    return _mails(spark, sf, _NESTED, 'Content-Type: multipart/mixed;\n boundary="out"').where("text IS NOT NULL")
+
+
+_XML_ROW = "'<r k=\"' || CAST(c_custkey AS VARCHAR(20)) || '\"><n>' || c_name || '</n>"
+_XML_RAW = (
+    f"CASE c_custkey % 9 WHEN 0 THEN {_XML_ROW}</r>' WHEN 1 THEN {_XML_ROW}' WHEN 2 THEN {_XML_ROW}</s>' "
+    f"WHEN 3 THEN {_XML_ROW}</r><r/>' WHEN 4 THEN {_XML_ROW} a & b</r>' WHEN 5 THEN {_XML_ROW} 1 < 2</r>' "
+    f"WHEN 6 THEN {_XML_ROW}</r> after' WHEN 7 THEN {_XML_ROW}<q a=\"1\" a=\"2\"/></r>' ELSE c_name END"
+)
+
+
+@query("src_xml_errors", """
+    SELECT c_custkey AS doc_id, CASE c_custkey % 9 WHEN 1 THEN 'elements do not match' WHEN 2 THEN 'elements do not match'
+        WHEN 3 THEN 'more than one root' WHEN 4 THEN 'broken entity' WHEN 5 THEN 'broken tag' WHEN 6 THEN 'text outside the root'
+        WHEN 7 THEN 'repeated attribute' WHEN 8 THEN 'no element' END AS error,
+        CASE c_custkey % 9 WHEN 0 THEN '<r k="' || CAST(c_custkey AS VARCHAR(20)) || '">' || chr(10) || '  <n> ' || c_name END AS text
+    FROM customer""")
+def src_xml_errors(spark, sf):
+    files = corpora.table(spark, sf, "customer").selectExpr("c_custkey AS doc_id", "'xml' AS ext", f"{_XML_RAW} AS raw")
+    return readers.with_document_text(files).select("doc_id", "error", "text")
+
+
 @query("kind_labels", f"""
     SELECT doc_id, CASE ext WHEN 'py' THEN 'Python' WHEN 'js' THEN 'JavaScript' ELSE '.conf file' END AS kind
     FROM ({corpora.CODE_SQL})""")
@@ -231,10 +295,8 @@ def pipe_clip(spark, sf):
 
 
 @query("fp_filter", f"""
-    WITH corpus AS ({corpora.PEOPLE_SQL}), raw AS ({o.span_rows(ENABLED)}),
-    kept AS ({o.clean_rows('raw')})
-    SELECT {o.FINDING_SELECT} FROM raw
-    ANTI JOIN kept USING (doc_id, rule, start)""")
+    WITH corpus AS ({corpora.PEOPLE_SQL}), raw AS ({o.span_rows(ENABLED)})
+    SELECT {o.FINDING_SELECT} FROM raw WHERE {o.noise()}""")
 def fp_filter(spark, sf):
     """The findings that FLT-4 to FLT-9 drop."""
     found = scan.scan(corpora.people(spark, sf))
@@ -242,6 +304,31 @@ def fp_filter(spark, sf):
     return scan.explode_findings(found.withColumn("findings", dropped), ["doc_id"]).select(*FINDING_OUT)
 
 
+# A value for each filter and for what none of them drops.
+_NOISE_ENTITY = "CASE c_custkey % 10 WHEN 2 THEN 'LOCATION' WHEN 3 THEN 'NATIONAL_ID' WHEN 4 THEN 'IBAN' WHEN 5 THEN 'URL' " \
+    "WHEN 7 THEN 'LOCATION' WHEN 8 THEN 'NATIONAL_ID' ELSE 'PERSON' END"
+_NOISE_VALUE = (
+    f"CASE c_custkey % 10 WHEN 0 THEN upper({corpora.pick(corpora.FIRST, 'c_custkey')}) || ' ' || c_mktsegment WHEN 1 THEN ' Full Name ' "
+    f"WHEN 2 THEN {corpora.pick('Mobile,Dubai,Paris', 'c_custkey')} WHEN 3 THEN 'AB' || {corpora.digits('c_custkey', 6)} "
+    f"WHEN 4 THEN 'EMP' || {corpora.digits('c_custkey', 3)} WHEN 5 THEN c_name || '#' || c_mktsegment "
+    f"WHEN 8 THEN 'A' || {corpora.digits('c_custkey', 7)} WHEN 9 THEN 'AB' "
+    f"ELSE {corpora.pick(corpora.FIRST, 'c_custkey')} || ' ' || {corpora.pick(corpora.LAST, 'c_custkey')} END"
+)
+
+
+@query("fp_kinds", f"""
+    SELECT c_custkey AS doc_id, entity, value, {o.noise()} AS dropped
+    FROM (SELECT c_custkey, {_NOISE_ENTITY} AS entity, {_NOISE_VALUE} AS value FROM customer)""")
+def fp_kinds(spark, sf):
+    """FLT-4 to FLT-9 on a value for each of them."""
+    rows = corpora.table(spark, sf, "customer").selectExpr(
+        "c_custkey AS doc_id", f"{_NOISE_ENTITY} AS entity", f"{_NOISE_VALUE} AS value"
+    )
+    return rows.withColumn("dropped", filters.is_false_positive(
+        F.col("entity"), F.col("value"), filters.NAME_DENYLIST, filters.LOCATION_DENYLIST
+    ))
+
+
 @query("overlap_resolve", f"{PEOPLE_SETTLED} SELECT {o.FINDING_SELECT} FROM kept")
 def overlap_resolve(spark, sf):
     return scan.explode_findings(mask.find_pii(corpora.people(spark, sf)), ["doc_id"]).select(*FINDING_OUT)
@@ -295,7 +382,8 @@ def vault_roundtrip(spark, sf):
     """Sealed with AES-GCM and opened again."""
     secret = F.lit("a shared secret")
     sealed = vaults.seal_vault(mask.explode_vault(masked_people(spark, sf), "doc_id"), secret)
-    return vaults.open_vault(sealed, secret)
+    # numbers of a document's own vault have 32 bits
+    return vaults.open_vault(sealed, secret).withColumns({c: F.col(c).cast("int") for c in ("n", "seq")})
 
 
 @query("type_counts", f"""{PEOPLE_SETTLED}{o.numbered()}
@@ -337,6 +425,29 @@ def restore_count(spark, sf):
     return restore.restore(done, vault, "doc_id", "doc_id", "masked").select("doc_id", "restored_count")
 
 
+# Two long texts with a placeholder for each customer; every tenth value holds the placeholder of a later one.
+_LONG_VALUE = "lower(replace(c_name, '#', '')) || '@example.com'"
+
+
+@query("restore_long", f"""
+    WITH plain AS (SELECT c_custkey AS k, c_custkey % 2 AS doc_id, {_LONG_VALUE} AS value FROM customer),
+    parts AS (
+        SELECT a.k, a.doc_id, CASE WHEN a.k % 10 = 0
+            THEN 'see ' || coalesce(b.value, '{{{{EMAIL_' || (a.k + 2) || '}}}}') ELSE a.value END || ' wrote' AS part
+        FROM plain a LEFT JOIN plain b ON b.k = a.k + 2)
+    SELECT doc_id, string_agg(part, ' ' ORDER BY k) AS restored, count(*)::INTEGER AS restored_count FROM parts GROUP BY doc_id""")
+def restore_long(spark, sf):
+    mark = "concat('{{EMAIL_', c_custkey, '}}')"
+    rows = corpora.table(spark, sf, "customer").selectExpr(
+        "c_custkey % 2 AS session_id", "c_custkey AS seq", f"{mark} AS placeholder",
+        f"CASE WHEN c_custkey % 10 = 0 THEN concat('see {{{{EMAIL_', c_custkey + 2, '}}}}') ELSE {_LONG_VALUE} END AS value",
+    )
+    texts = rows.groupBy(F.col("session_id").alias("doc_id")).agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("seq", "placeholder"))), lambda p: F.concat(p["placeholder"], F.lit(" wrote"))
+    ), " ").alias("text"))
+    return restore.restore(texts, rows, "doc_id", "doc_id").select("doc_id", "restored", "restored_count")
+
+
 @query("unresolved", f"""{PEOPLE_SETTLED}{o.numbered()}
     SELECT doc_id, doc_id AS session_id, placeholder FROM named WHERE label = 'EMAIL'""")
 def unresolved(spark, sf):
@@ -358,8 +469,8 @@ def session_entries(session: str, sequence: str, rows: str = "kept k JOIN corpus
     sfirst AS (SELECT session_id, label, value, min((sequence, pos)) AS first_at FROM occ GROUP BY ALL),
     sentries AS (
       SELECT session_id, label, value,
-             row_number() OVER (PARTITION BY session_id, label ORDER BY first_at)::INTEGER AS n,
-             row_number() OVER (PARTITION BY session_id ORDER BY first_at)::INTEGER AS seq
+             row_number() OVER (PARTITION BY session_id, label ORDER BY first_at) AS n,
+             row_number() OVER (PARTITION BY session_id ORDER BY first_at) AS seq
       FROM sfirst),
     snamed AS (SELECT *, '{{{{' || label || '_' || n || '}}}}' AS placeholder FROM sentries)"""
 
@@ -411,6 +522,18 @@ def vault_corpus(spark, sf):
     return sessions.mask_sessions(docs, _found(), "doc_id", "session", "doc_id")[1]
 
 
+#: Sequence values far apart, as hashes are.
+SPARSE = "(doc_id * 7919 % 1000003) * 9000000000 - doc_id"
+
+
+@query("vault_sparse_sequence", f"""{DOCUMENTS_SETTLED}{session_entries("0", SPARSE.replace("doc_id", "k.doc_id"), "kept k")}
+    SELECT {SESSION_OUT} FROM snamed""")
+def vault_sparse_sequence(spark, sf):
+    """As ``vault_corpus``, with documents in an order of sparse numbers."""
+    docs = corpora.documents(spark, sf).select("doc_id", F.lit(0).alias("session"), F.expr(SPARSE).alias("at"), "text")
+    return sessions.mask_sessions(docs, _found(), "doc_id", "session", "at")[1]
+
+
 @query("vault_append", f"{CHAT_SETTLED}{CHAT_NAMED} SELECT {SESSION_OUT} FROM snamed")
 def vault_append(spark, sf):
     """First turns make a vault, later turns extend it: equal to one run over all turns."""

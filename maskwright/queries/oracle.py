@@ -120,13 +120,13 @@ def clipped_rows(source: str) -> str:
       FROM {source} WHERE NOT contains(value, '|') OR length({before}) > 1"""
 
 
-def clean_rows(source: str, names=NAME_DENYLIST, locations=LOCATION_DENYLIST) -> str:
+def noise(names=NAME_DENYLIST, locations=LOCATION_DENYLIST) -> str:
+    """Test of one finding (entity, value) for a false positive."""
     bare = strip("value")
     name_list = ", ".join(lit(n) for n in names)
     place_list = ", ".join(lit(n) for n in locations)
     ids = " OR ".join(f"regexp_matches({bare}, {lit(p)})" for p in STRUCTURAL_IDS)
-    return f"""
-      SELECT * FROM {source} WHERE NOT (
+    return f"""(
         regexp_matches(value, '[{SEPARATORS}]')
         OR (entity = 'PERSON' AND upper({bare}) = {bare} AND lower({bare}) <> {bare} AND length({bare}) > 2)
         OR (entity = 'PERSON' AND lower({bare}) IN ({name_list}))
@@ -134,6 +134,10 @@ def clean_rows(source: str, names=NAME_DENYLIST, locations=LOCATION_DENYLIST) ->
         OR {ids})"""
 
 
+def clean_rows(source: str, names=NAME_DENYLIST, locations=LOCATION_DENYLIST) -> str:
+    return f"SELECT * FROM {source} WHERE NOT {noise(names, locations)}"
+
+
 def with_settled(corpus_sql: str, rules, clean: bool = True, extra: str | None = None,
                  where: str = "", **span_options) -> str:
     """CTEs corpus, raw, clean, ranked, walk, kept; to be followed by a SELECT."""

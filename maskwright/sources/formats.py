@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..functions.spans import walk_blocks
+from ..functions.spans import mark_for, walk_blocks
 from ..functions.text import BLANK, let, strip
 from ..rules.model import FLAGS
 
@@ -162,6 +162,57 @@ def xml_outline(text: Column) -> Column:
     return F.array_join(walk_blocks(tags, F.lit(0), step, "string"), "\n")
 
 
+_XML_NAME = r"[A-Za-z_:À-\x{10FFFF}][\w:.\-·À-\x{10FFFF}]*"
+_XML_WHOLE_TAG = rf"""(?s)<(?:/{_XML_NAME}\s*|{_XML_NAME}(?:\s+{_XML_NAME}\s*=\s*(?:"[^"<]*"|'[^'<]*'))*\s*/?)>"""
+_XML_ENTITY = r"&(?:lt|gt|amp|quot|apos|#[0-9]+|#x[0-9A-Fa-f]+);"
+
+
+def xml_error(text: Column) -> Column:
+    """What is wrong with an XML text, NULL for a well-formed one.
+
+    Tags are walked with a stack of the elements that are open.  Names of entities that a DOCTYPE declares are
+    not known and count as errors.
+    """
+    body = F.regexp_replace(F.regexp_replace(text, r"(?s)<!--.*?-->|<\?.*?\?>|<!DOCTYPE[^>\[]*(?:\[[^\]]*\])?[^>]*>", ""), _CDATA, "x")
+    name = rf"\A</?({_XML_NAME})"
+
+    def walk(tags):
+        def step(open_, tag):
+            own = F.regexp_extract(tag, name, 1)
+            closing, alone = F.startswith(tag, F.lit("</")), F.endswith(tag, F.lit("/>"))
+            top = F.when(F.size(open_) > 0, F.element_at(open_, -1))
+            wrong = closing & ~top.eqNullSafe(own)
+            left = F.slice(open_, F.lit(1), F.greatest(F.size(open_) - 1, F.lit(0)))
+            return F.struct(
+                F.when(closing, left).when(alone, open_).otherwise(F.concat(open_, F.array(own))).alias("state"),
+                F.when(wrong, F.lit("wrong end tag"))
+                .when(~closing & (F.size(open_) == 0), F.lit("root"))
+                .when(closing & (F.size(open_) == 1), F.lit("end of root")).alias("piece"),
+            )
+
+        return walk_blocks(tags, F.array().cast(STRINGS), step, "string")
+
+    def verdict(tags):
+        alone = F.size(F.filter(tags, lambda t: F.endswith(t, F.lit("/>"))))
+        ends = F.size(F.filter(tags, lambda t: F.startswith(t, F.lit("</"))))
+        repeated = F.exists(tags, lambda t: let(
+            F.regexp_extract_all(t, F.lit(rf"\s({_XML_NAME})\s*="), F.lit(1)), lambda n: F.size(F.array_distinct(n)) < F.size(n)
+        ))
+        rest = F.regexp_replace(body, _XML_WHOLE_TAG, "")
+        around = F.concat(F.regexp_extract(body, r"(?s)\A([^<]*)", 1), F.regexp_extract(body, r"(?s)([^>]*)\z", 1))
+        return let(walk(tags), lambda found: (
+            F.when(F.size(tags) == 0, F.lit("no element"))
+            .when(F.contains(rest, F.lit("<")), F.lit("broken tag"))
+            .when(F.contains(F.regexp_replace(body, _XML_ENTITY, ""), F.lit("&")), F.lit("broken entity"))
+            .when(F.array_contains(found, "wrong end tag") | (ends * 2 + alone != F.size(tags)), F.lit("elements do not match"))
+            .when(F.size(F.filter(found, lambda x: x == "root")) != 1, F.lit("more than one root"))
+            .when(strip(around) != "", F.lit("text outside the root"))
+            .when(repeated, F.lit("repeated attribute"))
+        ))
+
+    return let(F.regexp_extract_all(body, F.lit(_XML_WHOLE_TAG), F.lit(0)), verdict)
+
+
 # ---- e-mail (SRC-7)
 
 # --- fixed values: headers shown, in this order
@@ -178,8 +229,32 @@ def _header(head: Column, name: str) -> Column:
     return F.regexp_extract(head, rf"(?im)^{name}:[ \t]*(.*?)[ \t]*\r?$", 1)
 
 
+def _boundary(head: Column) -> Column:
+    """Boundary of a multipart head, '' for any other."""
+    kind = _header(head, "Content-Type")
+    quoted = F.regexp_extract(kind, r'(?i)boundary\s*=\s*"([^"]+)"', 1)
+    bare = F.regexp_extract(kind, r'(?i)boundary\s*=\s*([^;\s"]+)', 1)
+    return F.when(F.lower(kind).startswith("multipart/"), F.when(quoted != "", quoted).otherwise(bare)).otherwise("")
+
+
+def _decoded(body: Column, head: Column) -> Column:
+    """The body without its transfer encoding, as UTF-8 whatever charset is declared; wrong bytes are replaced."""
+    encoding = F.lower(F.regexp_extract(_header(head, "Content-Transfer-Encoding"), r"[A-Za-z0-9-]+", 0))
+    # what is no letter of the alphabet is left out, so are letters behind the last whole group; missing padding is added
+    letters = F.regexp_replace(F.regexp_replace(body, r"(?s)=+\s*\z", ""), r"[^A-Za-z0-9+/]", "")
+    groups = F.substring(letters, F.lit(1), F.length(letters) - F.when(F.length(letters) % 4 == 1, 1).otherwise(0))
+    padded = F.concat(groups, F.repeat(F.lit("="), F.pmod(-F.length(groups), F.lit(4)).cast("int")))
+    from_base64 = F.make_valid_utf8(F.try_to_binary(padded, F.lit("base64")).cast("string"))
+    joined = F.regexp_replace(F.regexp_replace(body, r"[ \t]+(?=\r?\n)", ""), r"=\r?\n", "")
+    escaped = F.replace(F.replace(joined, F.lit("%"), F.lit("%25")), F.lit("+"), F.lit("%2B"))
+    from_quoted = F.try_url_decode(F.regexp_replace(escaped, r"=([0-9A-Fa-f]{2})", "%$1"))
+    return F.when(encoding == "base64", F.coalesce(from_base64, body)).when(
+        encoding == "quoted-printable", F.coalesce(from_quoted, body)
+    ).otherwise(body)
+
+
 def mail_text(raw: Column) -> Column:
-    """Chosen headers, a blank line, then the first plain part (else HTML without tags)."""
+    """Chosen headers, a blank line, then the first plain part (else HTML without tags), transfer encodings undone."""
     def message(head):
         shown = F.filter(
             F.array(*[
@@ -188,9 +263,9 @@ def mail_text(raw: Column) -> Column:
             ]),
             lambda h: h.isNotNull(),
         )
-        plain = F.regexp_extract(raw, _HEAD_BODY, 2)
+        plain = _decoded(F.regexp_extract(raw, _HEAD_BODY, 2), head)
         multipart = F.lower(_header(head, "Content-Type")).startswith("multipart/")
-        body = F.when(multipart, _part_text(raw)).otherwise(plain)
+        body = F.when(multipart, _part_text(raw, head)).otherwise(plain)
         return F.concat(
             F.array_join(F.concat(shown, F.array(F.lit(""))), "\n"),
             F.when(body.isNull() | ((body == "") & ~multipart), F.lit("")).otherwise(F.concat(F.lit("\n"), body)),
@@ -199,26 +274,58 @@ def mail_text(raw: Column) -> Column:
     return let(_head(raw), message)
 
 
-def _part_text(raw: Column) -> Column:
-    names = F.array_distinct(F.regexp_extract_all(raw, F.lit(r'(?i)boundary="?([^";\s]+)"?'), F.lit(1)))
-    either = F.array_join(F.transform(names, lambda b: F.concat(F.lit(r"\Q"), b, F.lit(r"\E"))), "|")
-    opener = F.concat(F.lit(r"(?:\A|\r?\n)--(?:"), either, F.lit(r")[ \t]*\r?\n"))
-    closer = F.concat(F.lit(r"(?s)\r?\n--(?:"), either, F.lit(r")--.*\z"))
-    cut = F.split(raw, opener, -1)
-    pieces = F.slice(cut, F.lit(2), F.greatest(F.size(cut), F.lit(0)))
+def _part_text(raw: Column, head: Column) -> Column:
+    """The text of a multipart message.
 
-    def parsed(piece):
-        whole = F.regexp_replace(piece, closer, F.lit(""))
-        # a part without headers starts with its blank line
-        bare = whole.rlike(r"\A\r?\n")
-        kind = F.when(bare, F.lit("")).otherwise(F.lower(_header(_head(whole), "Content-Type")))
-        body = F.when(bare, F.regexp_replace(whole, r"\A\r?\n", "")).otherwise(
-            F.regexp_extract(whole, _HEAD_BODY, 2)
-        )
-        return F.struct(
-            F.when(kind == "", F.lit("text/plain")).otherwise(kind).alias("kind"), body.alias("body")
+    Lines that begin with two hyphens are walked with a stack of the boundaries that are open: one that names
+    a boundary of the stack begins or ends a part, any other is text.  A part that is a multipart itself, or a
+    message that holds one, puts its boundary on the stack; so parts may be nested and a boundary that is not
+    open is never taken for one.
+    """
+    mark = mark_for(raw)
+    pieces = F.split(raw, r"(?<=\n)(?=--)", -1)
+
+    def head_of(part):
+        bare = part.rlike(r"\A\r?\n")  # a part without headers starts with its blank line
+        return F.when(bare, F.lit("")).otherwise(_head(part))
+
+    def body_of(part):
+        return F.when(part.rlike(r"\A\r?\n"), F.regexp_replace(part, r"\A\r?\n", "")).otherwise(
+            F.regexp_extract(part, _HEAD_BODY, 2)
         )
 
+    def unwrapped(part):
+        """The message inside a part that holds one."""
+        holds = F.lower(_header(head_of(part), "Content-Type")).startswith("message/rfc822")
+        return F.when(holds, body_of(part)).otherwise(part)
+
+    def step(stack, piece):
+        name = F.regexp_replace(F.regexp_extract(piece, r"\A--([^\r\n]*)", 1), r"[ \t]+\z", "")
+        part = F.regexp_replace(piece, r"\A--[^\r\n]*(?:\r?\n|\z)", "")
+        ends = F.regexp_extract(name, r"\A(.*)--\z", 1)
+        inner = let(unwrapped(part), lambda p: _boundary(head_of(p)))
+        opened = F.slice(stack, F.lit(1), F.greatest(F.array_position(stack, name).cast("int"), F.lit(0)))
+        closed = F.slice(stack, F.lit(1), F.greatest(F.array_position(stack, ends).cast("int") - 1, F.lit(0)))
+        begun = let(inner, lambda b: F.struct(
+            F.when(b != "", F.concat(opened, F.array(b))).otherwise(opened).alias("state"),
+            F.concat(mark, F.lit("+"), part).alias("piece"),
+        ))
+        return F.when(F.array_contains(stack, name), begun).when(
+            F.array_contains(stack, ends), F.struct(closed.alias("state"), F.concat(mark, F.lit("-")).alias("piece"))
+        ).otherwise(F.struct(stack.alias("state"), piece.alias("piece")))
+
+    def parsed(piece):
+        def one(part):
+            return let(head_of(part), lambda own: F.struct(
+                F.when(_header(own, "Content-Type") == "", F.lit("text/plain")).otherwise(
+                    F.lower(_header(own, "Content-Type"))
+                ).alias("kind"),
+                _decoded(body_of(part), own).alias("body"),
+            ))
+
+        # the line break before a boundary belongs to it
+        return let(unwrapped(F.regexp_replace(F.substr(piece, F.lit(2)), r"\r?\n\z", "")), one)
+
     def choose(parts):
         texts = F.filter(parts, lambda p: p["kind"].startswith("text/plain") & (p["body"] != ""))
         pages = F.filter(parts, lambda p: p["kind"].startswith("text/html"))
@@ -228,4 +335,7 @@ def _part_text(raw: Column) -> Column:
             F.when(html != "", F.regexp_replace(html, "<[^>]+>", " ")),
         )
 
-    return let(F.transform(pieces, parsed), choose)
+    top = F.filter(F.array(_boundary(head)), lambda b: b != "")
+    walked = walk_blocks(F.slice(pieces, F.lit(2), F.size(pieces)), top, step, "string")
+    begun = F.filter(F.split(F.array_join(walked, ""), mark, -1), lambda p: F.startswith(p, F.lit("+")))
+    return let(F.transform(begun, parsed), choose)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import extension, kind_label
 from ..rules import CODE_KINDS, DOCUMENT_KINDS
-from .formats import csv_line, csv_text, html_text, json_layout, json_valid, mail_text, universal_newlines, xml_outline
+from .formats import csv_line, csv_text, html_text, json_layout, json_valid, mail_text, universal_newlines, xml_error, xml_outline
 
 
 def read_files(spark: SparkSession, paths, recursive: bool = True) -> DataFrame:
@@ -36,7 +36,10 @@ def with_document_text(files: DataFrame, ext: str = "ext", raw: str = "raw") ->
     return (
         files.withColumn("kind", kind_label(e, DOCUMENT_KINDS))
         .withColumn("text", document_text(e, r))
-        .withColumn("error", F.when((e == "json") & ~json_valid(r), F.lit("invalid JSON")))
+        .withColumn("error", F.when((e == "json") & ~json_valid(r), F.lit("invalid JSON")).when(
+            e == "xml", xml_error(universal_newlines(r))
+        ))
+        .withColumn("text", F.when(F.col("error").isNull(), F.col("text")))
     )
 
 

@@ -23,7 +23,7 @@ def map_entries(vault: Column) -> Column:
     """VLT-5 back: (placeholder, label, n, value) in insertion order."""
     return F.transform(F.map_entries(vault), lambda e: F.struct(
         e["key"].alias("placeholder"), e["value"]["type"].alias("label"),
-        F.regexp_extract(e["key"], TOKEN, 2).cast("int").alias("n"),
+        F.regexp_extract(e["key"], TOKEN, 2).cast("long").alias("n"),
         e["value"]["value"].alias("value"),
     ))
 
@@ -55,6 +55,6 @@ def open_vault(sealed: DataFrame, secret: Column) -> DataFrame:
         .select(
             "session_id", e["placeholder"].alias("placeholder"), e["label"].alias("label"),
             e["n"].alias("n"), e["value"].alias("value"),
-            (F.col("piece") * SEALED_ENTRIES + F.col("_pos") + 1).cast("int").alias("seq"),
+            (F.col("piece").cast("long") * SEALED_ENTRIES + F.col("_pos") + 1).alias("seq"),
         )
     )

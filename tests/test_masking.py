@@ -162,7 +162,7 @@ def test_numbering_in_chunks_equals_row_number(spark):
     from maskwright.operators.joins import number_rows
 
     rows = spark.range(3000).selectExpr("id % 3 AS g", "id * 7 % 1000 AS seq", "id AS pos")
-    got = number_rows(rows, ["g"], "seq", [F.col("pos")], "n", chunk=17)
+    got = number_rows(rows, {"n": ["g"]}, ["seq", "pos"], parts=17)
     want = rows.withColumn("n", F.row_number().over(W.partitionBy("g").orderBy("seq", "pos")))
     assert sorted(map(tuple, got.select("g", "seq", "pos", "n").collect())) == sorted(map(tuple, want.collect()))
 
