@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from maskwright.llm.common import (
-    bits_for, hash_bits, in_bits, left_join_hot_keys, map_rows, mix, pa_schema, text_or_empty, written,
+    bits_for, hash_bits, in_bits, map_rows, mix, pa_schema, text_or_empty, written,
 )
 from maskwright.llm.substrings import Powers, smallest
-from maskwright.operators.joins import join_hot_keys
+from maskwright.operators.joins import join_hot_keys, left_join_hot_keys
 
 THRESHOLD = 400
 GRAM = 8

@@ -13,9 +13,9 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from maskwright.llm.common import left_join_hot_keys, map_rows, text_or_empty, written
+from maskwright.llm.common import map_rows, text_or_empty, written
 from maskwright.llm.components import components
-from maskwright.operators.joins import join_hot_keys
+from maskwright.operators.joins import join_hot_keys, left_join_hot_keys
 
 SEED = 42
 SHINGLE = 4

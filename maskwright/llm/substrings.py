@@ -21,8 +21,8 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from maskwright.llm.common import WORD, bits_for, hash_bits, hashes_of, in_bits, left_join_hot_keys, map_rows, mix, text_or_empty, words_of, written
-from maskwright.operators.joins import CHUNK, HOT_SHARE
+from maskwright.llm.common import WORD, bits_for, hash_bits, hashes_of, in_bits, map_rows, mix, text_or_empty, words_of, written
+from maskwright.operators.joins import CHUNK, HOT_SHARE, left_join_hot_keys
 
 THRESHOLD = 20
 GRAM = 6
