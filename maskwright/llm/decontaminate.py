@@ -3,8 +3,9 @@
 Two stretches of ``WINDOW`` words overlap if at most ``SUBSTITUTIONS`` words at equal places differ.  A mask
 names the places that a seed reads and ignores the others; the masks are chosen so that every overlap
 leaves at least one seed of one mask untouched, so none is missed.  Items shorter than the window must
-stand whole and unchanged, by a mask of their own length; items under ``LEAST`` words are no evidence and
-match nothing.
+stand whole: from ``ONE_FROM`` words on with one substitution at most, found by a mask of every second place,
+shorter ones unchanged, by a mask of their own length; items under ``LEAST`` words are no evidence and match
+nothing.  In scripts that are written without blanks every character is a word.
 """
 
 from __future__ import annotations
@@ -19,21 +20,37 @@ from maskwright.llm.common import hash_bits, hashes_of, in_bits, map_rows, mix,
 WINDOW = 13
 SUBSTITUTIONS = 2
 LEAST = 5
+ONE_FROM = 7
 #: Places read; any two substitutions in thirteen words leave one of them whole somewhere (see the tests).
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 2, 3, 6, 9, 10))
 # Words whose seeds are computed together: bounds the memory of a batch of long texts.
 WORDS_AT_ONCE = 1 << 18
 # Places of the bit sets over seeds and over documents: 2 MB each, whatever the input.
 BITS = 24
-_WORD = re.compile(r"[^\W_]+")
+# Thai to Khmer and Chinese to Japanese characters: scripts without blanks between words.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[{_UNSPACED}]|(?:(?![{_UNSPACED}])[^\W_])+")
 _FACTORS = np.random.default_rng(11).integers(1, 1 << 63, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased runs of letters and digits."""
+    """Lower-cased runs of letters and digits; single characters of scripts without blanks."""
     return _WORD.findall(text.lower())
 
 
+def masks_of(n: int) -> tuple[tuple[int, ...], ...]:
+    """Masks for an item of ``n`` words.
+
+    Of every second place there is one start of an even and one of an odd place; a single substitution leaves
+    one of them whole.
+    """
+    if n >= WINDOW:
+        return MASKS
+    if n >= ONE_FROM:
+        return (tuple(range(0, n // 2 * 2, 2)),)
+    return (tuple(range(n)),) if n >= LEAST else ()
+
+
 def seeds(h: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     """A hash for every start of the mask in a row of word hashes."""
     n = len(h) - mask[-1]
@@ -73,7 +90,8 @@ def overlaps(doc: list[str], item: list[str], diagonal: int) -> list[tuple[int,
     a, b = max(0, diagonal), min(len(doc), diagonal + len(item))
     differ = np.array([doc[p] != item[p - diagonal] for p in range(a, b)], np.int64)
     if len(item) < WINDOW:
-        return [(a, b, 0)] if b - a == len(item) >= LEAST and not differ.any() else []
+        allowed = 1 if len(item) >= ONE_FROM else 0
+        return [(a, b, int(differ.sum()))] if b - a == len(item) >= LEAST and differ.sum() <= allowed else []
     if b - a < WINDOW:
         return []
     total = np.concatenate([[0], np.cumsum(differ)])
@@ -104,8 +122,7 @@ def _verified(
         out = {"_item": [], "_h": [], "at": [], "span": []}
         for item, t in zip(columns["_item"], columns["_words"]):
             h = hashes_of(words_of(t))
-            masks = MASKS if len(h) >= WINDOW else [tuple(range(len(h)))] if len(h) >= LEAST else []
-            for mask in masks:
+            for mask in masks_of(len(h)):
                 got = seeds(h, mask)
                 out["_item"] += [item] * len(got)
                 out["_h"] += got.view(np.int64).tolist()
@@ -117,7 +134,7 @@ def _verified(
     bits = spark.sparkContext.broadcast(hash_bits(index, "_h", BITS))
     # at most nine lengths; a mask that no item was cut with can meet nothing
     spans = {r["span"] for r in index.select("span").distinct().collect()}
-    used = [m for n in sorted(spans) for m in (MASKS if n == WINDOW else [tuple(range(n))])]
+    used = sorted({m for n in spans for m in masks_of(n)})
 
     def hits(columns):
         table = np.frombuffer(bits.value, np.uint8)

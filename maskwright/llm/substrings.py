@@ -16,12 +16,14 @@ Words are compared by sums of 64-bit hashes: two per unit, 128 bits.
 from __future__ import annotations
 
 import hashlib
+import re
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from maskwright.llm.common import WORD, bits_for, hash_bits, hashes_of, in_bits, map_rows, mix, text_or_empty, words_of, written
+from maskwright.llm.common import SPACES, WORD, bits_for, hash_bits, in_bits, map_rows, mix, text_or_empty, words_of, written
 from maskwright.operators.joins import CHUNK, HOT_SHARE, left_join_hot_keys
 
 THRESHOLD = 20
@@ -48,18 +50,58 @@ class Powers:
                 setattr(self, name, np.cumprod(row, dtype=np.uint64))
 
 
+# Bytes of texts whose words are hashed at once; a longer text is cut between words.
+BYTES_AT_ONCE = 1 << 18
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE2))
+_BLANK = np.isin(np.arange(256), list(SPACES.encode()))
+_BLANK_BYTE = re.compile(rb"[\x20\x09-\x0D]")
+
+
 class Hasher:
-    """Hashes of word sequences out of prefix sums."""
+    """Hashes of words and of word sequences of many texts at once, out of prefix sums."""
 
     def __init__(self):
         self.powers = Powers(_BASE), Powers(_BASE2)
 
-    def sums(self, words: list[bytes], both: bool = True) -> list[np.ndarray]:
-        h = hashes_of(words)
+    def of_words(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(place, 64-bit hash) of every word: its bytes as a polynomial."""
+        data = np.frombuffer(raw, np.uint8)
+        edges = np.flatnonzero(np.diff(_BLANK[data], prepend=True, append=True))
+        start, end = edges[::2], edges[1::2]
+        p = self.powers[0]
+        p.to(len(data) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * p.up[: len(data)], dtype=np.uint64)])
+        value = (sums[end] - sums[start]) * p.down[start] + (end - start).astype(np.uint64) * np.uint64(_BASE2)
+        return start, mix(value)
+
+    def groups(self, texts: list[str]) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
+        """(first text, word hashes in parts, words of each text) of texts that are hashed together."""
+        held, first, size = [], 0, 0
+        for i, t in enumerate(texts):
+            held.append(t.encode())
+            size += len(held[-1])
+            if size >= BYTES_AT_ONCE or i + 1 == len(texts):
+                if len(held) == 1:
+                    parts = [self.of_words(p)[1] for p in _between_words(held[0])]
+                    yield first, parts, np.array([sum(map(len, parts))], np.int64)
+                else:
+                    # the last text may be long; it goes by itself
+                    long = len(held[-1]) >= BYTES_AT_ONCE
+                    short = held[:-1] if long else held
+                    place, h = self.of_words(b"\n".join(short))
+                    ends = np.cumsum([len(b) + 1 for b in short])
+                    yield first, [h], np.diff(np.searchsorted(place, ends), prepend=0)
+                    if long:
+                        parts = [self.of_words(p)[1] for p in _between_words(held[-1])]
+                        yield i, parts, np.array([sum(map(len, parts))], np.int64)
+                held, first, size = [], i + 1, 0
+
+    def sums(self, parts: list[np.ndarray], both: bool = True) -> list[np.ndarray]:
+        h = np.concatenate(parts)
         out = []
         for p in self.powers if both else self.powers[:1]:
-            p.to(len(words))
-            out.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * p.up[: len(words)], dtype=np.uint64)]))
+            p.to(len(h))
+            out.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * p.up[: len(h)], dtype=np.uint64)]))
             h = mix(h)
         return out
 
@@ -69,6 +111,15 @@ class Hasher:
         return mix(value + np.asarray(length).astype(np.uint64) * np.uint64(_BASE2))
 
 
+def _between_words(raw: bytes) -> list[bytes]:
+    """A long text in parts of about ``BYTES_AT_ONCE``, cut at white space."""
+    out, at = [], 0
+    while len(raw) - at > BYTES_AT_ONCE and (m := _BLANK_BYTE.search(raw, at + BYTES_AT_ONCE)):
+        out.append(raw[at : m.start()])
+        at = m.start()
+    return [*out, raw[at:]]
+
+
 # Low bits of a hash that make room for its place when hashes are compared.
 _PLACES = 24
 
@@ -95,17 +146,28 @@ def smallest(h: np.ndarray, width: int) -> np.ndarray:
     return mask - (low & np.uint64(mask)).astype(np.int64)
 
 
-def zones(hasher: Hasher, sums: list[np.ndarray], threshold: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first window, last window) of each anchor occurrence of a text."""
-    n = len(sums[0]) - 1
-    if n < threshold:
+def zones(
+    hasher: Hasher, sums: list[np.ndarray], sizes: np.ndarray, threshold: int, gram: int,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, anchor hash, first window, last window) of each anchor occurrence of texts that stand one behind the other.
+
+    Windows are counted from the first word of all; none spans two texts.
+    """
+    count = np.maximum(sizes - threshold + 1, 0)
+    total, n = int(count.sum()), len(sums[0]) - 1
+    if not total:
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none
+        return none, none.astype(np.uint64), none, none
     grams = hasher.ranges(sums, 0, np.arange(n - gram + 1), gram)
     at = smallest(grams, threshold - gram + 1)
-    first = np.flatnonzero(np.diff(at, prepend=-1))
-    last = np.append(first[1:], len(at)) - 1
-    return grams[at[first]], first, last
+    text = np.repeat(np.arange(len(count)), count)
+    window = np.arange(total) + (np.cumsum(sizes) - sizes - np.cumsum(count) + count)[text]
+    anchor = at[window]
+    new = np.ones(total, bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], total) - 1
+    return text[first], grams[anchor[first]], window[first], window[last]
 
 
 def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -128,9 +190,9 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
 
     def anchors(columns, hasher):
         got = []
-        for t in columns["_text"]:
-            sums = hasher.sums(words_of(t), both=False)
-            a, first, last = zones(hasher, sums, threshold, gram)
+        for _, parts, sizes in hasher.groups(columns["_text"]):
+            sums = hasher.sums(parts, both=False)
+            _, a, first, last = zones(hasher, sums, sizes, threshold, gram)
             got.append((a, hasher.ranges(sums, 0, first, last - first + threshold)))
         a, z = (np.concatenate([g[i] for g in got]) for i in (0, 1))
         return {"anchor": a.view(np.int64), "zone": z.view(np.int64)}
@@ -143,23 +205,32 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     alike = spark.sparkContext.broadcast(hash_bits(joined.where("not mixed"), "anchor", alike_bits))
     mixed = spark.sparkContext.broadcast(hash_bits(joined.where("mixed"), "anchor", mixed_bits))
 
-    def units(columns, hasher, chosen):
-        """Ranges of words that ``chosen`` takes from the zones of each text, with two hashes."""
+    def units(columns, hasher, chosen, of=None):
+        """Ranges of words that ``chosen`` takes from the zones of each text, with two hashes; of the texts ``of``, if given."""
+        of = np.arange(len(columns["_text"])) if of is None else of
+        keys, ties = [columns["_key"][i] for i in of], np.array(columns["_tie"], np.int64)[of]
         parts = []
-        for i, t in enumerate(columns["_text"]):
-            sums = hasher.sums(words_of(t))
-            start, n, extra = chosen(*zones(hasher, sums, threshold, gram), columns["_tie"][i])
-            parts.append((start, n, hasher.ranges(sums, 0, start, n), hasher.ranges(sums, 1, start, n), np.full(len(start), i), extra))
-        start, n, h1, h2, at, extra = (np.concatenate(c) for c in zip(*parts))
+        for begin, hashed, sizes in hasher.groups([columns["_text"][i] for i in of]):
+            sums = hasher.sums(hashed)
+            text, anchor, first, last = zones(hasher, sums, sizes, threshold, gram)
+            before = np.cumsum(sizes) - sizes
+            text, start, n, extra = chosen(text, anchor, first, last, before, ties[begin : begin + len(sizes)])
+            parts.append((
+                text + begin, start - before[text], n, hasher.ranges(sums, 0, start, n), hasher.ranges(sums, 1, start, n), extra
+            ))
+        none = np.zeros(0, np.int64)
+        at, start, n, h1, h2, extra = (np.concatenate(c) for c in zip(*parts)) if parts else (
+            none, none, none, none, none, none.astype(bool)
+        )
         return {
-            "_key": [columns["_key"][i] for i in at], "_tie": np.array(columns["_tie"], np.int64)[at],
+            "_key": [keys[i] for i in at], "_tie": ties[at],
             "start": start, "n": n, "h1": h1.view(np.int64), "h2": h2.view(np.int64), "mixed": extra,
         }
 
-    def whole_zones(anchor, first, last, tie):
+    def whole_zones(text, anchor, first, last, before, ties):
         many = in_bits(np.frombuffer(mixed.value, np.uint8), anchor, mixed_bits)
         keep = in_bits(np.frombuffer(alike.value, np.uint8), anchor, alike_bits) | many
-        return first[keep], (last - first)[keep] + threshold, many[keep]
+        return text[keep], first[keep], (last - first)[keep] + threshold, many[keep]
 
     schema = f"_key {docs.schema[key].dataType.simpleString()}, _tie bigint, start int, n int, h1 bigint, h2 bigint, mixed boolean"
     all_zones = written(map_rows(rows, lambda c, h: units(c, h, whole_zones), schema, setup=Hasher), "zones")
@@ -170,16 +241,25 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     opened_bits = bits_for(places.count())
     opened = spark.sparkContext.broadcast(hash_bits(places, "p", opened_bits))
 
-    def single_windows(anchor, first, last, tie):
+    holders = firsts.where("mixed").select(F.col("first._tie").alias("t")).distinct()
+    holder_bits = bits_for(holders.count())
+    holding = spark.sparkContext.broadcast(hash_bits(holders, "t", holder_bits))
+
+    def single_windows(text, anchor, first, last, before, ties):
         keep = np.flatnonzero(in_bits(np.frombuffer(mixed.value, np.uint8), anchor, mixed_bits))
-        at = first[keep].astype(np.uint64)
-        own = np.full(len(keep), tie, np.int64).view(np.uint64) ^ (at << np.uint64(_START_AT)) ^ at
+        at = (first - before[text])[keep].astype(np.uint64)
+        own = ties[text[keep]].view(np.uint64) ^ (at << np.uint64(_START_AT)) ^ at
         keep = keep[in_bits(np.frombuffer(opened.value, np.uint8), own, opened_bits)]
         count = (last - first + 1)[keep]
         windows = np.repeat(first[keep] - np.cumsum(count) + count, count) + np.arange(count.sum())
-        return windows, np.full(len(windows), threshold), np.ones(len(windows), bool)
+        return np.repeat(text[keep], count), windows, np.full(len(windows), threshold), np.ones(len(windows), bool)
+
+    def opened_windows(columns, hasher):
+        # a text none of whose zones is opened is not read any further
+        ties = np.array(columns["_tie"], np.int64).view(np.uint64)
+        return units(columns, hasher, single_windows, np.flatnonzero(in_bits(np.frombuffer(holding.value, np.uint8), ties, holder_bits)))
 
-    windows = written(map_rows(rows, lambda c, h: units(c, h, single_windows), schema, setup=Hasher), "windows")
+    windows = written(map_rows(rows, opened_windows, schema, setup=Hasher), "windows")
     found = _later(all_zones, firsts).union(_later(windows, written(_firsts(windows), "firsts")))
     # rows repeated with key and text give the same ranges: sets, made on the map side first
     return found.groupBy("_key", F.col("_tie").alias("_same")).agg(
