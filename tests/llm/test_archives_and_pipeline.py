@@ -145,5 +145,5 @@ def test_near_copies_stage_keeps_one_row_of_a_group(spark, corpus):
 
 def test_registered():
     names = entry.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in names
