@@ -25,10 +25,20 @@ def mask_stream(stream: DataFrame, text: str = "text", **options) -> DataFrame:
     return mask_documents(stream, text, **options)
 
 
-VAULT_SCHEMA = (
-    "session_id bigint, placeholder string, label string, n int, value string, seq int, generation int"
-)
-SEEN_SCHEMA = "session_id bigint, generation int, at timestamp"
+def vault_schema(session_type: str) -> str:
+    return (
+        f"session_id {session_type}, placeholder string, label string, n bigint, value string, seq bigint, generation int"
+    )
+
+
+def seen_schema(session_type: str) -> str:
+    return f"session_id {session_type}, generation int, at timestamp"
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder in whatever store it is; one that is not there is no error."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 @dataclass
@@ -43,6 +53,10 @@ class SessionVault:
     With ``ttl_seconds`` a session that was silent for longer starts over with an empty
     vault of the next generation; time is the largest value of ``event_time`` in the
     batch, so a repeated batch decides the same.
+
+    A snapshot leaves out sessions that have been silent for longer, and what is older than the snapshot before
+    it is deleted.  So the values of a silent session are gone from the folder at the second snapshot after it
+    has expired.  Sessions have the type ``session_type``: numbers, texts, whatever a table can group by.
     """
 
     folder: str
@@ -53,6 +67,7 @@ class SessionVault:
     event_time: str | None = None
     ttl_seconds: int | None = None
     compact_every: int = 50
+    session_type: str = "bigint"
 
     def __post_init__(self):
         if self.ttl_seconds is not None and not self.event_time:
@@ -76,12 +91,12 @@ class SessionVault:
         return base.unionByName(added).drop("batch")
 
     def _seen(self, spark: SparkSession, before: int) -> DataFrame:
-        return self._state(spark, "seen", SEEN_SCHEMA, before).groupBy("session_id").agg(
+        return self._state(spark, "seen", seen_schema(self.session_type), before).groupBy("session_id").agg(
             F.max("generation").alias("generation"), F.max("at").alias("at")
         )
 
     def _live(self, spark: SparkSession, sessions: DataFrame, before: int) -> DataFrame:
-        vault = self._state(spark, "vault", VAULT_SCHEMA, before)
+        vault = self._state(spark, "vault", vault_schema(self.session_type), before)
         return vault.join(sessions.select("session_id", "generation"), ["session_id", "generation"])
 
     def current_vault(self, spark: SparkSession, before: int = 2**31 - 1) -> DataFrame:
@@ -96,7 +111,7 @@ class SessionVault:
     def process(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
-        present = batch.select(F.col(self.session).cast("long").alias("session_id")).distinct()
+        present = batch.select(F.col(self.session).cast(self.session_type).alias("session_id")).distinct()
         now = F.lit(None).cast("timestamp")
         if self.event_time:
             now = F.lit(batch.agg(F.max(self.event_time)).first()[0]).cast("timestamp")
@@ -108,7 +123,7 @@ class SessionVault:
             "session_id", generation.cast("int").alias("generation"), now.alias("at")
         )
         # written first and read back: the generations are then fixed for this batch
-        sessions = spark.read.schema(SEEN_SCHEMA).parquet(self._write(sessions, "seen", batch_id))
+        sessions = spark.read.schema(seen_schema(self.session_type)).parquet(self._write(sessions, "seen", batch_id))
 
         known = self._live(spark, sessions, batch_id).select(*VAULT_COLUMNS)
         masked, vault = mask_sessions(
@@ -124,12 +139,35 @@ class SessionVault:
             self._compact(spark, batch_id)
         batch.unpersist()
 
+    def _snapshots(self, spark: SparkSession) -> list[int]:
+        rows = self._rows(spark, "snapshots", "complete boolean").select("batch").distinct().collect()  # two, as older ones are deleted
+        return sorted(r["batch"] for r in rows)
+
     def _compact(self, spark: SparkSession, batch_id: int) -> None:
-        """Rewrite the state up to this batch; the marker is written last."""
+        """Rewrite the live state up to this batch and delete what only older snapshots need; the marker is written last."""
         seen = self._seen(spark, batch_id + 1)
-        self._write(seen, "seen_snapshot", batch_id)
+        if self.ttl_seconds is not None:
+            now = F.lit(seen.agg(F.max("at")).first()[0]).cast("timestamp")
+            seen = seen.where(F.unix_timestamp(now) - F.unix_timestamp("at") <= self.ttl_seconds)
+        path = self._write(seen, "seen_snapshot", batch_id)
+        seen = spark.read.schema(seen_schema(self.session_type)).parquet(path)
         self._write(self._live(spark, seen, batch_id + 1), "vault_snapshot", batch_id)
+        before = [b for b in self._snapshots(spark) if b < batch_id]
         self._write(spark.range(1).select(F.lit(True).alias("complete")), "snapshots", batch_id)
+        if before:
+            self._delete_older(spark, before)
+
+    def _delete_older(self, spark: SparkSession, snapshots: list[int]) -> None:
+        """Delete batches up to the last of ``snapshots``, which a repeated batch may read, and the snapshots before it."""
+        last = snapshots[-1]
+        for name in ("vault", "seen"):
+            # at most two rounds of batches are there
+            held = self._rows(spark, name, "generation int").where(F.col("batch") <= last).select("batch").distinct().collect()
+            for r in held:
+                delete_folder(spark, f"{self.folder}/{name}/batch={r['batch']}")
+        for old in snapshots[:-1]:
+            for name in ("snapshots", "seen_snapshot", "vault_snapshot"):
+                delete_folder(spark, f"{self.folder}/{name}/batch={old}")
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger):
         writer = stream.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)

@@ -1,9 +1,13 @@
 """Masking, vaults and restoring."""
 
+import random
+import time
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from maskwright.functions import spans
 from maskwright.operators import filters, mask, recognizers, restore, scan, sessions
 from maskwright.sources import sinks, vaults
 
@@ -256,3 +260,80 @@ def test_name_after_label(texts):
         entities=["PERSON"],
     ), ["doc_id"]).collect()
     assert [r.value for r in rows] == ["Jane Roe", "Ann Lee Smith"]
+
+
+# ---------------------------------------------------------------- time in proportion to the text
+
+
+def seconds(df):
+    start = time.perf_counter()
+    df.collect()
+    return time.perf_counter() - start
+
+
+def grows(run, small, large):
+    """Time for ``large`` over time for ``small``, warm; the smaller of two runs each."""
+    run(small)
+    return min(run(large) for _ in range(2)) / min(run(small) for _ in range(2))
+
+
+@pytest.mark.parametrize("piece", ["mail user{0}@example.com now", "call +44 20 7{0:05d} {0:04d} now"])
+def test_masking_time_grows_with_the_findings(texts, piece):
+    def run(n):
+        df = texts(" ".join(piece.format(i) for i in range(n))).cache()
+        assert mask.mask_documents(df).select(F.size("findings")).first()[0] == n
+        return seconds(mask.mask_documents(df).select(F.length("masked")))
+
+    assert grows(run, 4_000, 16_000) < 4
+
+
+def test_restoring_time_grows_with_the_placeholders(spark):
+    def run(n):
+        entries = [(i + 1, f"{{{{EMAIL_{i}}}}}", f"user{i}@example.com") for i in range(n)]
+        text = " ".join(f"{{{{EMAIL_{i}}}}} wrote" for i in range(n))
+        df = spark.createDataFrame([(text, entries)], f"t string, e array<{restore.ENTRY}>").cache()
+        want = text
+        for _, name, value in entries if n <= 500 else ():
+            want = want.replace(name, value)
+        if n <= 500:
+            assert df.select(restore.restore_column(F.col("t"), F.col("e"))).first()[0] == want
+        return seconds(df.select(F.length(restore.restore_column(F.col("t"), F.col("e")))))
+
+    run(500)
+    assert grows(run, 2_000, 8_000) < 4
+
+
+def test_restoring_equals_replacing_in_turn(spark):
+    rng = random.Random(5)
+    names = ["{{A_1}}", "{{B_1}}", "{{A_2}}", "{{B_2}}", "{{C_1}}"]
+    rows = []
+    for _ in range(400):
+        entries = [
+            (i + 1, rng.choice(names), "".join(rng.choice(["x", *names, "{{A", "_1}}", "{{", "é"]) for _ in range(rng.randint(0, 4))))
+            for i in range(rng.randint(0, 6))
+        ]
+        text = "".join(rng.choice(["y", *names, "{{A", "_1}}", "é", " "]) for _ in range(rng.randint(0, 8)))
+        rows.append((text, entries))
+    df = spark.createDataFrame(rows, f"t string, e array<{restore.ENTRY}>")
+    got = df.select("t", "e", restore.restore_column(F.col("t"), F.col("e")).alias("done"), restore.restored_count(F.col("t"), F.col("e")).alias("n"))
+    for r in got.collect():
+        want = r.t
+        for e in r.e:
+            want = want.replace(e.placeholder, e.value)
+        assert r.done == want and r.n == sum(e.placeholder in r.t for e in r.e)
+
+
+def test_context_words_far_before(texts):
+    """Stretches without enough words are settled by walking the tokens; a match inside a word sees its part."""
+    gap = " " * 300
+    rows = scan.explode_findings(mask.find_pii(texts(
+        f"phone{gap}+44 20 7946 0958", f"phone a b c d e{gap}+44 20 7946 0958", f"PHONE{gap}b c d{gap}+44 20 7946 0958",
+    )), ["doc_id"]).collect()
+    assert {(r.doc_id, float(r.score)) for r in rows if r.label == "PHONE"} == {(0, 1.0), (1, 0.75), (2, 1.0)}
+
+
+def test_spans_over_runs_of_a_text(spark):
+    text = "".join(chr(97 + i % 26) if i % 50 else "é😀"[i // 50 % 2] for i in range(5_000))
+    df = spark.createDataFrame([(text,)], "t string").select("t", spans.runs_of(F.col("t")).alias("r"))
+    for a, b in [(0, 0), (0, 5_000), (1023, 1025), (1024, 2048), (2047, 2047), (4999, 5_000), (5_000, 5_000), (100, 4_900)]:
+        assert df.select(spans.stretch(F.col("r"), F.lit(a), F.lit(b))).first()[0] == text[a:b]

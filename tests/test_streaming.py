@@ -78,3 +78,23 @@ def test_restore_stream(spark, tmp_path):
     ).awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert {(r.id, r.restored) for r in rows} == {(1, "to a@x.example"), (2, "to {{EMAIL_1}}")}
+
+
+def test_values_of_expired_sessions_are_deleted(spark, tmp_path):
+    keeper = streams.SessionVault(
+        str(tmp_path / "v"), "session", "turn", "id", event_time="at", ttl_seconds=3600, compact_every=1, session_type="string",
+    )
+    start = dt.datetime(2024, 1, 1)
+    for batch, (session, text) in enumerate([("s-a", "a@x.example"), ("s-b", "b@x.example"), ("s-b", "c@x.example"), ("s-b", "d@x.example")]):
+        rows = [(batch, session, batch, text, start + dt.timedelta(hours=2 * min(batch, 1), minutes=batch))]
+        keeper.process(spark.createDataFrame(rows, "id bigint, session string, turn bigint, text string, at timestamp"), batch)
+    assert {(r.session_id, r.value) for r in keeper.current_vault(spark).collect()} == {
+        ("s-b", "b@x.example"), ("s-b", "c@x.example"), ("s-b", "d@x.example")}
+    held = spark.read.option("recursiveFileLookup", True).option("mergeSchema", True).parquet(
+        str(tmp_path / "v" / "vault"), str(tmp_path / "v" / "vault_snapshot"))
+    assert "a@x.example" not in {r.value for r in held.select("value").collect()}
+    keeper.process(spark.createDataFrame(
+        [(9, "s-a", 9, "z@x.example a@x.example", start + dt.timedelta(hours=3))], "id bigint, session string, turn bigint, text string, at timestamp"
+    ), 4)
+    assert {(r.value, r.n) for r in keeper.current_vault(spark).where("session_id = 's-a'").collect()} == {
+        ("a@x.example", 1), ("z@x.example", 2)}
