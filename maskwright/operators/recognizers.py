@@ -154,30 +154,42 @@ def user_recognizer(
     return df.select(key, text).mapInPandas(recognize, f"{key} {key_type}, {FINDING_ROWS}")
 
 
+def _configured(table: DataFrame, fields: list[str], optional: dict[str, str], most: int) -> list:
+    """Rows of a rule table; a column of ``optional`` that it lacks is null."""
+    known = [F.col(c) if c in table.columns else F.lit(None).cast(kind).alias(c) for c, kind in optional.items()]
+    rows = table.select(*fields, *known).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules")
+    return rows
+
+
 def rules_from_table(table: DataFrame, most: int = MAX_RULES) -> tuple[SpanRule, ...]:
     """UDF-1: rules kept in a table ``(entity, rule, regex, score, context)``.
 
-    A rule table is configuration: a table of more than ``most`` rules is refused, any
-    other becomes literal expressions, so that no text is copied once per rule.
+    Columns that it may have besides: ``label``, ``group`` (1: only the first group of the pattern is masked) and
+    ``tail`` (characters of the match behind that group).  A rule table is configuration: a table of more than
+    ``most`` rules is refused, any other becomes literal expressions, so that no text is copied once per rule.
     """
-    rows = table.select("entity", "rule", "regex", "score", "context").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rules")
+    optional = {"label": "string", "group": "int", "tail": "int"}
+    rows = _configured(table, ["entity", "rule", "regex", "score", "context"], optional, most)
     return tuple(
         SpanRule(
             r["entity"], r["rule"], r["regex"], int(round(float(r["score"]) * 100)),
-            label=ENTITY_LABELS.get(r["entity"], r["entity"]), context=tuple(r["context"] or ()),
+            label=r["label"] or ENTITY_LABELS.get(r["entity"], r["entity"]), context=tuple(r["context"] or ()),
+            group=r["group"] or 0, tail=r["tail"] or 0,
         )
         for r in sorted(rows, key=lambda r: (r["entity"], r["rule"]))
     )
 
 
 def code_rules_from_table(table: DataFrame, most: int = MAX_RULES) -> tuple[CodeRule, ...]:
-    """UDF-2: vulnerability rules kept in a table with the fields of ``CodeRule``, at most ``most``."""
+    """UDF-2: vulnerability rules kept in a table with the fields of ``CodeRule``, at most ``most``.
+
+    The column ``languages`` (extensions, or ``any``) may be missing or null: the rule holds for all files.
+    """
     fields = ["rule_id", "title", "description", "severity", "regex", "cwe", "advice"]
-    rows = table.select(*fields).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rules")
+    rows = _configured(table, fields, {"languages": "array<string>"}, most)
     return tuple(
-        CodeRule(*[r[f] for f in fields]) for r in sorted(rows, key=lambda r: r["rule_id"])
+        CodeRule(*[r[f] for f in fields], **({"languages": tuple(r["languages"])} if r["languages"] else {}))
+        for r in sorted(rows, key=lambda r: r["rule_id"])
     )

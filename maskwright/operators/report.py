@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.text import let, snippet, split_lines, strip, title_case
-from ..rules import BLOCKING, EXTERNAL_ADVICE, MINOR
-from .scan import SEC_COLUMNS, severity_rank
+from ..functions.spans import with_once
+from ..functions.text import constant, let, remembered, snippet, split_lines, strip, title_case
+from ..rules import BLOCKING, EXTERNAL_ADVICE, MINOR, VULNERABILITY_RULES
+from .mask import find_secrets
+from .scan import SEC_COLUMNS, severity_rank, vulnerability_column
 
 EXTERNAL_SCHEMA = (
     "results array<struct<test_id:string,test_name:string,issue_text:string,"
@@ -19,6 +21,11 @@ def type_counts(vault: DataFrame) -> DataFrame:
     return vault.groupBy("session_id", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def in_order(counts: DataFrame, key: str, by: str = "label", into: str = "place") -> DataFrame:
+    """SORT-3 as a column: place of each count of a document or session in the order of its label."""
+    return counts.withColumn(into, F.row_number().over(W.partitionBy(key).orderBy(by)))
+
+
 def vault_totals(vault: DataFrame) -> DataFrame:
     """AGG-4, VLT-4: entries and types per session."""
     return vault.groupBy("session_id").agg(
@@ -47,26 +54,38 @@ def blockers(findings: DataFrame, key: str) -> DataFrame:
     )
 
 
+def _status(has_blockers: Column, secrets: Column) -> Column:
+    return (
+        F.when(has_blockers & (secrets == 0), "unsafe_no_secrets").when(has_blockers, "masked_but_unsafe")
+        .when(secrets > 0, "safe_masked").otherwise("clean")
+    )
+
+
 def final_status(docs: DataFrame, findings: DataFrame, secrets: DataFrame, key: str) -> DataFrame:
-    """AGG-6: one of four outcomes per document; only keys and counts are shuffled."""
+    """AGG-6 from tables of findings: one of four outcomes per document; only keys and counts are shuffled."""
     masked = secrets.groupBy(key).agg(F.count(F.lit(1)).alias("secrets"))
-    blocked = F.coalesce("has_blockers", F.lit(False))
-    has_secrets = F.col("secrets") > 0
     return (
         docs.select(key)
         .join(blockers(findings, key), key, "left")
         .join(masked, key, "left")
-        .select(key, blocked.alias("has_blockers"), F.coalesce("secrets", F.lit(0)).alias("secrets"))
-        .withColumn(
-            "status",
-            F.when(F.col("has_blockers") & ~has_secrets, "unsafe_no_secrets")
-            .when(F.col("has_blockers"), "masked_but_unsafe")
-            .when(has_secrets, "safe_masked")
-            .otherwise("clean"),
+        .select(
+            key, F.coalesce("has_blockers", F.lit(False)).alias("has_blockers"),
+            F.coalesce("secrets", F.lit(0)).alias("secrets"),
         )
+        .withColumn("status", _status(F.col("has_blockers"), F.col("secrets")))
     )
 
 
+def status_of_texts(df: DataFrame, key: str, text: str = "text", rules=VULNERABILITY_RULES) -> DataFrame:
+    """AGG-6 in the row: each text is scanned once for both kinds of findings, and nothing is shuffled."""
+    blocking = constant([r.severity in BLOCKING for r in rules], "array<boolean>")
+    found = with_once(find_secrets(df.select(key, text), text), "_v", remembered(vulnerability_column, text, rules=rules))
+    return found.select(
+        key, F.exists("_v", lambda v: F.get(blocking, v["rule_no"])).alias("has_blockers"),
+        F.size("findings").cast("long").alias("secrets"),
+    ).withColumn("status", _status(F.col("has_blockers"), F.col("secrets")))
+
+
 def external_findings(reports: DataFrame, key: str, results: str = "results") -> DataFrame:
     """VUL-21: findings of an outside code scanner, from its parsed JSON reports."""
     r = F.col("_r")

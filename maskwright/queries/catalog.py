@@ -392,6 +392,13 @@ def type_counts(spark, sf):
     return report.type_counts(mask.explode_vault(masked_people(spark, sf), "doc_id"))
 
 
+@query("type_counts_sorted", f"""{PEOPLE_SETTLED}{o.numbered()}
+    SELECT doc_id AS session_id, label, count(*) AS n,
+           row_number() OVER (PARTITION BY doc_id ORDER BY label)::INTEGER AS place FROM named GROUP BY doc_id, label""")
+def type_counts_sorted(spark, sf):
+    return report.in_order(report.type_counts(mask.explode_vault(masked_people(spark, sf), "doc_id")), "session_id")
+
+
 @query("vault_totals", f"""{DOCUMENTS_SETTLED}{o.numbered()}
     SELECT doc_id AS session_id, count(*) AS items, count(DISTINCT label) AS types FROM named GROUP BY ALL""")
 def vault_totals(spark, sf):
@@ -603,6 +610,26 @@ def gazetteer_location(spark, sf):
     ).select(*FINDING_OUT)
 
 
+SEGMENT_NAMES_SQL = "SELECT DISTINCT c_mktsegment AS name FROM customer"
+
+
+def _segments(spark, sf, entity: str) -> DataFrame:
+    return corpora.table(spark, sf, "customer").selectExpr("c_mktsegment AS name", f"'{entity}' AS entity").distinct()
+
+
+def _segment_query(name: str, entity: str) -> None:
+    @query(name, f"""
+        WITH corpus AS (SELECT c_custkey AS doc_id, c_name || ' of ' || c_mktsegment || ', ' || lower(c_mktsegment) AS text FROM customer)
+        SELECT {o.FINDING_SELECT} FROM ({_gazetteer_sql(SEGMENT_NAMES_SQL, entity).replace("(?i)", "")})""")
+    def build(spark, sf):
+        texts = corpora.table(spark, sf, "customer").selectExpr(
+            "c_custkey AS doc_id", "c_name || ' of ' || c_mktsegment || ', ' || lower(c_mktsegment) AS text"
+        )
+        return recognizers.gazetteer_findings(texts, _segments(spark, sf, entity), "doc_id").select(*FINDING_OUT)
+
+
+_segment_query("gazetteer_organization", "ORGANIZATION")
+_segment_query("gazetteer_nrp", "NRP")
 GAZETTEER_COLUMNS = "doc_id, entity, label, rule, start, stop, pct, value, text"
 _BOTH_GAZETTEERS = (
     f"SELECT {GAZETTEER_COLUMNS} FROM ({_gazetteer_sql(PEOPLE_NAMES_SQL, 'PERSON')}) UNION ALL "
@@ -676,6 +703,23 @@ def user_rules(spark, sf):
     return scan.explode_findings(found, ["doc_id"]).select(*FINDING_OUT)
 
 
+GROUPED_RULES = (
+    SpanRule("EMPLOYEE", "EMPLOYEE_DIGITS", r"\bEMP(\d+)\b", 70, group=1),
+    SpanRule("REFERENCE", "REFERENCE_HEAD", r"\bREF(\d{2})\d", 55, label="REF", group=1, tail=1),
+)
+
+
+@query("user_rules_grouped", o.scan_sql(corpora.PEOPLE_SQL, GROUPED_RULES))
+def user_rules_grouped(spark, sf):
+    """Rules of a table that mask a group of their match only."""
+    table = spark.createDataFrame(
+        [(r.entity, r.rule, r.regex, r.pct / 100, [], r.label, r.group, r.tail) for r in GROUPED_RULES],
+        "entity string, rule string, regex string, score double, context array<string>, label string, group int, tail int",
+    )
+    found = scan.scan(corpora.people(spark, sf), rules=recognizers.rules_from_table(table))
+    return scan.explode_findings(found, ["doc_id"]).select(*FINDING_OUT)
+
+
 def shouted_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A small user recognizer: the word VIN."""
     for batch in batches:
@@ -754,6 +798,13 @@ def secret_counts(spark, sf):
     return report.secret_counts(rows, "doc_id")
 
 
+@query("secret_counts_sorted", f"""{CODE_SETTLED} SELECT doc_id, label, count(*) AS n,
+    row_number() OVER (PARTITION BY doc_id ORDER BY label)::INTEGER AS place FROM kept GROUP BY doc_id, label""")
+def secret_counts_sorted(spark, sf):
+    rows = scan.explode_findings(mask.find_secrets(corpora.code(spark, sf)), ["doc_id"])
+    return report.in_order(report.secret_counts(rows, "doc_id"), "doc_id")
+
+
 @query("snippets", f"""{CODE_SETTLED}
     SELECT doc_id, label, line_number, start, greatest(line_number - 2, 1)::INTEGER AS first_line,
            array_to_string(string_split(regexp_replace(text, '\\n$', ''), chr(10))[greatest(line_number - 2, 1):line_number + 2], chr(10)) AS snippet
@@ -896,7 +947,7 @@ def riskiest(spark, sf):
     return report.riskiest(report.severity_counts(merged_findings(spark, sf), "doc_id"), "doc_id", 25)
 
 
-@query("final_status", f"""
+FINAL_STATUS = f"""
     {o.with_settled(corpora.CODE_SQL, SECRET_RULES, clean=False, boost=0)},
     custom AS ({o.vulnerability_rows()}),
     b AS (SELECT doc_id, bool_or(severity IN ('CRITICAL', 'HIGH')) AS blocked FROM custom GROUP BY doc_id),
@@ -905,8 +956,17 @@ def riskiest(spark, sf):
            CASE WHEN coalesce(blocked, false) AND coalesce(secrets, 0) = 0 THEN 'unsafe_no_secrets'
                 WHEN coalesce(blocked, false) THEN 'masked_but_unsafe'
                 WHEN coalesce(secrets, 0) > 0 THEN 'safe_masked' ELSE 'clean' END AS status
-    FROM corpus c LEFT JOIN b ON b.doc_id = c.doc_id LEFT JOIN s ON s.doc_id = c.doc_id""")
+    FROM corpus c LEFT JOIN b ON b.doc_id = c.doc_id LEFT JOIN s ON s.doc_id = c.doc_id"""
+
+
+@query("final_status", FINAL_STATUS)
 def final_status(spark, sf):
+    return report.status_of_texts(corpora.code(spark, sf), "doc_id")
+
+
+@query("final_status_joined", FINAL_STATUS)
+def final_status_joined(spark, sf):
+    """The same from tables of findings."""
     code = corpora.code(spark, sf)
     secrets = scan.explode_findings(mask.find_secrets(code), ["doc_id"])
     return report.final_status(code, scan.scan_vulnerabilities(code, "doc_id"), secrets, "doc_id")
@@ -931,6 +991,29 @@ def user_code_rules(spark, sf):
     )
 
 
+LANGUAGE_RULES = (
+    CodeRule("USER-2", "Import", "An import.", "LOW", r"^import\b.*$", "", "None.", ("py",)),
+    CodeRule("USER-3", "Return", "A return statement.", "INFO", r"^\s*return\b", "", "None.", ("js", "conf")),
+)
+
+
+@query("user_code_languages", f"""
+    WITH corpus AS ({corpora.CODE_SQL})
+    SELECT {SEC_OUT} FROM ({o.vulnerability_rows(LANGUAGE_RULES)}) JOIN (SELECT doc_id, ext FROM corpus) USING (doc_id)
+    WHERE CASE rule_id WHEN 'USER-2' THEN ext = 'py' ELSE ext IN ('js', 'conf') END""")
+def user_code_languages(spark, sf):
+    """Rules of a table that hold for some kinds of files."""
+    table = spark.createDataFrame(
+        [(r.rule_id, r.title, r.description, r.severity, r.regex, r.cwe, r.advice, list(r.languages)) for r in LANGUAGE_RULES],
+        "rule_id string, title string, description string, severity string, regex string, cwe string, advice string, "
+        "languages array<string>",
+    )
+    rules = recognizers.code_rules_from_table(table)
+    return scan.scan_vulnerabilities(corpora.code(spark, sf), "doc_id", ext="ext", rules=rules).select(
+        "doc_id", "rule_id", "title", "severity", "line_number", "line_text"
+    )
+
+
 # ---------------------------------------------------------------- corpus reports
 
 
