@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from maskwright.llm.common import map_rows, text_or_empty
 
 # Pieces in a generation of a worker's table; it keeps two.  Bounds its memory, not the result.
-PIECES_KEPT = 600_000
+PIECES_KEPT = 250_000
 # White space as the tokenizers know it: without the four separators that Python adds.
 _PIECE = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 # Without U+0130: in lower case it ends with a combining dot, which joins the mark behind it.
