@@ -19,7 +19,7 @@ from ..rules import (
     CODE_KINDS, DOCUMENT_KINDS, ENTITY_LABELS, PII_RULES, SECRET_RULES, VULNERABILITY_RULES, CodeRule,
     SpanRule, select_rules,
 )
-from ..sources import formats, readers, vaults
+from ..sources import formats, readers, sinks, vaults
 from ..streaming import streams
 from . import oracle as o
 
@@ -125,6 +125,23 @@ for _ext in ("txt", "md", "csv", "html", "json", "xml", "eml"):
 _file_kind("log", ".log file")
 
 
+_JSON_ODD = (
+    "'{\"a\": NaN, \"k\": ' || c_custkey || ', \"a\": {\"x\": 1, \"y\": [Infinity, {\"q\": 1, \"q\": 2}], \"x\": \"' || c_name || "
+    "'\"}, \"k\": -Infinity, \"z\": ' || CASE WHEN c_custkey % 5 = 0 THEN 'oops' ELSE '{\"x\": []}' END || '}'"
+)
+
+
+@query("src_json_odd", """
+    SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 5 = 0 THEN 'invalid JSON' END AS error,
+        CASE WHEN c_custkey % 5 != 0 THEN replace(replace(
+            '{|  "a": {|    "x": "@",|    "y": [|      Infinity,|      {|        "q": 2|      }|    ]|  },|  "k": -Infinity,|  "z": {|    "x": []|  }|}',
+            '|', chr(10)), '@', c_name) END AS text
+    FROM customer""")
+def src_json_odd(spark, sf):
+    files = corpora.table(spark, sf, "customer").selectExpr("c_custkey AS doc_id", "'json' AS ext", f"{_JSON_ODD} AS raw")
+    return readers.with_document_text(files).select("doc_id", "error", "text")
+
+
 _MAIL_HEAD = "'From: a' || doc_id || '@example.com' || chr(10) || 'Subject: s' || chr(10)"
 _MAIL_TEXT = f"{_MAIL_HEAD} || CASE WHEN text = '' THEN '' ELSE chr(10) || text END"
 
@@ -386,6 +403,37 @@ def vault_roundtrip(spark, sf):
     return vaults.open_vault(sealed, secret).withColumns({c: F.col(c).cast("int") for c in ("n", "seq")})
 
 
+def _written_and_read(spark, write, df, *more) -> DataFrame:
+    folder = scratch(spark)
+    write(df, folder, *more)
+    return spark.read.parquet(folder)
+
+
+@query("sink_masked", f"{CODE_SETTLED}{o.numbered('forward')}{o.masked()} SELECT m.doc_id, ext, masked FROM masked m JOIN corpus USING (doc_id)")
+def sink_masked(spark, sf):
+    """SNK-1: masked files, a folder for each extension."""
+    done = mask.mask_code(corpora.code(spark, sf)).select("doc_id", "ext", "masked")
+    return _written_and_read(spark, sinks.write_masked, done, ["doc_id", "ext"])
+
+
+@query("sink_restored", """
+    SELECT doc_id, CASE WHEN regexp_matches(text, '\\S') THEN text ELSE '' END AS restored FROM documents""")
+def sink_restored(spark, sf):
+    """SNK-3 behind an encrypted vault (SNK-2): what is read back was masked, sealed, opened and restored."""
+    done, vault = written(masked_documents(spark, sf))
+    secret = F.lit("a shared secret")
+    opened = vaults.open_vault(_written_and_read(spark, sinks.write_vault, vault, secret), secret)
+    back = restore.restore(done, opened, "doc_id", "doc_id", "masked")
+    return _written_and_read(spark, sinks.write_restored, back, ["doc_id"])
+
+
+@query("sink_findings", f"{CODE_SETTLED} SELECT {o.FINDING_SELECT} FROM kept")
+def sink_findings(spark, sf):
+    """SNK-4."""
+    rows = scan.explode_findings(mask.find_secrets(corpora.code(spark, sf)), ["doc_id"]).select(*FINDING_OUT)
+    return _written_and_read(spark, sinks.write_findings, rows)
+
+
 @query("type_counts", f"""{PEOPLE_SETTLED}{o.numbered()}
     SELECT doc_id AS session_id, label, count(*) AS n FROM named GROUP BY ALL""")
 def type_counts(spark, sf):

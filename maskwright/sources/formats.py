@@ -69,8 +69,107 @@ _JSON_STRING = r'"(?:[^"\\]|\\.)*+"'
 _JSON_TOKEN = rf"(?s){_JSON_STRING}|[{{}}\[\],:]|[^\s{{}}\[\],:\"]+"
 
 
+# --- fixed values: numbers that JSON does not have and that are read all the same
+_JSON_NUMBERS = ("NaN", "Infinity", "-Infinity")
+# ---
+
+
+def _json_plain(token: Column) -> Column:
+    """A token as it is written: escapes of a string only where they are needed."""
+    escaped = F.startswith(token, F.lit('"')) & F.contains(token, F.lit("\\"))
+    return F.when(escaped, F.to_json(F.try_parse_json(token))).otherwise(token)
+
+
+def _one_json_value(text: Column) -> Column:
+    """The parser stops behind the first value; inside brackets and as a member only a single value is right."""
+    def read(before, after):
+        return F.try_parse_json(F.concat(F.lit(before), text, F.lit(after))).isNotNull()
+
+    return read("[", "]") & read('{"k":', "}")
+
+
 def json_valid(text: Column) -> Column:
-    return F.try_parse_json(text).isNotNull()
+    """Whether a text is JSON, also with repeated keys and with the numbers that JSON does not have."""
+    def odd(tokens):
+        # keys renamed so that none repeats, odd numbers replaced
+        plain = F.transform(tokens, lambda t, i: F.when(
+            F.get(tokens, i + 1).eqNullSafe(F.lit(":")) & F.startswith(t, F.lit('"')), F.concat(F.lit('"k'), i, F.lit('"'))
+        ).when(t.isin(*_JSON_NUMBERS), F.lit("0")).otherwise(t))
+        return _one_json_value(F.array_join(plain, " "))
+
+    nothing_else = ~F.regexp_replace(text, _JSON_TOKEN, "").rlike(r"\S")
+    tokens = F.regexp_extract_all(text, F.lit(_JSON_TOKEN), F.lit(0))
+    return _one_json_value(text) | (text.isNotNull() & nothing_else & let(tokens, odd))
+
+
+def _json_members(tokens: Column) -> Column:
+    """(container, key, first token, token behind the last) of the members of all objects, by a walk with a stack."""
+    frame = "struct<id:int,object:boolean,first:int,key:string>"
+    member = "struct<id:int,key:string,first:int,last:int>"
+
+    def step(state, token):
+        stack, i = state["stack"], state["i"]
+        top = F.when(F.size(stack) > 0, F.element_at(stack, -1))
+        below = F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))
+        opens, closes = token.isin("{", "["), token.isin("}", "]")
+        fresh = F.struct(state["next"], token == "{", F.lit(-1), F.lit(None)).cast(frame)
+        named = F.struct(top["id"], top["object"], i - 1, _json_plain(state["before"])).cast(frame)
+        bare = F.struct(top["id"], top["object"], F.lit(-1), F.lit(None)).cast(frame)
+        after = (
+            F.when(opens, F.concat(stack, F.array(fresh))).when(closes | top.isNull(), below)
+            .when(token == ":", F.concat(below, F.array(named))).when(token == ",", F.concat(below, F.array(bare)))
+            .otherwise(stack)
+        )
+        done = (closes | (token == ",")) & top["object"] & (top["first"] >= 0)
+        return F.struct(
+            F.struct(
+                after.alias("stack"), (state["next"] + F.when(opens, 1).otherwise(0)).alias("next"),
+                (i + 1).alias("i"), token.alias("before"),
+            ).alias("state"),
+            F.when(done, F.struct(top["id"], top["key"], top["first"], i).cast(member)).alias("piece"),
+        )
+
+    start = F.struct(
+        F.array().cast(f"array<{frame}>").alias("stack"), F.lit(0).alias("next"), F.lit(0).alias("i"), F.lit("").alias("before")
+    )
+    return F.sort_array(F.filter(walk_blocks(tokens, start, step, member), lambda m: m.isNotNull()))
+
+
+def _json_last_wins(tokens: Column) -> Column:
+    """Of members of one object with one key the last stands in the place of the first; the others are left out."""
+    def same(a, b):
+        return (a["id"] == b["id"]) & (a["key"] == b["key"])
+
+    def reordered(members):
+        def last(m, j):
+            return F.coalesce(~same(m, F.get(members, j + 1)), F.lit(True))
+
+        def begins(m, j):
+            return (j == 0) | ~F.coalesce(same(m, F.get(members, j - 1)), F.lit(False))
+
+        # sorted by container, key and place: a run of one key begins with the first and ends with the last
+        dropped = F.filter(members, lambda m, j: ~last(m, j))
+        later = F.filter(members, lambda m, j: ~begins(m, j))
+        firsts = F.filter(F.transform(members, lambda m, j: F.when(begins(m, j) & ~last(m, j), m)), lambda m: m.isNotNull())
+        moved = F.filter(F.transform(members, lambda m, j: F.when(last(m, j) & ~begins(m, j), m)), lambda m: m.isNotNull())
+
+        def place(i):
+            # where the objects around a token stand now, from the outermost on
+            around = F.filter(
+                F.zip_with(firsts, moved, lambda f, m: F.when((m["first"] <= i) & (i < m["last"]), f["first"])), lambda x: x.isNotNull()
+            )
+            return F.struct(F.concat(around, F.array(i)).alias("path"), i.alias("i"))
+
+        kept = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: ~F.exists(
+            dropped, lambda m: (m["first"] <= i) & (i < m["last"])
+        ) & ~F.exists(later, lambda m: m["first"] - 1 == i))
+        order = F.transform(F.sort_array(F.transform(kept, place)), lambda p: F.get(tokens, p["i"]))
+        return F.when(F.size(dropped) == 0, tokens).otherwise(order)
+
+    keys = F.filter(tokens, lambda t, i: F.get(tokens, i + 1).eqNullSafe(F.lit(":")))
+    return F.when(let(keys, lambda k: F.size(F.array_distinct(k)) == F.size(k)) & ~F.exists(
+        keys, lambda k: F.contains(k, F.lit("\\"))
+    ), tokens).otherwise(let(_json_members(tokens), reordered))
 
 
 def json_compact(text: Column) -> Column:
@@ -79,12 +178,8 @@ def json_compact(text: Column) -> Column:
 
 
 def json_layout(text: Column) -> Column:
-    """Two blanks per level, one member per line; NULL for invalid JSON."""
-    tokens = F.regexp_extract_all(text, F.lit(_JSON_TOKEN), F.lit(0))
-
-    def plain(token):
-        escaped = F.startswith(token, F.lit('"')) & F.contains(token, F.lit("\\"))
-        return F.when(escaped, F.to_json(F.try_parse_json(token))).otherwise(token)
+    """Two blanks per level, one member per line, of repeated keys the last; NULL for invalid JSON."""
+    found = F.regexp_extract_all(text, F.lit(_JSON_TOKEN), F.lit(0))
 
     def pad(depth):
         return F.concat(F.lit("\n"), F.repeat(F.lit("  "), depth))
@@ -98,13 +193,14 @@ def json_layout(text: Column) -> Column:
             .when(fresh | (state["last"] == ","), pad(depth))
             .otherwise(F.lit(""))
         )
-        piece = F.concat(lead, F.when(token == ":", F.lit(": ")).otherwise(plain(token)))
+        piece = F.concat(lead, F.when(token == ":", F.lit(": ")).otherwise(_json_plain(token)))
         after = F.struct((depth + F.when(opens, 1).otherwise(0)).alias("depth"), token.alias("last"))
         return F.struct(after.alias("state"), piece.alias("piece"))
 
     start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("last"))
-    laid_out = F.array_join(walk_blocks(tokens, start, step, "string"), "")
-    return F.when(json_valid(text), laid_out)
+    return F.when(json_valid(text), let(
+        let(found, _json_last_wins), lambda tokens: F.array_join(walk_blocks(tokens, start, step, "string"), "")
+    ))
 
 
 # ---- XML (SRC-6)

@@ -14,7 +14,8 @@ NAMES = (
     "overlap_conflicts mask_docs mask_people vault_build vault_roundtrip restore_docs unresolved "
     "vault_sessions mask_sessions vault_append vault_corpus mask_with_gazetteers allowlist user_hook "
     "mask_code snippets fp_filter shared_values_approx vuln_scan vuln_import vuln_ranked final_status exposure_rollup shared_values stream_vault "
-    "src_mail_base64 src_mail_quoted src_mail_nested src_xml_errors fp_kinds restore_long vault_sparse_sequence gazetteer_person"
+    "src_mail_base64 src_mail_quoted src_mail_nested src_xml_errors fp_kinds restore_long vault_sparse_sequence gazetteer_person src_json_odd sink_masked sink_restored "
+    "user_rules_grouped user_code_languages type_counts_sorted gazetteer_nrp"
 ).split()
 
 needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")

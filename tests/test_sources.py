@@ -1,6 +1,12 @@
 """Readers, sinks and scanner reports: expected texts written out."""
 
 import json
+import quopri
+import random
+from email.mime.message import MIMEMessage
+from email.mime.multipart import MIMEMultipart
+from email.mime.text import MIMEText
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,3 +126,63 @@ def test_scanner_reports(spark, tmp_path):
     rows = external_findings(readers.read_scanner_reports(spark, str(tmp_path / "r.json")), "path").orderBy("rule_no").collect()
     assert (rows[0].title, rows[0].severity, rows[0].line_text, rows[0].cwe) == ("Md5-Use Of2Hash", "HIGH", "4 x\n5 y", "502")
     assert (rows[1].rule_id, rows[1].title, rows[1].severity, rows[1].line_number) == ("B000", "Bandit Issue", "LOW", 0)
+
+
+def test_json_as_python_reads_it(spark):
+    """Repeated keys, numbers that JSON does not have, broken texts."""
+    rng = random.Random(3)
+
+    def value(depth):
+        kind = rng.random()
+        if depth > 3 or kind < 0.35:
+            return rng.choice(["1", "-2.5", '"s"', '"a\\u0062\\n"', "true", "null", "NaN", "Infinity", "-Infinity", '"[x]"'])
+        if kind < 0.55:
+            return "[" + ", ".join(value(depth + 1) for _ in range(rng.randint(0, 3))) + "]"
+        members = (f'"{rng.choice(["a", "b", "c", chr(92) + "u0061"])}": {value(depth + 1)}' for _ in range(rng.randint(0, 5)))
+        return "{" + ", ".join(members) + "}"
+
+    samples = [value(0) for _ in range(300)] + ['{"a":1,}', "[1 2]", '{"a" 1}', '"x', '{"a":1}"', "", '{"a":1}}', "nan", "1,2", '1,"b":2']
+    want = []
+    for sample in samples:
+        try:
+            want.append(json.dumps(json.loads(sample), indent=2, ensure_ascii=False))
+        except ValueError:
+            want.append(None)
+    assert apply(spark, formats.json_layout, samples) == want
+
+
+def test_mail_parts(spark):
+    """Transfer encodings, nested parts, lines that look like boundaries, a message inside a message."""
+    body = "Grüße = 100%+\n--x\nline  \nend é"
+    for encoding in ("base64", "quoted-printable"):
+        inner = MIMEText(body, "plain", "utf-8")
+        if encoding == "quoted-printable":
+            del inner["Content-Transfer-Encoding"]
+            inner["Content-Transfer-Encoding"] = encoding
+            inner.set_payload(quopri.encodestring(body.encode()).decode())
+        alternative = MIMEMultipart("alternative", boundary="b 2")
+        alternative.attach(MIMEText("<p>no</p>", "html"))
+        alternative.attach(inner)
+        attached = MIMEText("--x\nContent-Type: text/plain\n\nnot a part\n--b 2\nneither", "csv")
+        outer = MIMEMultipart("mixed", boundary="x--y")
+        outer["From"] = "a@b.c"
+        holder = MIMEMessage(alternative)
+        outer.attach(attached)
+        outer.attach(holder)
+        outer.attach(MIMEText("later", "plain"))
+        assert apply(spark, formats.mail_text, [outer.as_string(), f"From: a@b.c\n{inner.as_string()}"]) == ["From: a@b.c\n\n" + body] * 2
+
+
+def test_xml_errors_as_a_parser_finds_them(spark):
+    pieces = ["<a>", "</a>", "<b k='1'>", "</b>", "<c/>", "t", "&amp;", "&", "<", "<!-- x -->", "<![CDATA[<]]>", " "]
+    rng = random.Random(7)
+    samples = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 6))) for _ in range(300)]
+    samples += ["<a>" + s + "</a>" for s in samples[:150]] + ["<a k='1' k='2'/>", "<a><b></a></b>", "<?xml version='1.0'?>\n<a/>\n", ""]
+    got = apply(spark, formats.xml_error, samples)
+    for sample, error in zip(samples, got):
+        try:
+            ElementTree.fromstring(sample)
+            broken = False
+        except ElementTree.ParseError:
+            broken = True
+        assert (error is not None) == broken, (sample, error)
