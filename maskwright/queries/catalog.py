@@ -19,7 +19,7 @@ from ..rules import (
     CODE_KINDS, DOCUMENT_KINDS, ENTITY_LABELS, PII_RULES, SECRET_RULES, VULNERABILITY_RULES, CodeRule,
     SpanRule, select_rules,
 )
-from ..sources import formats, readers, sinks, vaults
+from ..sources import formats, readers, records, sinks, vaults
 from ..streaming import streams
 from . import oracle as o
 
@@ -90,6 +90,22 @@ def src_csv_lines(spark, sf):
     )
 
 
+@query("src_csv_records", """
+    SELECT c_custkey AS doc_id,
+           c_custkey || ' | ' || c_name || chr(10) || chr(10) || 'said "' || c_mktsegment || '", twice' || chr(10)
+               || c_nationkey || ' | ' || trim(c_mktsegment) AS text
+    FROM customer""")
+def src_csv_records(spark, sf):
+    """Records of four lines each, written as CSV files and read back in splits."""
+    folder = scratch(spark)
+    record = F.format_string(
+        '%d,"%s\n\nsaid ""%s"", twice\n%d" , %s,,', "c_custkey", "c_name", "c_mktsegment", "c_nationkey", "c_mktsegment"
+    )
+    corpora.table(spark, sf, "customer").select(record.alias("value")).write.text(folder)
+    back = records.read_csv_records(spark, folder)
+    return back.select(F.split("text", " [|] ")[0].cast("bigint").alias("doc_id"), "text")
+
+
 @query("src_html_text", f"""
     SELECT page_id AS doc_id,
            {o.strip("regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[' || chr(160) || '\\s]{2,}', chr(10), 'g')")} AS text

@@ -65,7 +65,7 @@ def read_csv_lines(spark: SparkSession, paths) -> DataFrame:
     """SRC-3 for large CSV files: lines are split over tasks, the header is a line too.
 
     Every line is a record with as many cells as it has; a blank one gives an empty
-    text.  Files whose quoted cells hold line ends are for ``read_documents``.
+    text.  Files whose quoted cells hold line ends are for ``records.read_csv_records``.
     """
     lines = spark.read.text(paths)
     return lines.select(F.col("_metadata.file_path").alias("path"), csv_text(F.col("value")).alias("text"))
