@@ -10,10 +10,11 @@ most one bit.  The longer chains prune what the key lets through, the full dista
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from maskwright.llm.common import map_rows, text_or_empty, written
+from maskwright.llm.common import bits_for, hash_bits, in_bits, map_rows, text_or_empty, written
 from maskwright.llm.components import components
 from maskwright.operators.joins import join_hot_keys, left_join_hot_keys
 
@@ -126,7 +127,8 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     """One row of each group of near copies, all columns unchanged.
 
     It is the row with the smallest key, of equal keys that with the smallest text hash; rows without a key
-    come last.  Rows that are equal in all columns count as one.  No column may hold a map.
+    come last.  Rows that are equal in all columns count as one.  No column may hold a map.  A bit set of at most
+    32 MB tells which rows may have copies; the others are not shuffled.
     """
     columns = docs.columns
     # rows are known by their text's and their whole content's hash; a null moves no value to another column's place
@@ -148,6 +150,16 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     first = (F.col("_first._text_hash") == F.col("_text_hash")) & (F.col("_first._row_hash") == F.col("_row_hash"))
     judged = join_hot_keys(rows, of, ["fp"]).select(*identity, "_n", first.alias("_kept"))
     copies = written(judged.where("NOT _kept OR _n > 1").select(*identity, "_kept"), "copies")
-    found = left_join_hot_keys(marked.select("_row", *identity), copies, identity)
-    single = found.where("_kept IS NULL").select("_row.*")
-    return single.unionByName(found.where("_kept").dropDuplicates(identity).select("_row.*"))
+    name = F.xxhash64(*identity)
+    bits = bits_for(copies.count())
+    held = docs.sparkSession.sparkContext.broadcast(hash_bits(copies.select(name.alias("_name")), "_name", bits))
+
+    @F.pandas_udf("boolean")
+    def listed(names: pd.Series) -> pd.Series:
+        return pd.Series(in_bits(np.frombuffer(held.value, np.uint8), names.to_numpy().view(np.uint64), bits))
+
+    # most rows have no copy and stay where they are; only those that may have one are joined by shuffle
+    sorted_out = marked.select("_row", *identity, listed(name).alias("_listed"))
+    found = left_join_hot_keys(sorted_out.where("_listed").drop("_listed"), copies, identity)
+    alone = sorted_out.where("NOT _listed").select("_row.*").unionByName(found.where("_kept IS NULL").select("_row.*"))
+    return alone.unionByName(found.where("_kept").dropDuplicates(identity).select("_row.*"))
