@@ -186,3 +186,31 @@ def test_xml_errors_as_a_parser_finds_them(spark):
         except ElementTree.ParseError:
             broken = True
         assert (error is not None) == broken, (sample, error)
+
+
+def test_a_mail_body_is_decoded_once(spark, capsys):
+    """Neither the expressions of a decoded body nor a filter on the text repeat the passes over it."""
+    def passes(df):
+        df.explain()
+        return capsys.readouterr().out.count("[^A-Za-z0-9+/]")
+
+    mails = spark.createDataFrame([(1, "Subject: s\nContent-Transfer-Encoding: base64\n\nYWJj")], "doc_id int, raw string")
+    read = mails.select(formats.mail_text(F.col("raw")).alias("text"))
+    assert read.first()["text"] == "Subject: s\n\nabc"
+    assert passes(read) == 2  # of a plain body and of a part
+
+
+def test_mail_queries_read_a_mail_once(spark, tmp_path, capsys):
+    from maskwright.queries import catalog
+
+    text = "line one\n" * 3000
+    spark.createDataFrame([(1, text), (3, "")], "doc_id bigint, text string").write.parquet(
+        str(tmp_path / "documents.parquet")
+    )
+    for name, head in (("src_mail_base64", ""), ("src_mail_nested", "\n--out")):
+        df = catalog.QUERIES[name](spark, str(tmp_path))
+        df.explain()
+        assert capsys.readouterr().out.count("[^A-Za-z0-9+/]") == 2
+        found = {r["doc_id"]: r["text"] for r in df.collect()}
+        assert set(found) == {1, 3}
+        assert found[1] == f"From: a1@example.com\nSubject: s\n{head}\n{text}"
