@@ -207,6 +207,54 @@ def test_letters_before_a_mark_equal_whole_texts(name):
     assert tokens.Pieces(public_tokenizers.path(name)).encode(texts) == want
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_share_their_words(name):
+    import public_tokenizers
+
+    table = tokens.Pieces(public_tokenizers.path(name))
+    sent = []
+    model = table.tokenizer
+    table.tokenizer = type("Counting", (), {
+        "encode_batch_fast": lambda _, texts, **how: sent.extend(texts) or model.encode_batch_fast(texts, **how),
+    })()
+    marks = [".", ",", "&&&", ".%%%", "!", ""]
+    table.encode([f"été{m} Straße{m}\nword{m} word{m}" for m in marks])
+    assert set(table) == {"été", " Straße", "\n", "word", " word", *marks} - {""}
+    assert set(sent) == {"\n", *marks} - {""}  # words go to the model alone
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_cuts_beside_wide_space_and_marks(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(9)
+    letters = list("as'tE.!&_-1²\n\t\r\x0b\x0c\x1f\x7f\x85\xa0    éÉàè×÷İıſªµɐ\u1680\u2003\u2028\u202f\u205f\u3000\u200b漢\u0307\u0301Σ“”…–😀K=\u0338")
+    texts = ["".join(rng.choice(letters, rng.integers(0, 30))) for _ in range(5000)]
+    texts += ["", "\n", " \n a", "\n\na", "a \n", "a  ", "a\u3000  b", "a\xa0 ", "x<|endoftext|>y"]
+    whole = Tokenizer.from_file(public_tokenizers.path(name))
+    whole.encode_special_tokens = True
+    want = [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert tokens.Pieces(public_tokenizers.path(name)).encode(texts) == want
+
+
+def test_long_texts_are_cut_in_parts(spark, monkeypatch):
+    import pyarrow as pa
+
+    rows = [(1, "ab " * 400), (None, None), (2, ""), (2, "x" * 3000), (3, "é, b")]
+    batch = pa.record_batch([pa.array([k for k, _ in rows]), pa.array([t or "" for _, t in rows])], names=["doc_id", "_text"])
+    monkeypatch.setattr(tokens, "BYTES_AT_ONCE", 1000)
+    parts = list(tokens.parts_of(batch))
+    assert len(parts) > 1 and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]).combine_chunks())
+    assert not list(tokens.parts_of(batch.slice(0, 0)))
+    monkeypatch.undo()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for kind in ("<u4", "<u2"):
+        got = Counter((r.doc_id, bytes(r.ids)) for r in tokens.tokenize(docs, "byte_bpe_50k.json", 0, kind=kind).collect())
+        want = [(k, np.array(ids, kind).tobytes()) for k, ids in reference_ids("byte_bpe_50k.json", [(k, t or "") for k, t in rows], 0)]
+        assert got == Counter(want)
+
+
 def reference_ids(name, rows, end):
     import public_tokenizers
     from tokenizers import Tokenizer
