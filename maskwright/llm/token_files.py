@@ -33,6 +33,8 @@ LIMIT = 18
 EVERY = 128
 # A block is closed with the document that brings it to so many ids.
 BLOCK_IDS = 1 << 17
+# Ids counted at once.
+COUNT_IDS = 1 << 20
 # A file takes about so many ids, where there are more than one for a shuffle partition.
 FILE_IDS = 1 << 25
 
@@ -125,6 +127,17 @@ def decode(payload: bytes, offsets: bytes, n: int, table: tuple[np.ndarray, np.n
     return out.T.reshape(-1)[:n] if len(out) == EVERY else out.T.reshape(-1)
 
 
+def id_runs(column: pa.Array, kind: str) -> Iterator[np.ndarray]:
+    """The ids of all rows of a binary column, which stand one behind the other, at most ``COUNT_IDS`` at once."""
+    if not len(column) or column.buffers()[2] is None:
+        return
+    ends = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)
+    first, last = ends[column.offset], ends[column.offset + len(column)]
+    ids = np.frombuffer(column.buffers()[2], np.uint8)[first:last].view(kind)
+    for at in range(0, len(ids), COUNT_IDS):
+        yield ids[at : at + COUNT_IDS]
+
+
 def write_ids(tokens: DataFrame, folder: str, key: str = "doc_id", ties: str | None = None, row: str | None = None, kind: str = "<u4") -> None:
     """Write (key, ids) in the format above.  ``ids`` is binary, little-endian of the numpy type ``kind``.
 
@@ -137,11 +150,10 @@ def write_ids(tokens: DataFrame, folder: str, key: str = "doc_id", ties: str | N
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for b in batch.column(0):
-                got = np.bincount(np.frombuffer(b.as_buffer(), kind))
-                if len(got) > len(total):
-                    total = np.pad(total, (0, len(got) - len(total)))
-                total[: len(got)] += got
+            for ids in id_runs(batch.column(0), kind):
+                got = np.bincount(ids, minlength=len(total))
+                got[: len(total)] += total
+                total = got
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["id", "n"])
 

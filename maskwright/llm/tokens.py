@@ -1,8 +1,8 @@
 """Token ids of whole texts by a public tokenizer, with a table of pieces already encoded.
 
 Texts are cut where both tokenizers cut them whatever stands around: before white space behind something
-else, behind a lone line feed or tab before a word, and between a Latin letter and a mark.  The pieces of some
-megabytes are cut and numbered as columns, and each different one is looked up once.  Words recur, so
+else, behind a lone line feed or tab before a word, and between a Latin letter and a mark.  The pieces of a
+megabyte are cut and numbered as columns, and each different one is looked up once.  Words recur, so
 most come out of the table.  Of the others a word, a blank perhaps and Latin letters, is one pre-token, so
 the library's model encodes it alone; anything else goes through the whole of the library.
 """
@@ -25,7 +25,7 @@ from maskwright.llm.common import pa_schema, text_or_empty
 # Pieces in a generation of a worker's table; it keeps two.  Bounds its memory, not the result.
 PIECES_KEPT = 250_000
 # Bytes of text cut at once, or one longer text.
-BYTES_AT_ONCE = 1 << 22
+BYTES_AT_ONCE = 1 << 20
 # Kinds of bytes: white space, of it all but the blank, ASCII letters, marks (the apostrophe starts 's and the
 # like), and what surely starts something that is no white space.
 _SPACE, _BREAK, _LETTER, _MARK, _SOLID = 1, 2, 4, 8, 16
@@ -127,7 +127,7 @@ class Pieces(dict):
     def ids_of(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with ``end`` behind, and where in them each starts and the last one ends."""
         pieces, at = cut(texts)
-        different = pieces.dictionary.to_pylist()
+        different = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
         self.learn(set(different))
         codes = pa.array([*map(self.__getitem__, different), end], pa.binary())
         numbers = np.insert(pieces.indices.to_numpy(), at[1:], len(different))

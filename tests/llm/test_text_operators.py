@@ -238,6 +238,18 @@ def test_cuts_beside_wide_space_and_marks(name):
     assert tokens.Pieces(public_tokenizers.path(name)).encode(texts) == want
 
 
+def test_ids_are_counted_over_rows():
+    import pyarrow as pa
+
+    rows = [np.array(x, "<u2").tobytes() for x in ([7], [1, 2, 3], [], [4, 5])]
+    for kind in (pa.binary(), pa.large_binary()):
+        column = pa.array(rows, kind)
+        runs = list(token_files.id_runs(column, "<u2"))
+        assert [r.tolist() for r in runs] == [[7, 1, 2, 3, 4, 5]]  # one run, not one a document
+        assert [r.tolist() for r in token_files.id_runs(column.slice(1, 2), "<u2")] == [[1, 2, 3]]
+        assert not list(token_files.id_runs(column.slice(0, 0), "<u2"))
+
+
 def test_long_texts_are_cut_in_parts(spark, monkeypatch):
     import pyarrow as pa
 
