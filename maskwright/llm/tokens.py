@@ -1,8 +1,8 @@
 """Token ids of whole texts by a public tokenizer, with a table of pieces already encoded.
 
 Texts are cut where both tokenizers cut them whatever stands around: before white space behind something
-else, behind a lone line feed or tab before a word, and between a Latin letter and a mark.  The pieces of a
-megabyte are cut and numbered as columns, and each different one is looked up once.  Words recur, so
+else, behind a lone line feed or tab before a word, and between a Latin letter and a mark.  The pieces of some
+megabytes are cut and numbered as columns, and each different one is looked up once.  Words recur, so
 most come out of the table.  Of the others a word, a blank perhaps and Latin letters, is one pre-token, so
 the library's model encodes it alone; anything else goes through the whole of the library.
 """
@@ -25,7 +25,7 @@ from maskwright.llm.common import pa_schema, text_or_empty
 # Pieces in a generation of a worker's table; it keeps two.  Bounds its memory, not the result.
 PIECES_KEPT = 250_000
 # Bytes of text cut at once, or one longer text.
-BYTES_AT_ONCE = 1 << 20
+BYTES_AT_ONCE = 1 << 22
 # Kinds of bytes: white space, of it all but the blank, ASCII letters, marks (the apostrophe starts 's and the
 # like), and what surely starts something that is no white space.
 _SPACE, _BREAK, _LETTER, _MARK, _SOLID = 1, 2, 4, 8, 16
@@ -109,18 +109,18 @@ class Pieces(dict):
             self.older = dict(self)
             self.clear()
             new = pieces
-        rest = []
+        rest, older, spelled, tokenize = [], self.older.get, self.spelled, self.model.tokenize
         for piece in new:
-            code = self.older.get(piece)
-            word = piece.removeprefix(" ")
-            if code is None and word.isalpha() and (word.isascii() or self.spellable(word)):
-                word = word.translate(self.spelled)
-                found = self.model.tokenize(word if piece[0] != " " else self.blank + word)
-                code = array("I", [t.id for t in found]).tobytes()
+            code = older(piece)
             if code is None:
-                rest.append(piece)
-            else:
-                self[piece] = code
+                word = piece.removeprefix(" ")
+                if not (word.isalpha() and (word.isascii() or self.spellable(word))):
+                    rest.append(piece)
+                    continue
+                word = word.translate(spelled)
+                found = tokenize(word if piece[0] != " " else self.blank + word)
+                code = array("I", [t.id for t in found]).tobytes()
+            self[piece] = code
         for piece, code in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             self[piece] = array("I", code.ids).tobytes()
 
