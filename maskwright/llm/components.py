@@ -21,18 +21,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = written(
         edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges"
     )
+    def pairs(df: DataFrame, *columns: tuple[str, str]) -> DataFrame:
+        """(a, b): a row for each of the pairs of columns, of one reading of ``df``; a union would plan and run it for each."""
+        each = F.array(*(F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in columns))
+        return df.select(F.explode(each).alias("_pair")).select("_pair.*")
+
     last = None
     while (new := state(now)) != last:
         last = new
-        both = now.union(now.select("b", "a")).toDF("u", "v")
+        both = pairs(now, ("a", "b"), ("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = salted_join(both, least, ["u"], F.xxhash64("v")).where("v > u").select(
             F.col("v").alias("a"), F.col("m").alias("b")
         ).where("a > b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         tied = large.join(least, "a")
-        small = tied.select(F.col("b").alias("a"), F.col("m").alias("b")).union(tied.select("a", F.col("m").alias("b")))
-        now = written(small.where("a > b").distinct(), "edges")
+        now = written(pairs(tied, ("b", "m"), ("a", "m")).where("a > b").distinct(), "edges")
     roots = now.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))
     loops = edges.where(F.col(a) == F.col(b)).select(F.col(a).alias("node"), F.col(a).alias("root"))
     found = now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)

@@ -122,7 +122,8 @@ def place(pieces: DataFrame, key: str = "doc_id", size: int = SIZE, row: str | N
     buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = dealt_out(pieces, key, buckets, row)
     sizes = written(dealt.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n")), "lengths")
-    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("_n").alias("n")).toLocalIterator()}
+    # at most ``size`` rows: collected by one job; an iterator would start a job for each shuffle partition
+    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     table = slots(patterns(counts, size))
     earlier = W.partitionBy("length").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     before = sizes.select("length", "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))

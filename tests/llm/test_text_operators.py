@@ -276,6 +276,25 @@ def reference_ids(name, rows, end):
     return [(k, [*whole.encode(t, add_special_tokens=False).ids, end]) for k, t in rows]
 
 
+def test_lengths_come_by_one_job_however_many_partitions(spark):
+    confs = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in confs}
+    pieces = spark.range(300).selectExpr("id AS doc_id", "0L AS start", "1 + id % 150 AS length")
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("place", "lengths of pieces")
+        placed = packing.place(pieces)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("place")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.sparkContext.setLocalProperty("spark.job.description", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert 0 < len(jobs) < 32
+    assert placed.count() == 300 and placed.agg(F.sum("length")).first()[0] == 300 * 151 // 2
+
+
 def test_packing(docs, none):
     got = packing.pack_documents(docs, "word_bpe_49k.json", 2, keep_ids=True).cache()
     pieces = got.collect()
