@@ -94,7 +94,8 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     for length in range(3, m):
         masks = F.array(*(mask(i, length) for i in range(m)))
         chain &= F.bit_count(different.bitwiseAND(F.element_at(masks, F.col("i") + 1))) < length
-    near = left.join(right, ["i", "bits"]).where("a < b").where(chain)
+    # Spark takes an exploded table for as small as it was before, here by a factor of 69, and would broadcast it
+    near = left.join(right.hint("merge"), ["i", "bits"]).where("a < b").where(chain)
     return near.where(F.bit_count(different) <= distance).select("a", "b").distinct()
 
 
@@ -108,7 +109,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     """
     rows = written(fingerprints(docs, key, text, size).withColumnRenamed(key, "_key"), "fingerprints")
     of = least_of_groups(written(rows.groupBy("fp").agg(F.min("_key").alias("_least")), "distinct"), distance)
-    return join_hot_keys(rows, of, ["fp"]).select(
+    return join_hot_keys(rows, of.hint("merge"), ["fp"]).select(  # rows are several times larger than their file
         F.col("_key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("_first").alias("component_id"),
     )
@@ -148,7 +149,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     order = F.struct(F.col("_key").isNull().alias("last"), "_key", *identity)
     of = least_of_groups(written(rows.groupBy("fp").agg(F.min(order).alias("_least")), "distinct"), distance)
     first = (F.col("_first._text_hash") == F.col("_text_hash")) & (F.col("_first._row_hash") == F.col("_row_hash"))
-    judged = join_hot_keys(rows, of, ["fp"]).select(*identity, "_n", first.alias("_kept"))
+    judged = join_hot_keys(rows, of.hint("merge"), ["fp"]).select(*identity, "_n", first.alias("_kept"))
     copies = written(judged.where("NOT _kept OR _n > 1").select(*identity, "_kept"), "copies")
     name = F.xxhash64(*identity)
     bits = bits_for(copies.count())
