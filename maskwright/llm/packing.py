@@ -127,9 +127,10 @@ def place(pieces: DataFrame, key: str = "doc_id", size: int = SIZE, row: str | N
     table = slots(patterns(counts, size))
     earlier = W.partitionBy("length").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     before = sizes.select("length", "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    # up to ``size`` rows a bucket, which a file holds in a few bytes each: broadcast, they would be many times larger
     ranked = dealt.withColumn(
         "_rank", F.row_number().over(W.partitionBy("length", "_bucket").orderBy(key, "start", *([row] if row else []))) - 1
-    ).join(before, ["length", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    ).join(before.hint("merge"), ["length", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     columns = [c for c in pieces.columns if c != row]
     slot_table = spark.sparkContext.broadcast(table)  # at most size**2 / 2 rows, mostly a few thousand
 
