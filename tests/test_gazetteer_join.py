@@ -26,3 +26,30 @@ def test_texts_are_scanned_once_and_names_met_by_name(spark, texts, capsys):
     }
     plan_rows = recognizers.gazetteer_findings(df, names, "doc_id").select(F.count(F.lit(1))).first()[0]
     assert plan_rows == 5
+
+
+def test_offsets_are_made_of_names_alone(spark, texts, capsys):
+    """Words that are in no name are not located; lines, parts of words and long chains before a name are as they were."""
+    far = "Q-" + "q-" * 150
+    df = texts(
+        "a\nb Ana\tBo,\nO'Neil", "Zed-Ana and zed-Ana-x and zed-Ana", f"{far}Ana", f"{far}q-Ana", "é 😀 Ana  Bo Ana", "ana Bo", "van  Gogh Van Gogh",
+    )
+    names = spark.createDataFrame(
+        [(n, "PERSON") for n in ("Ana", "Ana Bo", "O'Neil", "van Gogh")], "name string, entity string"
+    )
+    rows = recognizers.gazetteer_findings(df, names, "doc_id")
+    rows.explain()
+    # marks are put around the matches of which offsets are made
+    assert "regexp_replace(_text" not in capsys.readouterr().out
+    got = {}
+    for r in rows.collect():
+        got.setdefault(r["doc_id"], set()).add((r["start"], r["end"], r["line_number"], r["value"]))
+    assert got == {
+        0: {(4, 7, 2, "Ana"), (4, 10, 2, "Ana\tBo"), (12, 18, 3, "O'Neil")},
+        1: {(30, 33, 1, "Ana")},
+        # 257 characters are looked at, of which the first is a small letter
+        2: {(len(far), len(far) + 3, 1, "Ana")},
+        3: {(len(far) + 2, len(far) + 5, 1, "Ana")},
+        4: {(4, 7, 1, "Ana"), (4, 11, 1, "Ana  Bo"), (12, 15, 1, "Ana")},
+        6: {(0, 9, 1, "van  Gogh"), (10, 18, 1, "Van Gogh")},
+    }
